@@ -1,7 +1,7 @@
 """Replacing whole tables: write a new version next to the old one, then name it current.
 
 Parquet has no row updates, so an updated table is a new folder. A version is
-current once its line stands in the `_published` log; readers resolve it once
+current once its line stands in the `published` log; readers resolve it once
 per job, so they never see a half-written table and never read a path that is
 being overwritten.
 """
@@ -9,6 +9,7 @@ being overwritten.
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -34,10 +35,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def current_version(spark: SparkSession, root: str) -> int:
     """Number of the current version, or 0 when nothing was published yet."""
     try:
-        log = spark.read.schema(_LOG_SCHEMA).json(f"{root}/_published")
+        log = spark.read.schema(_LOG_SCHEMA).json(f"{root}/published")
         return log.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
             return 0
         raise
 
@@ -54,7 +55,7 @@ def publish_tables(spark: SparkSession, root: str, tables: dict[str, DataFrame])
         F.lit(version).cast("bigint").alias("version"),
         F.array(*[F.lit(name) for name in tables]).alias("tables"),
     )
-    line.write.mode("append").json(f"{root}/_published")
+    line.write.mode("append").json(f"{root}/published")
     return version
 
 
@@ -62,7 +63,7 @@ def read_version(
     spark: SparkSession, root: str, name: str, schema: StructType | None = None
 ) -> DataFrame:
     """The table as of the version that last published it."""
-    log = spark.read.schema(_LOG_SCHEMA).json(f"{root}/_published")
+    log = spark.read.schema(_LOG_SCHEMA).json(f"{root}/published")
     version = log.where(F.array_contains("tables", name)).agg(F.max("version")).first()[0]
     if version is None:
         raise ValueError(f"table {name} was never published under {root}")
