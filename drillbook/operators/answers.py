@@ -79,22 +79,38 @@ def first_answers(screened: DataFrame) -> DataFrame:
     )
 
 
-def judge_submissions(enriched: DataFrame, zone: str) -> DataFrame:
-    """Verdict of every submission, later answers of the same user included.
+def new_answers(screened: DataFrame, stored_answers: DataFrame | None = None) -> DataFrame:
+    """First passing submissions, without those of users whose answer is stored already."""
+    firsts = first_answers(screened)
+    if stored_answers is None:
+        return firsts
+    taken = stored_answers.select("session_id", "discord_user_id")
+    return firsts.join(taken, ["session_id", "discord_user_id"], "left_anti")
 
-    Duplicates are found by submission id rather than by a window over all
-    submissions of one user to one session, which could be any share of the log.
+
+def mark_duplicates(screened: DataFrame, stored_answers: DataFrame | None = None) -> DataFrame:
+    """Turn the verdict of every later answer into `duplicate`; all rows are kept.
+
+    Accepted answers are found again by submission id rather than by a window
+    over all submissions of one user to one session, which could be any share
+    of the log.
     """
-    screened = screen_submissions(enriched, zone)
-    firsts = first_answers(screened).select("id", F.lit(True).alias("_first"))
+    accepted = new_answers(screened, stored_answers).select("id", F.lit(True).alias("_first"))
     repeated = (F.col("verdict") == "ok") & F.col("_first").isNull()
     return (
-        screened.join(firsts, "id", "left")
+        screened.join(accepted, "id", "left")
         .withColumn("verdict", F.when(repeated, "duplicate").otherwise(F.col("verdict")))
         .drop("_first")
     )
 
 
+def judge_submissions(
+    enriched: DataFrame, zone: str, stored_answers: DataFrame | None = None
+) -> DataFrame:
+    """The verdict of every submission: ok, not_owner, expired, invalid_choice or duplicate."""
+    return mark_duplicates(screen_submissions(enriched, zone), stored_answers)
+
+
 def rejected_submissions(judged: DataFrame) -> DataFrame:
     """The reject log: every refused submission with its reason."""
     return judged.where("verdict != 'ok'").withColumnRenamed("verdict", "reason")
@@ -112,11 +128,9 @@ def accept_answers(
     enriched: DataFrame, zone: str, stored_answers: DataFrame | None = None
 ) -> DataFrame:
     """Scored first answers, leaving out users who already answered in `stored_answers`."""
-    firsts = first_answers(screen_submissions(enriched, zone)).drop("verdict")
-    if stored_answers is not None:
-        taken = stored_answers.select("session_id", "discord_user_id")
-        firsts = firsts.join(taken, ["session_id", "discord_user_id"], "left_anti")
-    return score_answers(firsts)
+    return score_answers(
+        new_answers(screen_submissions(enriched, zone), stored_answers).drop("verdict")
+    )
 
 
 def answer_rows(accepted: DataFrame) -> DataFrame:

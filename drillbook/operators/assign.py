@@ -116,7 +116,9 @@ def pick_distinct(
     shuffled = F.array_sort(
         F.transform(
             chosen,
-            lambda idx: F.struct(hash_number(F.lit(seed), key, F.lit("order"), idx).alias("h"), idx),
+            lambda idx: F.struct(
+                hash_number(F.lit(seed), key, F.lit("order"), idx).alias("rank"), idx.alias("idx")
+            ),
         )
     )
     numbered = index_bank(bank).select("idx", "id")
@@ -151,7 +153,6 @@ def assign_quizzes(
             "guild_id",
             F.col("picked_ids").alias("question_ids"),
             F.col("requested_at").alias("created_at"),
-            "channel_id",
         ),
         QUIZ_RUNS,
         {"current_index": zero, "correct_count": zero},

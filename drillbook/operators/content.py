@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from drillbook.functions import names_failed
 
-# Fixed value: the explanation that content scripts put in place of a missing one.
-PLACEHOLDER_EXPLANATION = "Refer to the Pet First Aid course materials for additional context."
-
 _PATCHABLE = {"prompt": "prompt", "why": "explanation", "topic": "topic"}
 
 
@@ -135,10 +132,8 @@ def mark_posted(sessions: DataFrame, postings: DataFrame) -> DataFrame:
     )
 
 
-def clear_default_explanations(
-    questions: DataFrame, now, default: str = PLACEHOLDER_EXPLANATION
-) -> DataFrame:
-    """Blank the explanations that equal the default; others and their clock stay."""
+def clear_default_explanations(questions: DataFrame, default: str, now) -> DataFrame:
+    """Blank the explanations that equal a default text; others and their clock stay."""
     is_default = F.coalesce(F.col("explanation") == default, F.lit(False))
     return questions.withColumns(
         {
