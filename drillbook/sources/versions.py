@@ -20,15 +20,14 @@ _LOG_SCHEMA = "version bigint, tables array<string>"
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder every executor sees (`spark.checkpoint.dir`).
 
-    Only a local session without that setting falls back to its own temporary
-    folder; on a cluster the setting is required.
+    Only a local session without that setting, as in tests, falls back to a
+    temporary folder of its own; on a cluster the setting is required.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         base = tempfile.mkdtemp(prefix="drillbook-")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

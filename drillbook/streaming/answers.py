@@ -71,7 +71,8 @@ def current_profiles(spark: SparkSession, root: str, before: int | None = None)
     """
     changes = spark.read.schema(_PROFILES).parquet(f"{root}/touched")
     if before is None:
-        before = changes.agg(F.max("batch_id")).first()[0] + 1
+        last = changes.agg(F.max("batch_id")).first()[0]
+        before = 0 if last is None else last + 1
     since = (before - 2) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
     since = since if since > 0 else -1
     changes = changes.where((F.col("batch_id") > since) & (F.col("batch_id") < before))

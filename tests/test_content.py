@@ -1,0 +1,192 @@
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from drillbook.operators import content, lookups, rules
+from drillbook.schemas import TRAINING_CARDS
+from drillbook.sources import evolve_schema
+from tests import tables
+from tests.tables import START, card, question, session
+
+NOW = "2024-02-01 00:00:00Z"
+
+
+def test_insert_missing_sees_the_table_as_it_was(spark):
+    existing = spark.createDataFrame([("a", 1), ("b", 2)], "title string, n int")
+    incoming = spark.createDataFrame(
+        [("a", 3), ("c", 4), ("c", 5), (None, 6)], "title string, n int"
+    )
+    got = content.insert_missing(existing, incoming, "title").collect()
+    assert sorted(row.n for row in got) == [4, 5, 6]
+
+
+def test_seed_only_an_empty_table(spark):
+    seed = spark.createDataFrame([(1,), (2,)], "n int")
+    full = spark.createDataFrame([(9,)], "n int")
+    assert [row.n for row in content.seed_if_empty(full, seed).collect()] == [9]
+    assert content.seed_if_empty(full.limit(0), seed).count() == 2
+
+
+def test_intake_rules_in_order(spark):
+    columns = "id int, prompt string, a string, b string, c string, d string, e string, correct int, why string, topic string"
+    rows = [
+        (1, "p", "a", "b", None, None, None, 2, None, None),
+        (2, "p", "a", "b", "c", "d", None, 4, "w", "t"),
+        (3, "p", "a", "b", "c", "d", "e", 5, "w", "t"),
+        (4, "p", "a", "b", "c", None, None, 1, None, None),
+        (5, "p", "a", "b", None, None, "e", 1, None, None),
+        (6, "p", "a", "b", None, None, None, 3, None, None),
+        (7, "p", "a", "b", "c", None, None, 5, None, None),
+        (8, None, "a", "b", None, None, None, 1, None, None),
+        (9, "p", "a", "b", None, None, None, 0, None, None),
+        (10, "p", "a", "b", None, None, None, None, None, None),
+    ]
+    judged = content.intake_questions(spark.createDataFrame(rows, columns))
+    assert tables.column(content.refused_intake(judged), "id", "reason") == {
+        4: "choice_count",
+        5: "choice_count",
+        6: "correct_out_of_range",
+        7: "choice_count",
+        8: "prompt_required",
+        9: "correct_1_to_5",
+        10: "correct_required",
+    }
+    accepted = {row.id: row for row in content.accepted_intake(judged).collect()}
+    assert (accepted[1].options, accepted[1].correct_option, accepted[1].explanation) == (["a", "b"], 1, "")
+    assert accepted[3].options == ["a", "b", "c", "d", "e"]
+
+
+def test_patches_keep_the_last_given_value_of_each_field(spark):
+    bank = tables.questions(spark, question("q1", explanation="e"), question("q2", topic=None))
+    patches = spark.createDataFrame(
+        [
+            ("q1", 1, "first", None, None),
+            ("q1", 3, None, "why", None),
+            ("q1", 2, "second", "early", None),
+            ("q1", 4, None, None, None),
+            ("gone", 1, "x", "x", "x"),
+        ],
+        "id string, ts int, prompt string, why string, topic string",
+    )
+    rows = {row.id: row for row in content.apply_question_patches(bank, patches, ["ts"]).collect()}
+    assert set(rows) == {"q1", "q2"}
+    assert (rows["q1"].prompt, rows["q1"].explanation, rows["q1"].topic) == ("second", "why", "t")
+    assert rows["q1"].updated_at == START
+    assert (rows["q2"].prompt, rows["q2"].topic) == ("prompt q2", None)
+    assert [row.ts for row in content.empty_patches(patches).collect()] == [4]
+
+
+def test_disable_ignores_unknown_and_repeated_ids(spark):
+    bank = tables.questions(spark, question("q1"), question("q2"))
+    ids = spark.createDataFrame([("q1",), ("q1",), ("gone",)], "id string")
+    got = content.disable_questions(bank, ids)
+    assert got.count() == 2
+    assert tables.column(got, "id", "enabled") == {"q1": False, "q2": True}
+
+
+def test_mark_posted_keeps_the_last_posting(spark):
+    table = tables.sessions(spark, session("a"), session("b", message="old"))
+    log = spark.createDataFrame(
+        [("a", 2, "m2", "c2"), ("a", 1, "m1", "c1"), ("gone", 1, "x", "x")],
+        "session_id string, posted_at int, message_id string, channel_id string",
+    )
+    rows = {row.id: row for row in content.mark_posted(table, log).collect()}
+    assert (rows["a"].message_id, rows["a"].channel_id) == ("m2", "c2")
+    assert (rows["b"].message_id, rows["b"].channel_id) == ("old", "c")
+
+
+def test_clear_default_explanations(spark):
+    bank = tables.questions(
+        spark, question("q1", explanation="see the notes"), question("q2", explanation="own words")
+    )
+    rows = {r.id: r for r in content.clear_default_explanations(bank, "see the notes", NOW).collect()}
+    assert (rows["q1"].explanation, rows["q1"].updated_at) == ("", datetime(2024, 2, 1))
+    assert (rows["q2"].explanation, rows["q2"].updated_at) == ("own words", START)
+
+
+def test_one_note_per_card_is_appended(spark):
+    table = tables.cards(
+        spark,
+        card("1", title="x", sections=[("h", "c")]),
+        card("2", title="x"),
+        card("3", title="y"),
+        card("4", title="z", sections=[("h", "c")]),
+    ).withColumn("sections", F.when(F.col("id") != "3", F.col("sections")))
+    notes = spark.createDataFrame(
+        [("x", "Warning", "b"), ("x", "Pro tip", "z"), ("y", "Warning", "w"), ("gone", "a", "b")],
+        "title string, heading string, content string",
+    )
+    rows = content.append_card_notes(table, notes).collect()
+    assert {r.id: [tuple(s) for s in r.sections] for r in rows} == {
+        "1": [("h", "c"), ("Pro tip", "z")],
+        "2": [("Pro tip", "z")],
+        "3": [("Warning", "w")],
+        "4": [("h", "c")],
+    }
+
+
+def test_schema_evolution_adds_and_fills(spark):
+    empty = F.array().cast("array<struct<heading:string,content:string>>")
+    table = tables.cards(spark, card("1", sections=[("h", "c")]), card("2"))
+    old = evolve_schema(table.drop("sections"), TRAINING_CARDS, {"sections": empty})
+    assert [row.sections for row in old.collect()] == [[], []]
+    assert old.columns == TRAINING_CARDS.names
+    mixed = table.withColumn("sections", F.when(F.col("id") == "1", F.col("sections")))
+    filled = tables.column(evolve_schema(mixed, TRAINING_CARDS, {"sections": empty}), "id", "sections")
+    assert filled["2"] == [] and len(filled["1"]) == 1
+    assert [row.body for row in old.collect()] == [None, None]
+
+
+def test_cascade_keeps_children_without_a_parent_reference(spark):
+    table = tables.sessions(
+        spark, session("a", run="r1"), session("b", run="r2"), session("c", run=None)
+    )
+    runs = spark.createDataFrame([("r1",)], "id string")
+    kept = lookups.cascade_delete(table, runs, "quiz_run_id")
+    assert {row.id for row in kept.collect()} == {"a", "c"}
+    assert kept.columns == table.columns
+
+
+def test_restrict_lists_rows_in_use(spark):
+    bank = tables.questions(spark, question("q1"), question("q2"))
+    used = lookups.restrict_violations(bank, tables.sessions(spark, session("a"), session("b")), "question_id")
+    assert [row.id for row in used.collect()] == ["q1"]
+
+
+def test_row_rules(spark):
+    loose = spark.createDataFrame(
+        [
+            ("ok", "p", ["a", "b"], 1),
+            ("three", "p", ["a", "b", "c"], 1),
+            ("range", "p", ["a", "b"], 2),
+            ("below", "p", ["a", "b"], -1),
+            ("null", None, None, None),
+        ],
+        "id string, prompt string, options array<string>, correct_option int",
+    )
+    checks = {
+        name: rule
+        for name, rule in rules.table_rules("questions").items()
+        if name in ("prompt_required", "choice_count", "correct_option_range")
+    }
+    judged = rules.validate_rows(loose, checks)
+    assert tables.column(rules.rejected_rows(judged), "id", "violations") == {
+        "three": ["choice_count"],
+        "range": ["correct_option_range"],
+        "below": ["correct_option_range"],
+        # A check on null passes; only the required column fails.
+        "null": ["prompt_required"],
+    }
+    assert [row.id for row in rules.clean_rows(judged).collect()] == ["ok"]
+
+
+def test_null_keys_are_distinct(spark):
+    table = tables.sessions(
+        spark,
+        session("a", kind="daily", day=tables.day(0)),
+        session("b", kind="daily", day=tables.day(0)),
+        session("c"),
+        session("d"),
+    )
+    got = rules.unique_violations(table, ["guild_id", "daily_date"]).collect()
+    assert [(row.guild_id, row.row_count) for row in got] == [("g", 2)]

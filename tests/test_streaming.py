@@ -1,0 +1,173 @@
+"""The stream against the batch on the same submissions, in few and many micro-batches."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+
+import drillbook.streaming.answers as stream_module
+from drillbook.operators import answers as an
+from drillbook.operators.profiles import merge_profiles, rebuild_profiles
+from drillbook.plans import close_day
+from drillbook.schemas import EMPLOYEE_PROFILES, PRESSES
+from drillbook.sources import parse_choice_id, read_submissions
+from drillbook.streaming import (
+    answer_log,
+    current_profiles,
+    dedup_stream,
+    prepare_store,
+    process_batch,
+    run_answer_stream,
+)
+from tests import tables
+from tests.tables import ZONE, question, session
+
+ZERO = datetime(2024, 1, 2, 6)
+
+
+def model(spark):
+    bank = tables.questions(spark, question("q1"), question("q2", ("a", "b", "c", "d"), 3))
+    made = [
+        session(f"{guild}{n}", "q1", "daily", guild, day=tables.day(n + 1), created=ZERO + timedelta(days=n))
+        for n in range(8)
+        for guild in ("g", "h")
+    ]
+    made += [session(f"t{n}", "q2", owner=f"u{n % 6}", created=ZERO) for n in range(20)]
+    return tables.sessions(spark, *made), bank
+
+
+def log(seed=1, size=300):
+    rng = random.Random(seed)
+    rows = []
+    for number in range(size):
+        at = ZERO + timedelta(seconds=rng.randrange(8 * 86400))
+        user = f"u{rng.randrange(6)}"
+        if rng.random() < 0.7:
+            target = f"{rng.choice('gh')}{max((at - ZERO).days - (rng.random() < 0.1), 0)}"
+            choice = rng.choice("0001")
+        else:
+            target, choice = f"t{rng.randrange(20)}", rng.choice("33012")
+        rows.append((f"{number:05d}", f"answer:{target}:{choice}", user, None, f"name-{user}", at))
+    return sorted(rows, key=lambda row: (row[5], row[0]))
+
+
+def presses(spark, rows):
+    return spark.createDataFrame(rows, PRESSES)
+
+
+def batch(spark, rows):
+    sessions, bank = model(spark)
+    enriched = an.enrich_submissions(parse_choice_id(presses(spark, rows)), sessions, bank)
+    verdicts = tables.column(an.judge_submissions(enriched, ZONE), "id", "verdict")
+    return verdicts, rebuild_profiles(an.accept_answers(enriched, ZONE))
+
+
+def same(left, right):
+    return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+
+
+def verdicts_of(spark, root):
+    return tables.column(answer_log(spark, root), "id", "verdict")
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_stream_equals_batch(spark, tmp_path, parts):
+    rows = log()
+    root, inbox = str(tmp_path / "store"), str(tmp_path / "inbox")
+    sessions, bank = model(spark)
+    prepare_store(spark, root)
+    for part in range(parts):
+        chunk = rows[len(rows) * part // parts : len(rows) * (part + 1) // parts]
+        presses(spark, chunk).write.mode("append").parquet(inbox)
+        query = run_answer_stream(read_submissions(spark, inbox), root, sessions, bank, ZONE)
+        query.awaitTermination()
+    verdicts, profiles = batch(spark, rows)
+    assert set(verdicts.values()) == {"ok", "duplicate", "expired", "not_owner"}
+    assert verdicts_of(spark, root) == verdicts
+    assert same(current_profiles(spark, root), profiles)
+
+
+def test_many_batches_with_snapshots_and_a_repeat(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream_module, "SNAPSHOT_EVERY", 3)
+    rows = log(2, 140)
+    root = str(tmp_path / "store")
+    sessions, bank = model(spark)
+    prepare_store(spark, root)
+    for number in range(8):
+        chunk = presses(spark, rows[140 * number // 8 : 140 * (number + 1) // 8])
+        process_batch(chunk, number, root, sessions, bank, ZONE)
+        if number in (0, 3, 4):
+            # The driver failed after the batch had written; it runs again.
+            before = verdicts_of(spark, root)
+            process_batch(chunk, number, root, sessions, bank, ZONE)
+            assert verdicts_of(spark, root) == before
+    verdicts, profiles = batch(spark, rows)
+    assert verdicts_of(spark, root) == verdicts
+    assert same(current_profiles(spark, root), profiles)
+
+
+def test_stream_goes_on_from_existing_profiles(spark, tmp_path):
+    rows = log(3, 80)
+    root = str(tmp_path / "store")
+    sessions, bank = model(spark)
+    start = spark.createDataFrame(
+        [
+            ("u1", "old name", 70, 4, tables.day(0), ZERO),
+            ("idle", "someone", 20, 1, tables.day(0), ZERO),
+        ],
+        EMPLOYEE_PROFILES,
+    )
+    prepare_store(spark, root, start)
+    process_batch(presses(spark, rows), 0, root, sessions, bank, ZONE)
+    enriched = an.enrich_submissions(parse_choice_id(presses(spark, rows)), sessions, bank)
+    expected = merge_profiles(start, an.accept_answers(enriched, ZONE))
+    assert same(current_profiles(spark, root), expected)
+
+
+def test_an_empty_batch_changes_nothing(spark, tmp_path):
+    root = str(tmp_path / "store")
+    sessions, bank = model(spark)
+    prepare_store(spark, root)
+    process_batch(presses(spark, []), 0, root, sessions, bank, ZONE)
+    assert answer_log(spark, root).count() == current_profiles(spark, root).count() == 0
+
+
+def test_stateful_dedup_keeps_one_answer_per_key(spark, tmp_path):
+    rows = log(4, 200)
+    inbox, out = str(tmp_path / "inbox"), str(tmp_path / "out")
+    (tmp_path / "inbox").mkdir()
+    sessions, bank = model(spark)
+    submissions = parse_choice_id(read_submissions(spark, inbox))
+    screened = an.screen_submissions(an.enrich_submissions(submissions, sessions, bank), ZONE)
+    for part in (rows[:90], rows[90:]):
+        presses(spark, part).write.mode("append").parquet(inbox)
+        (
+            dedup_stream(screened)
+            .select("session_id", "discord_user_id")
+            .writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", str(tmp_path / "checkpoint"))
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+    kept = [tuple(row) for row in spark.read.parquet(out).collect()]
+    verdicts, _ = batch(spark, rows)
+    accepted = {
+        (custom_id.split(":")[1], user)
+        for id, custom_id, user, *_ in rows
+        if verdicts[id] == "ok" and not custom_id.startswith("answer:t")
+    }
+    assert sorted(kept) == sorted(accepted)
+
+
+def test_closing_a_day(spark):
+    profiles = spark.createDataFrame(
+        [("ann", "n", 5, 3, tables.day(0), ZERO)], EMPLOYEE_PROFILES
+    )
+    sessions = tables.sessions(
+        spark, session("a", kind="daily", day=tables.day(1), message="m"), session("b", message="m")
+    )
+    closed, expired = close_day(profiles, sessions, "2024-01-03")
+    assert closed.first().daily_streak == 0
+    assert [row.id for row in expired.collect()] == ["a"]
