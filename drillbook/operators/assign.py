@@ -9,7 +9,7 @@ bank is.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from drillbook.functions import hash_number, stable_id
+from drillbook.functions import hash_number, hash_numbers, stable_id
 from drillbook.schemas import QUESTION_SESSIONS, QUIZ_RUNS
 from drillbook.sources.tables import evolve_schema
 
@@ -101,39 +101,45 @@ def pick_distinct(
 
     Floyd's sampling without replacement: draw j comes from 0..n-size+j, and a
     number drawn before is replaced by the top of that range. Requests are left
-    out when the bank has fewer rows than asked.
+    out when the bank has fewer rows than asked. Each pick is a join of its own,
+    so a request stays one row; Spark broadcasts the numbered bank once for all
+    of them while it is small.
     """
     key = F.col(request_key)
-
-    def add(chosen, j):
-        top = F.col("_size") - size + j
-        drawn = hash_number(F.lit(seed), key, j) % (top + 1)
-        return F.array_append(chosen, F.when(F.array_contains(chosen, drawn), top).otherwise(drawn))
-
-    chosen = F.aggregate(
-        F.sequence(F.lit(0), F.lit(size - 1)), F.array().cast("array<bigint>"), add
-    )
-    shuffled = F.array_sort(
-        F.transform(
-            chosen,
-            lambda idx: F.struct(
-                hash_number(F.lit(seed), key, F.lit("order"), idx).alias("rank"), idx.alias("idx")
-            ),
+    total = F.col("_size")
+    rows = (
+        requests.withColumn("_size", bank_size(bank))
+        .where(total >= size)
+        .withColumns(
+            {
+                "_draws": hash_numbers(size, F.lit(seed), key),
+                "_ranks": hash_numbers(size, F.lit(seed), key, F.lit("order")),
+            }
         )
     )
+    picks: list[str] = []
+    for j in range(size):
+        top = total - size + j
+        drawn = F.get("_draws", F.lit(j)) % (top + 1)
+        repeated = drawn.isin(*[F.col(pick) for pick in picks]) if picks else F.lit(False)
+        rows = rows.withColumn(f"_pick{j}", F.when(repeated, top).otherwise(drawn))
+        picks.append(f"_pick{j}")
+
     numbered = index_bank(bank).select("idx", "id")
-    picks = (
-        requests.select(request_key)
-        .withColumn("_size", bank_size(bank))
-        .where(F.col("_size") >= size)
-        .select(request_key, F.posexplode(shuffled).alias("_pos", "_pick"))
-        .select(request_key, "_pos", F.col("_pick.idx").alias("idx"))
-        .join(numbered, "idx")
-        .groupBy(request_key)
-        .agg(F.array_sort(F.collect_list(F.struct("_pos", "id"))).alias("_ids"))
-        .select(request_key, F.col("_ids.id").alias("picked_ids"))
+    for j in range(size):
+        one = numbered.select(F.col("idx").alias(f"_pick{j}"), F.col("id").alias(f"_id{j}"))
+        rows = rows.join(one, f"_pick{j}", "left")
+    ranked = F.array_sort(
+        F.array(
+            *[
+                F.struct(
+                    F.get("_ranks", F.lit(j)).alias("rank"), F.col(f"_id{j}").alias("id")
+                )
+                for j in range(size)
+            ]
+        )
     )
-    return requests.join(picks, request_key)
+    return rows.withColumn("picked_ids", ranked["id"]).select(*requests.columns, "picked_ids")
 
 
 def assign_quizzes(
@@ -167,7 +173,7 @@ def quiz_sessions(runs: DataFrame, channels: DataFrame) -> DataFrame:
     """
     question = F.get("question_ids", F.col("current_index"))
     opened = runs.withColumn("question_id", question).where(F.col("question_id").isNotNull())
-    placed = opened.join(channels, opened["id"] == channels["quiz_run_id"]).drop("quiz_run_id")
+    placed = opened.join(channels.withColumnRenamed("quiz_run_id", "id"), "id")
     return _sessions(
         placed.select(
             stable_id("quiz-session", F.col("id"), F.col("current_index")).alias("id"),
@@ -215,12 +221,11 @@ def assign_daily(
     is_new = F.col("status") == "new"
     draw = hash_number(F.lit(f"daily:{seed}"), F.col("guild_id"), F.col("daily_date"))
     empty = F.raise_error(F.lit("No enabled questions are available for the daily question."))
+    # Saved rows draw too, though they keep their question: a null would send
+    # them all to one task of the join.
     index = F.when(
-        is_new,
-        F.when(F.col("_size") == 0, empty.cast("bigint")).otherwise(
-            F.try_mod(draw, F.col("_size"))
-        ),
-    )
+        F.col("_size") == 0, F.when(is_new, empty.cast("bigint"))
+    ).otherwise(F.try_mod(draw, F.col("_size")))
     return (
         planned.withColumn("_size", bank_size(bank))
         .withColumn("idx", index)

@@ -24,7 +24,7 @@ def lookup_join(
     """
     looked_up = table.withColumnRenamed(key, "_lookup_key")
     how = "left" if optional else "inner"
-    return rows.join(looked_up, rows[foreign_key] == F.col("_lookup_key"), how).drop("_lookup_key")
+    return rows.join(looked_up, F.col(foreign_key) == F.col("_lookup_key"), how).drop("_lookup_key")
 
 
 def lookup_violations(
@@ -65,6 +65,10 @@ def cascade_delete(
 def restrict_violations(
     deletions: DataFrame, children: DataFrame, foreign_key: str, key: str = "id"
 ) -> DataFrame:
-    """Rows asked to be deleted that children still refer to."""
-    used = children.select(F.col(foreign_key).alias(key))
+    """Rows asked to be deleted that children still refer to.
+
+    References are made distinct map-side first: the right side of a semi join
+    cannot be split where one row has most of the children.
+    """
+    used = children.select(F.col(foreign_key).alias(key)).distinct()
     return deletions.join(used, key, "left_semi").select(*deletions.columns)

@@ -153,14 +153,24 @@ def run_answer_stream(
     )
 
 
-def dedup_stream(screened: DataFrame) -> DataFrame:
+def dedup_stream(screened: DataFrame, salts: int = 16) -> DataFrame:
     """Keep one passing daily answer per user and session of a stream.
 
-    Keys are remembered for the length of a daily question. Which of two answers
-    in one micro-batch stays is up to arrival; `process_batch` ranks them.
+    Keys are remembered for the length of a daily question; a row that arrives
+    later than that behind the newest one is not seen, so it suits a live feed.
+    Which of two answers in one micro-batch stays is up to arrival. Where late
+    rows or the order matter, `process_batch` keeps every row and ranks them.
+
+    A state operator shuffles all its rows by key, so repeats are dropped within
+    salted keys first: a key with any share of the stream spreads over `salts`
+    tasks and leaves at most that many rows for the second step.
     """
+    salted = ["session_id", "discord_user_id", "_salt"]
     return (
         screened.where("verdict = 'ok' and kind = 'daily'")
+        .withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
         .withWatermark("answered_at", DAILY_HORIZON)
-        .dropDuplicatesWithinWatermark(["session_id", "discord_user_id"])
+        .dropDuplicatesWithinWatermark(salted)
+        .dropDuplicatesWithinWatermark(salted[:-1])
+        .drop("_salt")
     )

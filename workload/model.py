@@ -25,9 +25,14 @@ class Model:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.folder = folder
+        self._tables: dict[str, DataFrame] = {}
+        self._events: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A driver table; its footer is read once per model."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     # Question bank ---------------------------------------------------------
 
@@ -64,58 +69,38 @@ class Model:
 
     def events(self) -> DataFrame:
         """Every event as a press, with the facts of its session."""
-        day = local_date(F.col("answered_at"), ZONE)
-        is_daily = F.col("kind") == "daily"
-        user = F.col("discord_user_id")
-        number = F.when(
-            is_daily,
-            F.datediff("daily_date", F.lit("2023-12-01").cast("date")).cast("bigint") * 7,
-        ).otherwise(F.col("event_id") * 7)
-        return (
-            self.table("events")
-            .select(
-                "event_id",
-                F.col("ts").cast("timestamp").alias("answered_at"),
-                F.col("user_id").cast("string").alias("discord_user_id"),
-                "user_id",
-                "event_type",
-                F.get_json_object("props", "$.k").cast("int").alias("k"),
-            )
-            .withColumn(
-                "kind",
-                F.when(F.col("event_type") == "purchase", "quiz")
-                .when(F.col("event_type") == "error", "trivia")
-                .otherwise("daily"),
-            )
-            .withColumn("local_date", day)
-            .withColumn(
-                "daily_date",
-                F.when(
-                    is_daily,
-                    F.date_sub("local_date", F.when(F.col("k") % 10 == 0, 1).otherwise(0)),
-                ),
-            )
-            .withColumn("guild_id", F.concat(F.lit("G-"), "event_type"))
-            .withColumn(
-                "session_id",
-                F.when(is_daily, F.concat_ws("-", F.lit("D"), "guild_id", "daily_date")).otherwise(
-                    F.concat(F.lit("S-"), F.col("event_id").cast("string"))
-                ),
-            )
-            .withColumn(
-                "owner_discord_user_id",
-                F.when((F.col("kind") == "trivia") & (F.col("k") % 7 == 0), F.concat(user, F.lit("x")))
-                .when(~is_daily, user),
-            )
-            .withColumn("question_number", number % self.bank_size())
-            .withColumn("block", F.floor((F.dayofmonth("local_date") - 1) / 7))
-            .withColumn(
-                "quiz_run_id",
-                F.when(
-                    F.col("kind") == "quiz",
-                    F.concat_ws("-", F.lit("R"), user, F.col("block").cast("string")),
-                ),
-            )
+        if self._events is None:
+            self._events = self._build_events()
+        return self._events
+
+    def _build_events(self) -> DataFrame:
+        pressed = self.table("events").selectExpr(
+            "event_id",
+            "cast(ts AS timestamp) AS answered_at",
+            "cast(user_id AS string) AS discord_user_id",
+            "user_id",
+            "event_type",
+            "cast(get_json_object(props, '$.k') AS int) AS k",
+            "CASE event_type WHEN 'purchase' THEN 'quiz' WHEN 'error' THEN 'trivia' "
+            "ELSE 'daily' END AS kind",
+            "concat('G-', event_type) AS guild_id",
+        )
+        dated = pressed.withColumn("local_date", local_date(F.col("answered_at"), ZONE)).selectExpr(
+            "*",
+            "CASE WHEN kind = 'daily' THEN "
+            "date_sub(local_date, if(k % 10 = 0, 1, 0)) END AS daily_date",
+            "cast(floor((dayofmonth(local_date) - 1) / 7) AS bigint) AS block",
+        )
+        return dated.withColumn("_n", self.bank_size()).selectExpr(
+            "* EXCEPT (_n)",
+            "CASE WHEN kind = 'daily' THEN concat('D-', guild_id, '-', cast(daily_date AS string)) "
+            "ELSE concat('S-', cast(event_id AS string)) END AS session_id",
+            "CASE WHEN kind = 'trivia' AND k % 7 = 0 THEN concat(discord_user_id, 'x') "
+            "WHEN kind <> 'daily' THEN discord_user_id END AS owner_discord_user_id",
+            "CASE WHEN kind = 'daily' THEN datediff(daily_date, DATE '2023-12-01') * 7L "
+            "ELSE event_id * 7 END % _n AS question_number",
+            "CASE WHEN kind = 'quiz' "
+            "THEN concat('R-', discord_user_id, '-', cast(block AS string)) END AS quiz_run_id",
         )
 
     def submissions(self) -> DataFrame:

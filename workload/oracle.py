@@ -137,22 +137,28 @@ def _hash(text: str) -> str:
     return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
 
 
+def _part(digest: str, place: int) -> str:
+    """The repeatable number at one place of a digest."""
+    return f"CAST('0x' || substr({digest}, {12 * place + 1}, 12) AS BIGINT)"
+
+
 _QUIZ = (
     _ENABLED
     + f""",
-t0 AS (SELECT ev.*, m, {_hash("'quiz:7|' || event_id || '|0'")} % (m - 4) AS d0 FROM ev, many
-  WHERE m >= 5),
-t1 AS (SELECT *, {_hash("'quiz:7|' || event_id || '|1'")} % (m - 3) AS x1,
-  CASE WHEN x1 = d0 THEN m - 4 ELSE x1 END AS d1 FROM t0),
-t2 AS (SELECT *, {_hash("'quiz:7|' || event_id || '|2'")} % (m - 2) AS x2,
+t AS (SELECT ev.*, m, sha256('quiz:7|' || event_id || '|0') AS h,
+  sha256('quiz:7|' || event_id || '|order|0') AS o FROM ev, many WHERE m >= 5),
+t0 AS (SELECT *, {_part("h", 0)} % (m - 4) AS d0 FROM t),
+t1 AS (SELECT *, {_part("h", 1)} % (m - 3) AS x1, CASE WHEN x1 = d0 THEN m - 4 ELSE x1 END AS d1
+  FROM t0),
+t2 AS (SELECT *, {_part("h", 2)} % (m - 2) AS x2,
   CASE WHEN x2 IN (d0, d1) THEN m - 3 ELSE x2 END AS d2 FROM t1),
-t3 AS (SELECT *, {_hash("'quiz:7|' || event_id || '|3'")} % (m - 1) AS x3,
+t3 AS (SELECT *, {_part("h", 3)} % (m - 1) AS x3,
   CASE WHEN x3 IN (d0, d1, d2) THEN m - 2 ELSE x3 END AS d3 FROM t2),
-t4 AS (SELECT *, {_hash("'quiz:7|' || event_id || '|4'")} % m AS x4,
+t4 AS (SELECT *, {_part("h", 4)} % m AS x4,
   CASE WHEN x4 IN (d0, d1, d2, d3) THEN m - 1 ELSE x4 END AS d4 FROM t3),
-drawn AS (SELECT event_id, unnest([d0, d1, d2, d3, d4]) AS idx FROM t4),
-runs AS (
-  SELECT event_id, list(numbered.id ORDER BY {_hash("'quiz:7|' || event_id || '|order|' || idx")}) AS ids
+drawn AS (SELECT event_id, unnest([d0, d1, d2, d3, d4]) AS idx,
+  unnest([{", ".join(_part("o", place) for place in range(5))}]) AS place FROM t4),
+runs AS (SELECT event_id, list(numbered.id ORDER BY place, numbered.id) AS ids
   FROM drawn JOIN numbered USING (idx) GROUP BY event_id)
 """
 )
