@@ -21,7 +21,7 @@ POINTS = 10
 def enrich_submissions(
     submissions: DataFrame, sessions: DataFrame, questions: DataFrame
 ) -> DataFrame:
-    """Add the session and its question to each submission.
+    """Add the session and its question to each submission; unknown sessions leave nulls.
 
     The question comes from the whole bank: a disabled one can still be answered
     while its session is open. Sessions meet questions first, so the larger
@@ -42,7 +42,7 @@ def enrich_submissions(
         keys,
         "question_id",
     )
-    return lookup_join(submissions, posed, "session_id")
+    return lookup_join(submissions, posed, "session_id", optional=True)
 
 
 def _refusal(zone: str) -> Column:
@@ -53,16 +53,19 @@ def _refusal(zone: str) -> Column:
     choice = F.col("selected_option")
     bad_choice = choice.isNull() | ~choice.between(FIRST_CHOICE, LAST_CHOICE)
     return (
-        F.when(not_owner, "not_owner").when(expired, "expired").when(bad_choice, "invalid_choice")
+        F.when(F.col("kind").isNull(), "unknown_session")
+        .when(not_owner, "not_owner")
+        .when(expired, "expired")
+        .when(bad_choice, "invalid_choice")
     )
 
 
 def screen_submissions(enriched: DataFrame, zone: str) -> DataFrame:
     """Add `verdict`: the first rule a submission breaks on its own, else ok.
 
-    The rules are ownership, expiry of a daily question outside its local day
-    (event time decides, however late the row arrives) and the range of the
-    choice. None of these refusals uses up the answerer's one answer.
+    The rules are a known session, ownership, expiry of a daily question outside
+    its local day (event time decides, however late the row arrives) and the
+    range of the choice. None of these refusals uses up the answerer's one answer.
     """
     return enriched.withColumn("verdict", F.coalesce(_refusal(zone), F.lit("ok")))
 
@@ -107,7 +110,10 @@ def mark_duplicates(screened: DataFrame, stored_answers: DataFrame | None = None
 def judge_submissions(
     enriched: DataFrame, zone: str, stored_answers: DataFrame | None = None
 ) -> DataFrame:
-    """The verdict of every submission: ok, not_owner, expired, invalid_choice or duplicate."""
+    """The verdict of every submission; no row is left out.
+
+    It is ok, unknown_session, not_owner, expired, invalid_choice or duplicate.
+    """
     return mark_duplicates(screen_submissions(enriched, zone), stored_answers)
 
 

@@ -69,11 +69,14 @@ def _fold(days: DataFrame, base: DataFrame | None, epoch: int, keep_all: bool) -
     )
     current = F.col("epoch") == epoch
     dated = current & F.col("daily_date").isNotNull()
+    last_day = F.max_by(
+        F.struct("daily_date", "end_streak"), F.when(dated, F.col("last_answer"))
+    )
     return chained.groupBy(USER).agg(
         F.first("old").alias("old"),
         F.max("latest").alias("latest"),
         F.sum(F.when(current, F.col("points"))).alias("points"),
-        F.max(F.when(dated, F.struct("daily_date", "end_streak"))).alias("state"),
+        last_day.alias("state"),
     )
 
 

@@ -1,10 +1,11 @@
 """Daily streaks: +1 for a correct answer the day after the last one, 0 for a wrong one, else 1.
 
 An accepted daily answer carries the local date it was given on, so a user's
-answers in time order are also in date order. That lets the fold run on one row
-per user and date instead of one row per answer: answers are combined per date
-before the shuffle, and the window that follows holds at most one row per
-calendar day of a user, however many answers that user gave.
+answers of one date follow each other without one of another date between. That
+lets the fold run on one row per user and date instead of one row per answer:
+answers are combined per date before the shuffle, and the window that follows
+holds at most one row per calendar day of a user, however many answers that
+user gave.
 """
 
 from pyspark.sql import Column, DataFrame, Window

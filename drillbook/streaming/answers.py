@@ -10,6 +10,7 @@ leaves the same result.
     snapshots/batch_id=K           all profiles, after every so many batches
 """
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,13 +95,17 @@ def process_batch(
     presses: DataFrame,
     batch_id: int,
     root: str,
-    sessions: DataFrame,
-    questions: DataFrame,
+    sessions: Callable[[], DataFrame],
+    questions: Callable[[], DataFrame],
     zone: str,
 ) -> None:
-    """Judge, store and fold one micro-batch."""
+    """Judge, store and fold one micro-batch.
+
+    `sessions` and `questions` are read anew here, as both tables grow while the
+    stream runs.
+    """
     spark = presses.sparkSession
-    enriched = enrich_submissions(parse_choice_id(presses), sessions, questions)
+    enriched = enrich_submissions(parse_choice_id(presses), sessions(), questions())
     staged = f"{root}/staged"
     screen_submissions(enriched, zone).write.mode("overwrite").parquet(staged)
     screened = spark.read.parquet(staged)
@@ -136,8 +141,8 @@ def process_batch(
 def run_answer_stream(
     presses: DataFrame,
     root: str,
-    sessions: DataFrame,
-    questions: DataFrame,
+    sessions: Callable[[], DataFrame],
+    questions: Callable[[], DataFrame],
     zone: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:

@@ -147,6 +147,8 @@ def test_submissions_without_a_session_are_reported(spark):
     sessions = tables.sessions(spark, session("s1"), session("s2"), session("s2", guild="h"))
     got = lookup_violations(rows, sessions, "session_id")
     assert {tuple(row) for row in got.collect()} == {("gone", "missing", 1), ("s2", "duplicate", 2)}
+    gone = [submission("1", "gone", "ann", 0), submission("2", "s1", "ann", 0)]
+    assert verdicts(spark, [session("s1")], gone) == {"1": "unknown_session", "2": "ok"}
 
 
 def test_reject_log(spark):

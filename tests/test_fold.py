@@ -156,6 +156,26 @@ def test_first_answer_of_a_date_follows_the_end_of_the_day_before(spark):
     assert got == {"1": 1, "2": 0, "3": 1, "4": 1, "5": 2, "7": 1}
 
 
+def test_dates_follow_the_clock_not_the_calendar(spark):
+    at = tables.START
+    rows = [
+        ("1", "s1", "u", None, "u", tables.day(5), True, 10, at),
+        ("2", "s2", "u", None, "u", tables.day(6), True, 10, at + timedelta(hours=1)),
+        # A session for an earlier date, answered later.
+        ("3", "s3", "u", None, "u", tables.day(1), True, 10, at + timedelta(hours=2)),
+        ("4", "s4", "u", None, "u", tables.day(2), True, 10, at + timedelta(hours=3)),
+    ]
+    answers = tables.answers(spark, rows)
+    assert tables.column(daily_streaks(answers), "id", "daily_streak") == {
+        "1": 1,
+        "2": 2,
+        "3": 1,
+        "4": 2,
+    }
+    state = rebuild_profiles(answers).first()
+    assert (state.daily_streak, state.last_daily_date) == (2, tables.day(2))
+
+
 def test_empty_log(spark):
     none = tables.answers(spark, [])
     assert daily_streaks(none).collect() == []

@@ -79,7 +79,7 @@ def test_stream_equals_batch(spark, tmp_path, parts):
     for part in range(parts):
         chunk = rows[len(rows) * part // parts : len(rows) * (part + 1) // parts]
         presses(spark, chunk).write.mode("append").parquet(inbox)
-        query = run_answer_stream(read_submissions(spark, inbox), root, sessions, bank, ZONE)
+        query = run_answer_stream(read_submissions(spark, inbox), root, lambda: sessions, lambda: bank, ZONE)
         query.awaitTermination()
     verdicts, profiles = batch(spark, rows)
     assert set(verdicts.values()) == {"ok", "duplicate", "expired", "not_owner"}
@@ -95,11 +95,11 @@ def test_many_batches_with_snapshots_and_a_repeat(spark, tmp_path, monkeypatch):
     prepare_store(spark, root)
     for number in range(8):
         chunk = presses(spark, rows[140 * number // 8 : 140 * (number + 1) // 8])
-        process_batch(chunk, number, root, sessions, bank, ZONE)
+        process_batch(chunk, number, root, lambda: sessions, lambda: bank, ZONE)
         if number in (0, 3, 4):
             # The driver failed after the batch had written; it runs again.
             before = verdicts_of(spark, root)
-            process_batch(chunk, number, root, sessions, bank, ZONE)
+            process_batch(chunk, number, root, lambda: sessions, lambda: bank, ZONE)
             assert verdicts_of(spark, root) == before
     verdicts, profiles = batch(spark, rows)
     assert verdicts_of(spark, root) == verdicts
@@ -118,7 +118,7 @@ def test_stream_goes_on_from_existing_profiles(spark, tmp_path):
         EMPLOYEE_PROFILES,
     )
     prepare_store(spark, root, start)
-    process_batch(presses(spark, rows), 0, root, sessions, bank, ZONE)
+    process_batch(presses(spark, rows), 0, root, lambda: sessions, lambda: bank, ZONE)
     enriched = an.enrich_submissions(parse_choice_id(presses(spark, rows)), sessions, bank)
     expected = merge_profiles(start, an.accept_answers(enriched, ZONE))
     assert same(current_profiles(spark, root), expected)
@@ -128,7 +128,7 @@ def test_an_empty_batch_changes_nothing(spark, tmp_path):
     root = str(tmp_path / "store")
     sessions, bank = model(spark)
     prepare_store(spark, root)
-    process_batch(presses(spark, []), 0, root, sessions, bank, ZONE)
+    process_batch(presses(spark, []), 0, root, lambda: sessions, lambda: bank, ZONE)
     assert answer_log(spark, root).count() == current_profiles(spark, root).count() == 0
 
 

@@ -113,7 +113,9 @@ class Model:
         user = F.col("discord_user_id")
         return self.events().select(
             F.col("event_id").cast("string").alias("id"),
-            "session_id",
+            F.when(F.col("k") == 98, F.concat(F.lit("X-"), F.col("event_id").cast("string")))
+            .otherwise(F.col("session_id"))
+            .alias("session_id"),
             "discord_user_id",
             F.when(F.col("user_id") % 3 != 0, F.concat_ws("-", F.lit("Name"), user, "event_type"))
             .alias("global_name"),

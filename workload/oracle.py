@@ -39,7 +39,8 @@ ev AS (
       THEN 'R-' || usr || '-' || CAST(CAST(floor((day(local_date) - 1) / 7) AS BIGINT) AS VARCHAR) END AS run
   FROM dated d, sized),
 sub AS (
-  SELECT ev.*, CAST(event_id AS VARCHAR) AS id, cnt, correct, explanation,
+  SELECT ev.* REPLACE (CASE WHEN k = 98 THEN 'X-' || event_id ELSE session END AS session),
+    CAST(event_id AS VARCHAR) AS id, cnt, correct, explanation,
     CASE WHEN k = 99 THEN 7 WHEN k < 60 THEN correct ELSE k % cnt END AS selected,
     CASE WHEN user_id % 3 <> 0 THEN 'Name-' || usr || '-' || event_type ELSE 'user' || usr END AS name
   FROM ev JOIN bank ON bank.num = ev.qnum),
@@ -50,6 +51,7 @@ ses AS (
   FROM (SELECT * REPLACE (CASE WHEN kind = 'daily' THEN NULL ELSE local_date END AS local_date) FROM ev)),
 screened AS (
   SELECT *, CASE
+    WHEN k = 98 THEN 'unknown_session'
     WHEN coalesce(owner, '') <> '' AND owner <> usr THEN 'not_owner'
     WHEN kind = 'daily' AND daily_date IS DISTINCT FROM local_date THEN 'expired'
     WHEN selected NOT BETWEEN 0 AND 4 THEN 'invalid_choice' ELSE 'ok' END AS screen
@@ -255,7 +257,9 @@ ORACLES: dict[str, str] = {
     + "SELECT verdict AS reason, count(*) AS row_count FROM judged WHERE verdict <> 'ok' GROUP BY 1",
     "submissions_enriched": _BASE
     + """SELECT id, kind, guild AS guild_id, CAST(qnum AS VARCHAR) AS question_id,
-    CAST(daily_date AS VARCHAR) AS daily_date, CAST(correct AS BIGINT) AS correct_option FROM sub""",
+    CAST(daily_date AS VARCHAR) AS daily_date, CAST(correct AS BIGINT) AS correct_option FROM sub
+    WHERE k <> 98
+    UNION ALL SELECT id, NULL, NULL, NULL, NULL, NULL FROM sub WHERE k = 98""",
     "answers_scored": _BASE
     + """SELECT id, session AS session_id, usr AS discord_user_id,
     CAST(selected AS BIGINT) AS selected_option, ok AS is_correct,
@@ -340,7 +344,7 @@ ORACLES: dict[str, str] = {
       CASE WHEN len(first_steps) > 0 THEN 'First steps=' || array_to_string(
         list_transform(first_steps, lambda x: '• ' || x), chr(10)) END) END AS sections
     FROM cards WHERE enabled""",
-    "active_question_bank": _BASE
+    "active_questions": _BASE
     + """SELECT id, prompt, array_to_string(options, '|') AS options,
     CAST(correct AS BIGINT) AS correct_option, explanation, topic FROM opts WHERE enabled""",
     "card_picked": f"""WITH numbered AS (
@@ -429,7 +433,7 @@ ORACLES: dict[str, str] = {
     "cards_replaced_with_notes": _CARDS
     + "SELECT id, title, grown AS sections FROM noted WHERE enabled",
     "table_replaced": _BASE + "SELECT id, tagged AS prompt, topic FROM bank WHERE NOT stored",
-    "question_drop": _BASE
+    "content_drop": _BASE
     + """SELECT prompt, array_to_string(options, '|') AS options, CAST(correct AS BIGINT) AS correct_option,
     explanation, topic FROM opts""",
     "card_drop": _CARDS
@@ -483,7 +487,7 @@ ORACLES: dict[str, str] = {
     + f"""SELECT id, session AS session_id, CASE WHEN ts < {_CUT} THEN CAST(selected AS BIGINT) END
     AS selected_option FROM sub""",
     "answer_stream": _BASE
-    + """SELECT id, verdict, CAST(CASE WHEN selected = correct THEN 10 ELSE 0 END AS BIGINT)
+    + """SELECT id, verdict, CAST(CASE WHEN k <> 98 AND selected = correct THEN 10 ELSE 0 END AS BIGINT)
     AS points_awarded FROM judged""",
     "answer_stream_profiles": _WHOLE + _PROFILE,
     "stream_day_close": _WHOLE

@@ -23,7 +23,6 @@ from drillbook.operators import assign, content, lookups, profiles, quizzes, rep
 from drillbook.plans import close_day, leaderboard_from_submissions
 from drillbook.schemas import CARD_DROP, QUESTION_DROP, TRAINING_CARDS
 from drillbook.sources import (
-    active_questions,
     evolve_schema,
     parse_choice_id,
     publish_tables,
@@ -32,6 +31,7 @@ from drillbook.sources import (
     read_version,
     replace_table,
     shared_folder,
+    tables,
 )
 from drillbook.streaming import (
     answer_log,
@@ -265,8 +265,8 @@ def card_sections(m: Model) -> DataFrame:
 
 
 @query
-def active_question_bank(m: Model) -> DataFrame:
-    return active_questions(m.questions()).select(
+def active_questions(m: Model) -> DataFrame:
+    return tables.active_questions(m.questions()).select(
         "id", "prompt", "options", "correct_option", "explanation", "topic"
     )
 
@@ -404,9 +404,9 @@ def table_replaced(m: Model) -> DataFrame:
 
 
 @query
-def question_drop(m: Model) -> DataFrame:
+def content_drop(m: Model) -> DataFrame:
     """The bank written as a JSON content drop and read back with its schema."""
-    path = shared_folder(m.spark, "question-drop")
+    path = shared_folder(m.spark, "content-drop")
     m.questions().select(*QUESTION_DROP.names).write.json(path)
     return read_content_drop(m.spark, path, QUESTION_DROP)
 
@@ -568,7 +568,7 @@ def _stream_answers(m: Model) -> str:
     for part in parts:
         m.presses().where(part).write.mode("append").parquet(inbox)
         stream = read_submissions(m.spark, inbox)
-        run_answer_stream(stream, root, m.sessions(), m.questions(), ZONE).awaitTermination()
+        run_answer_stream(stream, root, m.sessions, m.questions, ZONE).awaitTermination()
     return root
 
 
