@@ -92,16 +92,17 @@ def chain_days(days: DataFrame) -> DataFrame:
     ).drop("_prior_date", "_next_day", "_known")
 
 
-def daily_streaks(answers: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    """Each accepted daily answer with the streak it left its user with.
+def with_streaks(answers: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Accepted answers with the `daily_streak` each daily one left its user with, else null.
 
     Needs id, discord_user_id, daily_date, answered_at and is_correct, and uses
     epoch where present. `base` holds stored profiles to go on from. Only a
     date's first answer takes part in the chain; it gets its value by answer id,
     and any other answer of that date counts 1 or 0.
     """
-    daily = with_epoch(answers.where(F.col("daily_date").isNotNull()))
-    days = daily.groupBy(USER, "epoch", "daily_date").agg(*day_columns())
+    answers = with_epoch(answers)
+    is_daily = F.col("daily_date").isNotNull()
+    days = answers.where(is_daily).groupBy(USER, "epoch", "daily_date").agg(*day_columns())
     if base is None:
         days = days.withColumns(
             {"base_date": F.lit(None).cast("date"), "base_streak": F.lit(None).cast("int")}
@@ -116,14 +117,19 @@ def daily_streaks(answers: DataFrame, base: DataFrame | None = None) -> DataFram
     firsts = chain_days(days).select(
         F.col("first_answer.id").alias("id"), F.col("first_streak").alias("_first_streak")
     )
-    streak = F.coalesce("_first_streak", F.col("is_correct").cast("int"))
+    streak = F.when(is_daily, F.coalesce("_first_streak", F.col("is_correct").cast("int")))
     return (
-        daily.join(firsts, "id", "left")
+        answers.join(firsts, "id", "left")
         .withColumn("daily_streak", streak)
         .drop("_first_streak")
     )
 
 
+def daily_streaks(answers: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """The daily ones of the accepted answers, with their streaks."""
+    return with_streaks(answers.where(F.col("daily_date").isNotNull()), base)
+
+
 def reset_missed_streaks(profiles: DataFrame, as_of, now=None) -> DataFrame:
     """Zero the streak of users whose last daily answer is before the day before `as_of`.
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from drillbook.operators import answers as an
 from drillbook.operators.lookups import lookup_violations
-from drillbook.operators.streaks import daily_streaks
+from drillbook.operators.streaks import with_streaks
 from drillbook.sources import parse_choice_id
 from tests import tables
 from tests.tables import START, ZONE, question, session, submission
@@ -176,8 +176,7 @@ def test_result_texts(spark):
         session("t", "q2"),
     ]
     accepted = an.accept_answers(enriched(spark, sessions, rows, bank), ZONE)
-    streak = daily_streaks(accepted).select("id", "daily_streak")
-    got = an.answer_results(accepted.join(streak, "id", "left"))
+    got = an.answer_results(with_streaks(accepted))
     assert tables.column(got, "id", "description") == {
         "1": "**B — no**\n\n+10 points\n\n🔥 **Daily streak:** 1 day",
         "2": "**E — e**\n\n**Why:** Because.\n\n+10 points\n\n🔥 **Daily streak:** 2 days",

@@ -450,13 +450,12 @@ ORACLES: dict[str, str] = {
     "row_rule_violations": _BASE
     + """, broken AS (
       SELECT 'questions' AS table_name, id AS row_key, concat_ws('|',
-        CASE WHEN p_size % 11 = 0 THEN 'prompt_required' END,
-        CASE WHEN least(cnt, p_size % 6) NOT IN (2, 4, 5) THEN 'choice_count' END,
-        CASE WHEN correct >= least(cnt, p_size % 6) THEN 'correct_option_range' END) AS violations
+        CASE WHEN num % 11 = 0 THEN 'prompt_required' END,
+        CASE WHEN least(cnt, num % 6) NOT IN (2, 4, 5) THEN 'choice_count' END,
+        CASE WHEN correct >= least(cnt, num % 6) THEN 'correct_option_range' END) AS violations
       FROM bank
       UNION ALL
-      SELECT 'question_sessions', session, CASE WHEN k % 13 = 0 THEN 'kind' ELSE '' END
-      FROM ev WHERE kind <> 'daily'
+      SELECT 'question_sessions', id, CASE WHEN owner LIKE '%x' THEN 'kind' ELSE '' END FROM ses
       UNION ALL
       SELECT 'question_answers', CAST(event_id AS VARCHAR), concat_ws('|',
         CASE WHEN k = 50 THEN 'discord_user_id_required' END,

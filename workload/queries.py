@@ -140,9 +140,7 @@ def accepted_answers_scored(m: Model) -> DataFrame:
 
 @query
 def answer_results(m: Model) -> DataFrame:
-    accepted = m.accepted()
-    streak = streaks.daily_streaks(accepted).select("id", "daily_streak")
-    return an.answer_results(accepted.join(streak, "id", "left"))
+    return an.answer_results(streaks.with_streaks(m.accepted()))
 
 
 # Streaks and profiles -------------------------------------------------------
@@ -464,21 +462,18 @@ def restricted_questions(m: Model) -> DataFrame:
 @query
 def row_rule_violations(m: Model) -> DataFrame:
     """The rules of four tables over rows with faults."""
-    size = F.col("p_size")
-    questions = m.questions().join(
-        m.table("part").select(F.col("p_partkey").cast("string").alias("id"), "p_size"), "id"
-    ).withColumns(
+    number = F.col("id").cast("bigint")
+    questions = m.questions().withColumns(
         {
-            "options": F.slice("options", 1, size % 6),
-            "prompt": F.when(size % 11 != 0, F.col("prompt")),
+            "options": F.slice("options", 1, (number % 6).cast("int")),
+            "prompt": F.when(number % 11 != 0, F.col("prompt")),
         }
     )
-    events = m.events()
-    sessions = m.sessions().join(
-        events.select(F.concat(F.lit("S-"), F.col("event_id").cast("string")).alias("id"), "k"),
-        "id",
-    ).withColumn("kind", F.when(F.col("k") % 13 == 0, "survey").otherwise(F.col("kind")))
-    answers = events.select(
+    foreign = F.coalesce(F.col("owner_discord_user_id").endswith("x"), F.lit(False))
+    sessions = m.sessions().withColumn(
+        "kind", F.when(foreign, "survey").otherwise(F.col("kind"))
+    )
+    answers = m.events().select(
         F.col("event_id").cast("string").alias("id"),
         "session_id",
         F.when(F.col("k") != 50, F.col("discord_user_id")).alias("discord_user_id"),
