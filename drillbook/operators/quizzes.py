@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drillbook.functions import letter
 from drillbook.operators.answers import POINTS
 
 
@@ -79,13 +78,3 @@ def next_quiz_questions(runs: DataFrame, questions: DataFrame) -> DataFrame:
             "options",
         )
     )
-
-
-def question_text(prompt: str = "prompt", options: str = "options"):
-    """A question as shown: the prompt, then one lettered line per choice."""
-    lines = F.transform(
-        F.col(options), lambda option, i: F.concat(F.lit("**"), letter(i), F.lit(".** "), option)
-    )
-    return F.concat(
-        F.col(prompt), F.lit("\n\n"), F.array_join(lines, "\n"), F.lit("\n\nSelect an option below.")
-    )

@@ -1,9 +1,9 @@
 """Leaderboard, employee stats, activity counts and the texts of questions and cards."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drillbook.operators.quizzes import question_text
+from drillbook.functions import letter
 
 # Report lengths and the bullet of card lists.
 LEADERBOARD_SIZE = 10
@@ -41,7 +41,7 @@ def leaderboard(profiles: DataFrame, size: int = LEADERBOARD_SIZE) -> DataFrame:
 
 
 def report_text(lines: DataFrame, empty: str, order: str = "position") -> DataFrame:
-    """One message from the at most few lines of a report, or the text for an empty one."""
+    """One message from the few lines of a limited report, or the text for an empty one."""
     listed = F.array_sort(F.collect_list(F.struct(order, "line")))
     text = F.array_join(F.transform(listed, lambda row: row["line"]), "\n")
     return lines.agg(F.when(F.count("*") == 0, F.lit(empty)).otherwise(text).alias("text"))
@@ -87,6 +87,16 @@ def training_activity_by_guild(answers: DataFrame, sessions: DataFrame) -> DataF
     )
 
 
+def question_text(prompt: str = "prompt", options: str = "options") -> Column:
+    """A question as shown: the prompt, then one lettered line per choice."""
+    lines = F.transform(
+        F.col(options), lambda option, i: F.concat(F.lit("**"), letter(i), F.lit(".** "), option)
+    )
+    return F.concat(
+        F.col(prompt), F.lit("\n\n"), F.array_join(lines, "\n"), F.lit("\n\nSelect an option below.")
+    )
+
+
 def format_questions(questions: DataFrame) -> DataFrame:
     return questions.select("id", question_text().alias("description"))
 

@@ -28,7 +28,8 @@ def test_seed_only_an_empty_table(spark):
 
 
 def test_intake_rules_in_order(spark):
-    columns = "id int, prompt string, a string, b string, c string, d string, e string, correct int, why string, topic string"
+    texts = ", ".join(f"{name} string" for name in ("prompt", "a", "b", "c", "d", "e"))
+    columns = f"id int, {texts}, correct int, why string, topic string"
     rows = [
         (1, "p", "a", "b", None, None, None, 2, None, None),
         (2, "p", "a", "b", "c", "d", None, 4, "w", "t"),
@@ -149,7 +150,8 @@ def test_cascade_keeps_children_without_a_parent_reference(spark):
 
 def test_restrict_lists_rows_in_use(spark):
     bank = tables.questions(spark, question("q1"), question("q2"))
-    used = lookups.restrict_violations(bank, tables.sessions(spark, session("a"), session("b")), "question_id")
+    sessions = tables.sessions(spark, session("a"), session("b"))
+    used = lookups.restrict_violations(bank, sessions, "question_id")
     assert [row.id for row in used.collect()] == ["q1"]
 
 

@@ -1,6 +1,6 @@
 """The SQL that each registered query is compared with, for an engine with ANSI windows.
 
-Written from the model and the reference semantics, not from the Spark plans:
+Written from the model and the rules it states, not from the Spark plans:
 duplicates by ranking all submissions, streaks by gaps and islands over single
 answers, picks by a global row number.
 """
