@@ -5,7 +5,13 @@ from drillbook.sources.tables import (
     read_content_drop,
     read_table,
 )
-from drillbook.sources.versions import publish_tables, read_version, replace_table, shared_folder
+from drillbook.sources.versions import (
+    publish_tables,
+    read_version,
+    replace_table,
+    shared_folder,
+    write_once,
+)
 
 __all__ = [
     "active_questions",
@@ -18,4 +24,5 @@ __all__ = [
     "read_version",
     "replace_table",
     "shared_folder",
+    "write_once",
 ]

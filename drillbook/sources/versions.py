@@ -31,6 +31,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def write_once(rows: DataFrame, name: str) -> DataFrame:
+    """Write rows to a fresh shared folder and go on from the written table.
+
+    For results that several branches of a job use: the work before is done
+    once, and a lost executor costs a read, not the whole lineage.
+    """
+    spark = rows.sparkSession
+    path = shared_folder(spark, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def current_version(spark: SparkSession, root: str) -> int:
     """Number of the current version, or 0 when nothing was published yet."""
     try:

@@ -11,6 +11,7 @@ from drillbook.sources import (
     read_version,
     replace_table,
     shared_folder,
+    write_once,
 )
 from tests import tables
 from tests.tables import question
@@ -61,6 +62,15 @@ def test_an_unfinished_version_is_not_current(spark, tmp_path):
     assert read_version(spark, root, "a").count() == 4
 
 
+def test_a_written_table_keeps_its_rows_and_drops_its_lineage(spark):
+    rows = tables.questions(spark, question("q1"), question("q2"))
+    written = write_once(rows, "written")
+    assert written.columns == rows.columns
+    assert written.exceptAll(rows).isEmpty() and written.count() == 2
+    plan = written._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "LocalTableScan" not in plan
+
+
 def test_shared_folder_uses_the_cluster_setting():
     def session(master, folder):
         return SimpleNamespace(

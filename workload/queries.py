@@ -32,6 +32,7 @@ from drillbook.sources import (
     replace_table,
     shared_folder,
     tables,
+    write_once,
 )
 from drillbook.streaming import (
     answer_log,
@@ -83,6 +84,11 @@ def plain(rows: DataFrame) -> DataFrame:
     return rows.select(*columns)
 
 
+def _answer_log(m: Model) -> DataFrame:
+    """The accepted answers as a stored table, for queries that read them more than once."""
+    return write_once(m.accepted(), "answer-log")
+
+
 # Answer pipeline ------------------------------------------------------------
 
 
@@ -140,7 +146,7 @@ def accepted_answers_scored(m: Model) -> DataFrame:
 
 @query
 def answer_results(m: Model) -> DataFrame:
-    return an.answer_results(streaks.with_streaks(m.accepted()))
+    return an.answer_results(streaks.with_streaks(_answer_log(m)))
 
 
 # Streaks and profiles -------------------------------------------------------
@@ -148,19 +154,19 @@ def answer_results(m: Model) -> DataFrame:
 
 @query
 def daily_streaks(m: Model) -> DataFrame:
-    return streaks.daily_streaks(m.accepted()).select(
+    return streaks.daily_streaks(_answer_log(m)).select(
         "id", "discord_user_id", "daily_date", "daily_streak"
     )
 
 
 @query
 def daily_streaks_with_reset(m: Model) -> DataFrame:
-    in_epochs = streaks.assign_epoch(m.accepted(), RESETS)
+    in_epochs = streaks.assign_epoch(_answer_log(m), RESETS)
     return streaks.daily_streaks(in_epochs).select("id", "epoch", "daily_streak")
 
 
 def _around_cut(m: Model) -> tuple[DataFrame, DataFrame]:
-    accepted = m.accepted()
+    accepted = _answer_log(m)
     cut = instant(CUT)
     before = accepted.where(F.col("answered_at") < cut)
     return profiles.rebuild_profiles(before), accepted.where(F.col("answered_at") >= cut)
