@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, secrets, tokens
+from . import lines, mixing, packing, secrets, tokens
 from .shared import read, words
 
 
@@ -15,6 +15,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = read(spark, sf_dir, "documents").select(
         "doc_id", "source", words(F.col("text")).alias("size")
@@ -37,6 +41,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_packing": op3_packing,
     "op4_source_mix": op4_source_mix,
     "op7_secrets": op7_secrets,
     "op10_line_dedup": op10_line_dedup,

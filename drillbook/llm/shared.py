@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: ASCII white space, as in [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -20,6 +22,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did.
+
+    A cluster has the package installed; a local session may have been started
+    anywhere.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 class Scratch:
     """Tables of one job under `spark.checkpoint.dir`, which all executors share.
 
@@ -72,9 +87,8 @@ def map_slices(
     rows: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str
 ) -> DataFrame:
     """`work` on column lists of a few hundred rows at a time, without pandas."""
+    importable(rows.sparkSession)
     fields = rows.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(fields)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
