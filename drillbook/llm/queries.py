@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_text, lines, mixing, packing, secrets, tokens
+from . import fingerprints, html_text, lines, mixing, packing, secrets, tokens, toxicity
 from .shared import read, words
 
 
@@ -36,6 +36,12 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, read(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(documents, model)
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(read(spark, sf_dir, "pages"))
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mix": op4_source_mix,
     "op5_fingerprints": op5_fingerprints,
     "op7_secrets": op7_secrets,
+    "op8_toxicity": op8_toxicity,
     "op9_html_text": op9_html_text,
     "op10_line_dedup": op10_line_dedup,
 }
