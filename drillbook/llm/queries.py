@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_text, lines, mixing, packing, secrets, tokens, toxicity
+from . import embeddings, fingerprints, html_text, lines, mixing, packing, secrets, tokens, toxicity
 from .shared import read, words
 
 
+def op1_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dups": op1_embedding_near_dups,
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
     "op4_source_mix": op4_source_mix,
