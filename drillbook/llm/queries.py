@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprints, html_text, lines, mixing, packing, secrets, tokens, toxicity
+from . import (
+    embeddings,
+    fingerprints,
+    html_text,
+    lines,
+    mixing,
+    near_dups,
+    packing,
+    secrets,
+    tokens,
+    toxicity,
+)
 from .shared import read, words
 
 
@@ -36,6 +47,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(read(spark, sf_dir, "documents"))
 
 
+def op6_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_dups.near_classes(read(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", "kept")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read(spark, sf_dir, "documents"))
 
@@ -63,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_source_mix": op4_source_mix,
     "op5_fingerprints": op5_fingerprints,
+    "op6_minhash_near_dups": op6_minhash_near_dups,
     "op7_secrets": op7_secrets,
     "op8_toxicity": op8_toxicity,
     "op9_html_text": op9_html_text,
