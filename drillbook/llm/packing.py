@@ -13,11 +13,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from functools import cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -25,7 +28,7 @@ from tokenizers import Tokenizer
 from .shared import Scratch, map_slices
 
 #: Words, and parts of words, whose ids a worker keeps.
-WORDS_KEPT, PARTS_KEPT = 400_000, 800_000
+WORDS_KEPT, PARTS_KEPT = 500_000, 900_000
 #: Rows of one size that a ranking window may hold on average.
 RANKED_ROWS = 4_000
 #: (size, first rank, documents, gap, first gap rank, documents a gap)
@@ -36,8 +39,13 @@ Segment = tuple[int, int, int, int, int, int]
 LATIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: What that pattern or white space might treat otherwise than the splitter.
 NOT_LATIN = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]|<[|]")
-#: White space to Python but not to the splitter.
-SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+
+#: Fixed rule of byte-level vocabularies: printable bytes stand for themselves,
+#: the others, in order, for the characters from U+0100 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_LETTERS = {
+    byte: 0x100 + i for i, byte in enumerate(b for b in range(256) if b not in _PRINTABLE)
+}
 
 
 class WordIds:
@@ -50,33 +58,39 @@ class WordIds:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
 
-    def _encode_parts(self, parts: list[str]) -> None:
-        """Parts of Latin words, all in one text."""
-        found = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
-        ids = np.array(found.ids, dtype="<u4").tobytes()
-        numbers = np.array(found.word_ids, dtype=np.int64)
-        cuts = (4 * np.searchsorted(numbers, np.arange(len(parts) + 1))).tolist()
-        for part, start, end in zip(parts, cuts, cuts[1:]):
-            self.parts[part] = ids[start:end]
+    def _encode_parts(self, parts: set[str]) -> None:
+        """A part is one unit of the model, so its bytes go there directly."""
+        tokenize = self.tokenizer.model.tokenize
+        for part in parts:
+            unit = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LETTERS)
+            self.parts[part] = array("I", [token.id for token in tokenize(unit)]).tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        split: dict[str, list[str]] = {}
+        split: dict[str, tuple[str, ...] | list[str]] = {}
         for word in words:
+            if word.isascii():
+                stem, end = word[:-1], word[-1:]
+                if word.isalpha():
+                    split[word] = (word.lower(),)
+                    continue
+                if end in ",." and stem.isalpha():
+                    split[word] = (stem.lower(), end)
+                    continue
             lowered = word.lower()
             if NOT_LATIN.search(lowered):
                 one = self.tokenizer.encode(word, add_special_tokens=False)
                 self.words[word] = np.array(one.ids, dtype="<u4").tobytes()
             else:
                 split[word] = LATIN_PARTS.findall(lowered)
-        needed = set().union(*split.values())
+        needed = {part for parts in split.values() for part in parts}
         fresh = needed.difference(self.parts)
         if len(self.parts) + len(fresh) > PARTS_KEPT:
             self.parts.clear()
             fresh = needed
-        self._encode_parts(list(fresh))
+        self._encode_parts(fresh)
         known = self.parts
         for word, parts in split.items():
             if len(parts) == 1:
@@ -85,21 +99,31 @@ class WordIds:
                 self.words[word] = b"".join([known[part] for part in parts])
 
     def many(self, texts: list[str]) -> list[bytes]:
-        cut = [
-            text.split(" ") if any(mark in text for mark in SEPARATORS) else text.split()
-            for text in texts
-        ]
-        distinct = set().union(*cut)
-        unknown = distinct.difference(self.words)
-        if len(self.words) > WORDS_KEPT and 2 * len(unknown) > len(distinct):
-            self.words.clear()  # texts of another kind
-            unknown = distinct
+        """Each distinct word of the texts is looked up once, the rest is array work."""
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        ends = cut.offsets.to_numpy()
+        coded = cut.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        known = self.words
+        unknown = {word for word in words if word not in known}
         self._learn(unknown)
-        found = [b"".join(map(self.words.__getitem__, words)) for words in cut]
-        if len(self.words) > WORDS_KEPT:
-            for word in unknown:
-                del self.words[word]
-        return found
+        ids = [known[word] for word in words]
+        if len(known) > WORDS_KEPT:
+            if 2 * len(unknown) > len(words):
+                known.clear()  # texts of another kind
+            else:
+                for word in unknown:
+                    del known[word]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        order = coded.indices.to_numpy()
+        lengths = sizes[order]
+        after = np.concatenate([[0], np.cumsum(lengths)])
+        places = np.repeat(starts[order] - after[:-1], lengths)
+        places += np.arange(after[-1])
+        row = np.frombuffer(b"".join(ids), "<u4")[places]
+        cuts = after[ends].tolist()
+        return [row[start:end].tobytes() for start, end in zip(cuts, cuts[1:])]
 
 
 @cache
@@ -130,7 +154,7 @@ def token_pieces(documents: DataFrame, path: str | None = None, capacity: int =
         return made
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return map_slices(documents.select("doc_id", "text"), work, schema)
+    return map_slices(documents.select("doc_id", "text"), work, schema, slice_rows=4096)
 
 
 def size_ranks(rows: DataFrame, size: str, id_: str, n_rows: int) -> DataFrame:

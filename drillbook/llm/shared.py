@@ -14,8 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: ASCII white space, as in [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
-#: Rows that a Python worker turns into objects at a time.
-SLICE_ROWS = 256
+#: Rows and bytes that a Python worker turns into objects at a time, about.
+SLICE_ROWS, SLICE_BYTES = 256, 16_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -84,17 +84,22 @@ def words(text: Column) -> Column:
 
 
 def map_slices(
-    rows: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str
+    rows: DataFrame,
+    work: Callable[[dict[str, list]], dict[str, list]],
+    schema: str,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """`work` on column lists of a few hundred rows at a time, without pandas."""
+    """`work` on column lists of some rows at a time, fewer if they are large."""
     importable(rows.sparkSession)
     fields = rows.sparkSession.createDataFrame([], schema).schema
     arrow = to_arrow_schema(fields)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for start in range(0, part.num_rows, SLICE_ROWS):
-                piece = part.slice(start, SLICE_ROWS)
+            share = SLICE_BYTES / max(1, part.nbytes)
+            step = max(1, min(slice_rows, int(part.num_rows * share)))
+            for start in range(0, part.num_rows, step):
+                piece = part.slice(start, step)
                 made = work({name: piece.column(name).to_pylist() for name in piece.schema.names})
                 yield pa.RecordBatch.from_pydict(made, schema=arrow)
 
