@@ -1,0 +1,88 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+from drillbook.llm import fingerprints as fp
+from tests.llm.frames import awkward, documents, sentence, with_clashing
+
+
+def shingles(text, size=5):
+    words = text.split()
+    size = min(size, len(words))
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
+
+
+def test_estimates_are_near_the_truth():
+    rng = random.Random(4)
+    for words in (3, 40, 400, 4000):
+        base = sentence(rng, words).split()
+        one = " ".join(base)
+        other = " ".join(base[words // 4 :] + sentence(rng, words // 4).split())
+        a, b = shingles(one), shingles(other)
+        x, y = fp.sketch(one), fp.sketch(other)
+        assert fp.resemblance(x, y) == pytest.approx(len(a & b) / len(a | b), abs=0.15)
+        assert fp.containment(x, y) == pytest.approx(len(a & b) / len(a), abs=0.25)
+        assert fp.distinct_shingles(x) == pytest.approx(len(a), rel=0.35)
+
+
+def test_sketch_is_the_smallest_hashes():
+    text = sentence(random.Random(5), 20_000)
+    want = np.unique(fp.shingle_hashes(text))[: fp.SKETCH_SIZE]
+    assert fp.sketch(text).tolist() == want.tolist()
+    repeated = " ".join(["a b c d e f g"] * 5000)
+    assert len(fp.sketch(repeated)) == 7
+
+
+def test_parts_merge_to_the_whole(spark):
+    rng = random.Random(6)
+    one, other = sentence(rng, 3000), sentence(rng, 500)
+    together = np.unique(np.concatenate([fp.shingle_hashes(one), fp.shingle_hashes(other)]))
+    want = together[: fp.SKETCH_SIZE].tolist()
+    assert fp.merge(fp.sketch(one), fp.sketch(other)).tolist() == want
+    rows = [("s", int(h)) for text in (one, other) for h in fp.shingle_hashes(text)]
+    frame = spark.createDataFrame(rows, "source string, hash long").repartition(7)
+    assert fp.merged_sketches(frame, ["source"]).first()["sketch"] == want
+
+
+def test_round_trip():
+    one = fp.sketch("a b c d e f g h")
+    assert fp.decoded(fp.encoded(one)).tolist() == one.tolist()
+    assert fp.resemblance(fp.sketch(""), fp.sketch("")) == 1
+    assert fp.resemblance(fp.sketch(""), one) == 0
+
+
+@pytest.mark.parametrize("partitions", ["1", "3", "50"])
+def test_successors_and_edits(spark, conf, partitions):
+    conf(spark__sql__shuffle__partitions=partitions)
+    rows = awkward(7)
+    found = fp.fingerprint_documents(with_clashing(documents(spark, rows))).collect()
+    order = sorted(((i is None, i or 0, text or "") for i, text, _ in rows))
+    want = []
+    for (_, i, text), (_, _, after) in zip(order, order[1:] + order[:1]):
+        n = len(text)
+        edited = text[: n - n // 4] + after[: n // 4]
+        own, new, following = fp.sketch(text), fp.sketch(edited), fp.sketch(after)
+        want.append(
+            (
+                n,
+                hashlib.sha256(edited.encode()).hexdigest(),
+                fp.encoded(own),
+                fp.encoded(new),
+                fp.resemblance(own, new),
+                fp.resemblance(own, following),
+            )
+        )
+    assert sorted(tuple(r)[1:] for r in found) == sorted(want)
+    assert sorted((r["doc_id"] or -1) for r in found) == sorted((i or -1) for i, _, _ in rows)
+
+
+def test_one_document_follows_itself(spark):
+    row = fp.fingerprint_documents(documents(spark, [(5, "abcdefgh", "s")])).first()
+    assert row["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
+    assert row["near_next"] == 1
+
+
+def test_empty_table(spark):
+    assert fp.fingerprint_documents(documents(spark, [])).count() == 0
