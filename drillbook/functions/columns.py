@@ -8,9 +8,9 @@ LETTERS = ["A", "B", "C", "D", "E"]
 
 
 def letter(index) -> Column:
-    """The label of a zero-based choice."""
+    """The label of a zero-based choice; null beyond the last."""
     labels = F.array(*[F.lit(label) for label in LETTERS])
-    return F.element_at(labels, (index + 1).cast("int"))
+    return F.get(labels, index.cast("int"))
 
 
 def local_date(instant, zone: str) -> Column:

@@ -21,7 +21,7 @@ POINTS = 10
 def enrich_submissions(
     submissions: DataFrame, sessions: DataFrame, questions: DataFrame
 ) -> DataFrame:
-    """Add the session and its question to each submission; unknown sessions leave nulls.
+    """Add the session and its question to each submission; unknown ones leave nulls.
 
     The question comes from the whole bank: a disabled one can still be answered
     while its session is open. Sessions meet questions first, so the larger
@@ -41,6 +41,7 @@ def enrich_submissions(
         ),
         keys,
         "question_id",
+        optional=True,
     )
     return lookup_join(submissions, posed, "session_id", optional=True)
 
@@ -54,6 +55,7 @@ def _refusal(zone: str) -> Column:
     bad_choice = choice.isNull() | ~choice.between(FIRST_CHOICE, LAST_CHOICE)
     return (
         F.when(F.col("kind").isNull(), "unknown_session")
+        .when(F.col("correct_option").isNull(), "unknown_question")
         .when(not_owner, "not_owner")
         .when(expired, "expired")
         .when(bad_choice, "invalid_choice")
@@ -63,7 +65,7 @@ def _refusal(zone: str) -> Column:
 def screen_submissions(enriched: DataFrame, zone: str) -> DataFrame:
     """Add `verdict`: the first rule a submission breaks on its own, else ok.
 
-    The rules are a known session, ownership, expiry of a daily question outside
+    The rules are a known session with a known question, ownership, expiry of a daily question outside
     its local day (event time decides, however late the row arrives) and the
     range of the choice. None of these refusals uses up the answerer's one answer.
     """
@@ -71,9 +73,10 @@ def screen_submissions(enriched: DataFrame, zone: str) -> DataFrame:
 
 
 def first_answers(screened: DataFrame) -> DataFrame:
-    """The first passing submission of each user to each session."""
+    """The first passing submission of each user to each session; equal times go by id, then row."""
     answerer = F.struct("session_id", "discord_user_id")
-    order = Window.partitionBy(answerer).orderBy("answered_at", "id")
+    row = F.xxhash64(*screened.columns)
+    order = Window.partitionBy(answerer).orderBy("answered_at", "id", row)
     return (
         screened.where("verdict = 'ok'")
         .withColumn("_rank", F.row_number().over(order))
@@ -92,18 +95,25 @@ def new_answers(screened: DataFrame, stored_answers: DataFrame | None = None) ->
 
 
 def mark_duplicates(screened: DataFrame, stored_answers: DataFrame | None = None) -> DataFrame:
-    """Turn the verdict of every later answer into `duplicate`; all rows are kept.
+    """Turn the verdict of every answer but the first into `duplicate`; all rows are kept.
 
-    Accepted answers are found again by submission id rather than by a window
-    over all submissions of one user to one session, which could be any share
-    of the log.
+    Accepted answers are found again by id and row rather than by a window over
+    all submissions of one user to one session, which could be any share of the
+    log. A press that was delivered several times is several equal rows, of
+    which one is numbered first; the numbering and the join share a shuffle.
     """
-    accepted = new_answers(screened, stored_answers).select("id", F.lit(True).alias("_first"))
-    repeated = (F.col("verdict") == "ok") & F.col("_first").isNull()
+    row = F.xxhash64(*screened.columns).alias("_row")
+    copies = Window.partitionBy("id", "_row").orderBy("id")
+    accepted = new_answers(screened.select("*", row), stored_answers).select(
+        "id", "_row", F.lit(True).alias("_first")
+    )
+    repeated = (F.col("verdict") == "ok") & (F.col("_first").isNull() | (F.col("_copy") > 1))
     return (
-        screened.join(accepted, "id", "left")
+        screened.select("*", row)
+        .withColumn("_copy", F.row_number().over(copies))
+        .join(accepted, ["id", "_row"], "left")
         .withColumn("verdict", F.when(repeated, "duplicate").otherwise(F.col("verdict")))
-        .drop("_first")
+        .select(*screened.columns)
     )
 
 
@@ -112,7 +122,9 @@ def judge_submissions(
 ) -> DataFrame:
     """The verdict of every submission; no row is left out.
 
-    It is ok, unknown_session, not_owner, expired, invalid_choice or duplicate.
+    It is ok, unknown_session, unknown_question, not_owner, expired,
+    invalid_choice or duplicate. Of a user's submissions to a session one at
+    most is ok, also where a press was delivered twice.
     """
     return mark_duplicates(screen_submissions(enriched, zone), stored_answers)
 
@@ -123,8 +135,13 @@ def rejected_submissions(judged: DataFrame) -> DataFrame:
 
 
 def score_answers(answers: DataFrame) -> DataFrame:
-    """Freeze correctness and points as of the answer."""
+    """Freeze correctness and points as of the answer; refused submissions have neither."""
     correct = F.col("selected_option") == F.col("correct_option")
+    if "verdict" in answers.columns:
+        ok = F.col("verdict") == "ok"
+        return answers.withColumn("is_correct", F.when(ok, correct)).withColumn(
+            "points_awarded", F.when(ok, F.when(correct, POINTS).otherwise(0))
+        )
     return answers.withColumn("is_correct", correct).withColumn(
         "points_awarded", F.when(correct, POINTS).otherwise(0)
     )
@@ -167,7 +184,7 @@ def answer_results(accepted: DataFrame) -> DataFrame:
         F.lit("**"),
     )
     why = F.when(
-        F.trim("explanation") != "", F.concat(F.lit("**Why:** "), F.col("explanation"))
+        F.col("explanation").rlike(r"[^\s\p{Z}\x{FEFF}]"), F.concat(F.lit("**Why:** "), F.col("explanation"))
     )
     points = F.when(F.col("is_correct"), F.lit(f"+{POINTS} points"))
     streak = F.col("daily_streak")

@@ -101,9 +101,9 @@ def pick_distinct(
 
     Floyd's sampling without replacement: draw j comes from 0..n-size+j, and a
     number drawn before is replaced by the top of that range. Requests are left
-    out when the bank has fewer rows than asked. Each pick is a join of its own,
-    so a request stays one row; Spark broadcasts the numbered bank once for all
-    of them while it is small.
+    out when the bank has fewer rows than asked. Every pick becomes a row, all
+    picks meet the numbered bank in one join and come together again by request
+    key, which must be unique: two shuffles whatever the size.
     """
     key = F.col(request_key)
     total = F.col("_size")
@@ -125,21 +125,23 @@ def pick_distinct(
         rows = rows.withColumn(f"_pick{j}", F.when(repeated, top).otherwise(drawn))
         picks.append(f"_pick{j}")
 
-    numbered = index_bank(bank).select("idx", "id")
-    for j in range(size):
-        one = numbered.select(F.col("idx").alias(f"_pick{j}"), F.col("id").alias(f"_id{j}"))
-        rows = rows.join(one, f"_pick{j}", "left")
-    ranked = F.array_sort(
-        F.array(
-            *[
-                F.struct(
-                    F.get("_ranks", F.lit(j)).alias("rank"), F.col(f"_id{j}").alias("id")
-                )
-                for j in range(size)
-            ]
+    slots = F.array(
+        *[
+            F.struct(F.col(pick).alias("idx"), F.get("_ranks", F.lit(j)).alias("rank"))
+            for j, pick in enumerate(picks)
+        ]
+    )
+    numbered = index_bank(bank).select("idx", F.col("id").alias("_id"))
+    return (
+        rows.select(key.alias("_key"), F.struct(*requests.columns).alias("_row"), F.inline(slots))
+        .join(numbered, "idx")
+        .groupBy("_key")
+        .agg(
+            F.first("_row").alias("_row"),
+            F.sort_array(F.collect_list(F.struct("rank", "_id")))["_id"].alias("picked_ids"),
         )
+        .select("_row.*", "picked_ids")
     )
-    return rows.withColumn("picked_ids", ranked["id"]).select(*requests.columns, "picked_ids")
 
 
 def assign_quizzes(

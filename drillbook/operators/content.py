@@ -6,7 +6,7 @@ Each returns the new content of its table; `sources.versions` stores it.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drillbook.functions import names_failed
+from drillbook.functions import names_failed, stable_id
 
 _PATCHABLE = {"prompt": "prompt", "why": "explanation", "topic": "topic"}
 
@@ -14,13 +14,12 @@ _PATCHABLE = {"prompt": "prompt", "why": "explanation", "topic": "topic"}
 def insert_missing(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """The incoming rows whose key is not in the table yet, to be appended.
 
-    Rows that share a new key are all inserted, as is a row without a key. Rows
-    without a key skip the join.
+    Rows that share a new key are all inserted, as is a row without a key. The
+    incoming rows are read once.
     """
-    held = existing.select(key).distinct()
-    keyless = incoming.where(F.col(key).isNull())
-    fresh = incoming.where(F.col(key).isNotNull()).join(held, key, "left_anti")
-    return fresh.select(*incoming.columns).unionByName(keyless)
+    held = existing.select(F.col(key).alias("_held")).distinct()
+    fresh = incoming.join(held, F.col(key) == F.col("_held"), "left_anti")
+    return fresh.select(*incoming.columns)
 
 
 def seed_if_empty(existing: DataFrame, seed: DataFrame) -> DataFrame:
@@ -146,20 +145,41 @@ def clear_default_explanations(questions: DataFrame, default: str, now) -> DataF
 
 
 def append_card_notes(cards: DataFrame, notes: DataFrame) -> DataFrame:
-    """Append to every card the note of its title as one more section.
+    """Append to every card the notes of its title as further sections.
 
-    An update takes one source row per target row. With several notes for one
-    title it is the first by heading and content, which is found map-side.
+    Several notes of one title are all appended, ordered by heading and content.
     """
-    note = notes.groupBy("title").agg(F.min(F.struct("heading", "content")).alias("_note"))
+    note = notes.groupBy("title").agg(
+        F.sort_array(F.collect_list(F.struct("heading", "content"))).alias("_notes")
+    )
     kept = F.coalesce(
         "sections", F.array().cast("array<struct<heading:string,content:string>>")
     )
-    grown = F.when(
-        F.col("_note").isNotNull(), F.array_append(kept, F.col("_note"))
-    ).otherwise(F.col("sections"))
+    grown = F.when(F.col("_notes").isNotNull(), F.concat(kept, F.col("_notes"))).otherwise(
+        F.col("sections")
+    )
     return (
         cards.join(note, "title", "left")
         .withColumn("sections", grown)
         .select(*cards.columns)
     )
+
+
+def question_rows(accepted: DataFrame, now) -> DataFrame:
+    """Accepted intake or content rows as stored questions: id, enabled and clocks filled in.
+
+    The id depends on the prompt and options alone, so a second run makes the
+    same rows.
+    """
+    clock = F.lit(now).cast("timestamp")
+    return accepted.select(
+        stable_id("question", F.col("prompt"), F.array_join("options", "|")).alias("id"),
+        "prompt",
+        "options",
+        F.col("correct_option").cast("smallint").alias("correct_option"),
+        F.coalesce("explanation", F.lit("")).alias("explanation"),
+        "topic",
+        F.lit(True).alias("enabled"),
+        clock.alias("created_at"),
+        clock.alias("updated_at"),
+    )

@@ -53,13 +53,24 @@ def cascade_delete(
 ) -> DataFrame:
     """Children that survive when only `kept_parents` remain.
 
-    A child without a parent reference stays. Those rows skip the join, so a
-    column that is mostly null does not send its nulls to one task.
+    A child without a parent reference stays; such rows go through the same join
+    under keys of their own, so the children are read once and a column that is
+    mostly null does not send its nulls to one task.
     """
-    parents = kept_parents.select(F.col(key).alias(foreign_key))
-    free = children.where(F.col(foreign_key).isNull())
-    bound = children.where(F.col(foreign_key).isNotNull()).join(parents, foreign_key, "left_semi")
-    return free.unionByName(bound.select(*children.columns))
+    reference = F.col(foreign_key).cast("string")
+    spread = F.concat(F.lit("free "), F.xxhash64(*children.columns).cast("string"))
+    bound = F.concat(F.lit("bound "), reference)
+    parents = (
+        kept_parents.select(F.concat(F.lit("bound "), F.col(key).cast("string")).alias("_key"))
+        .distinct()
+        .withColumn("_kept", F.lit(True))
+    )
+    return (
+        children.withColumn("_key", F.coalesce(bound, spread))
+        .join(parents, "_key", "left")
+        .where(F.col(foreign_key).isNull() | F.col("_kept"))
+        .select(*children.columns)
+    )
 
 
 def restrict_violations(

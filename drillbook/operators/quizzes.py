@@ -6,28 +6,34 @@ from pyspark.sql import functions as F
 from drillbook.operators.answers import POINTS
 
 
-def quiz_progress(runs: DataFrame, answers: DataFrame) -> DataFrame:
-    """Fold accepted quiz answers into their runs.
-
-    Each answer moves the run on by one and counts if right; the run completes
-    with the answer that reaches the end of its list. Runs without answers stay
-    as they are. Answers carry quiz_run_id, and are combined per run before the
-    shuffle.
-    """
-    steps = (
+def quiz_steps(answers: DataFrame) -> DataFrame:
+    """Per run the accepted quiz answers, the right ones and the time of the last, map-side first."""
+    return (
         answers.where((F.col("kind") == "quiz") & F.col("quiz_run_id").isNotNull())
         .groupBy(F.col("quiz_run_id").alias("id"))
         .agg(
-            F.count("*").alias("_steps"),
-            F.count(F.when(F.col("is_correct"), 1)).alias("_right"),
-            F.max("answered_at").alias("_last_at"),
+            F.count("*").alias("steps"),
+            F.count(F.when(F.col("is_correct"), 1)).alias("right"),
+            F.max("answered_at").alias("last_at"),
         )
     )
+
+
+def apply_steps(runs: DataFrame, steps: DataFrame) -> DataFrame:
+    """Move runs on by their steps, which may come in several rows per run.
+
+    Each answer moves the run on by one and counts if right; the run completes
+    with the answer that reaches the end of its list. Runs without answers stay
+    as they are.
+    """
+    folded = steps.groupBy("id").agg(
+        F.sum("steps").alias("_steps"), F.sum("right").alias("_right"), F.max("last_at").alias("_last_at")
+    )
     index = (F.col("current_index") + F.coalesce("_steps", F.lit(0))).cast("int")
     right = (F.col("correct_count") + F.coalesce("_right", F.lit(0))).cast("int")
     finished = F.col("_last_at").isNotNull() & (index >= F.size("question_ids"))
     return (
-        runs.join(steps, "id", "left")
+        runs.join(folded, "id", "left")
         .withColumns(
             {
                 "completed_at": F.when(finished, F.col("_last_at")).otherwise(
@@ -41,14 +47,21 @@ def quiz_progress(runs: DataFrame, answers: DataFrame) -> DataFrame:
     )
 
 
-def quiz_results(runs: DataFrame, question_count: int = 5) -> DataFrame:
-    """The closing message of each completed run."""
+def quiz_progress(runs: DataFrame, answers: DataFrame) -> DataFrame:
+    """Fold accepted quiz answers, which carry quiz_run_id, into their runs."""
+    return apply_steps(runs, quiz_steps(answers))
+
+
+def quiz_results(runs: DataFrame) -> DataFrame:
+    """The closing message of each completed run, out of as many questions as it has."""
     right = F.col("correct_count").cast("string")
     # The pieces of the closing message.
     text = F.concat(
         F.lit("You answered **"),
         right,
-        F.lit(f"/{question_count}** correctly and earned **"),
+        F.lit("/"),
+        F.size("question_ids").cast("string"),
+        F.lit("** correctly and earned **"),
         (F.col("correct_count") * POINTS).cast("string"),
         F.lit(" points**."),
     )

@@ -55,6 +55,7 @@ def employee_stats(profiles: DataFrame, user: str | None = None) -> DataFrame:
     """Points and streaks of the top users, or of one user."""
     if user is not None:
         profiles = profiles.where(F.col("discord_user_id") == user)
+    # The pieces of a line.
     line = F.concat(
         F.lit("**"),
         F.col("display_name"),
@@ -67,6 +68,14 @@ def employee_stats(profiles: DataFrame, user: str | None = None) -> DataFrame:
     return _top(profiles, 1 if user is not None else STATS_SIZE).withColumn("line", line)
 
 
+def employee_stats_message(profiles: DataFrame, user: str | None = None) -> DataFrame:
+    """The employee stats as one message, or the text for no employees."""
+    stats = employee_stats(profiles, user).withColumn(
+        "place", F.struct((-F.col("total_points")).alias("points"), "discord_user_id")
+    )
+    return report_text(stats, "No employee data yet.", "place")
+
+
 def training_activity(answers: DataFrame) -> DataFrame:
     """Number of submitted answers."""
     return answers.agg(F.count("*").alias("answer_count"))
@@ -134,3 +143,26 @@ def normalize_card_sections(cards: DataFrame) -> DataFrame:
         lambda part: F.coalesce(part["content"] != "", F.lit(False)),
     )
     return cards.withColumn("sections", F.when(F.size(given) > 0, given).otherwise(lists))
+
+
+def card_search_message(cards: DataFrame, topic: str | None = None) -> DataFrame:
+    """The number of cards that match, and the reply where there is none."""
+    # Fixed value: the reply to a search without a result.
+    text = F.when(F.count("*") == 0, F.lit("No active training cards match that topic."))
+    return search_cards(cards, topic).agg(F.count("*").alias("card_count"), text.alias("text"))
+
+
+def bank_refusals(questions: DataFrame, quiz_size: int = 5) -> DataFrame:
+    """The replies to trivia and quiz requests that the active bank is too small for."""
+    # The replies to requests that cannot be met.
+    active = questions.where("enabled").agg(F.count("*").alias("n"))
+    quiz = F.concat(
+        F.lit(f"A quiz needs at least {quiz_size} active questions. There are currently "),
+        F.col("n").cast("string"),
+        F.lit("."),
+    )
+    refusals = F.array(
+        F.struct(F.lit("trivia").alias("kind"), F.lit(1).alias("needs"), F.lit("There are no active questions yet.").alias("text")),
+        F.struct(F.lit("quiz").alias("kind"), F.lit(quiz_size).alias("needs"), quiz.alias("text")),
+    )
+    return active.select("n", F.inline(refusals)).where("n < needs").select("kind", "text")

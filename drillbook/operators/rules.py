@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from drillbook.functions import names_failed
-from drillbook.schemas import TABLES
+from drillbook.schemas import PRIMARY_KEYS, TABLES, UNIQUE_KEYS
 
 # Allowed choice counts, session kinds and the selectable range.
 CHOICE_COUNTS = [2, 4, 5]
@@ -75,3 +75,17 @@ def unique_violations(table: DataFrame, keys: list[str]) -> DataFrame:
         .agg(F.count("*").alias("row_count"))
         .where("row_count > 1")
     )
+
+
+def key_violations(name: str, table: DataFrame) -> DataFrame:
+    """Repeated primary and unique keys of a stored table: key_name, key_value and row_count."""
+    keys = [PRIMARY_KEYS[name], *([UNIQUE_KEYS[name]] if name in UNIQUE_KEYS else [])]
+    found = None
+    for columns in keys:
+        broken = unique_violations(table, columns).select(
+            F.lit(f"{name}({', '.join(columns)})").alias("key_name"),
+            F.concat_ws("/", *[F.col(column).cast("string") for column in columns]).alias("key_value"),
+            "row_count",
+        )
+        found = broken if found is None else found.unionByName(broken)
+    return found

@@ -97,8 +97,9 @@ def with_streaks(answers: DataFrame, base: DataFrame | None = None) -> DataFrame
 
     Needs id, discord_user_id, daily_date, answered_at and is_correct, and uses
     epoch where present. `base` holds stored profiles to go on from. Only a
-    date's first answer takes part in the chain; it gets its value by answer id,
-    and any other answer of that date counts 1 or 0.
+    date's first answer takes part in the chain; any other answer of that date
+    counts 1 or 0. Answers meet the chain by user, epoch and date, a join that
+    adaptive execution splits where a user has very many.
     """
     answers = with_epoch(answers)
     is_daily = F.col("daily_date").isNotNull()
@@ -114,14 +115,17 @@ def with_streaks(answers: DataFrame, base: DataFrame | None = None) -> DataFrame
             F.col("daily_streak").alias("base_streak"),
         )
         days = days.join(state, USER, "left")
+    date = [USER, "epoch", "daily_date"]
     firsts = chain_days(days).select(
-        F.col("first_answer.id").alias("id"), F.col("first_streak").alias("_first_streak")
+        *date, F.col("first_answer.id").alias("_first_id"), F.col("first_streak").alias("_first_streak")
     )
-    streak = F.when(is_daily, F.coalesce("_first_streak", F.col("is_correct").cast("int")))
+    chained = F.when(F.col("id") == F.col("_first_id"), F.col("_first_streak"))
+    streak = F.when(is_daily, F.coalesce(chained, F.col("is_correct").cast("int")))
+    columns = answers.columns
     return (
-        answers.join(firsts, "id", "left")
+        answers.join(firsts, date, "left")
         .withColumn("daily_streak", streak)
-        .drop("_first_streak")
+        .select(*columns, "daily_streak")
     )
 
 

@@ -149,5 +149,3 @@ CARD_DROP = _fields(
     body=_optional(TEXT),
     sections=_optional(ArrayType(SECTION)),
 )
-
-CARD_NOTES = _fields(title=TEXT, heading=TEXT, content=TEXT)

@@ -2,6 +2,7 @@ from drillbook.sources.streams import parse_choice_id, read_submissions
 from drillbook.sources.tables import (
     active_questions,
     evolve_schema,
+    ingest_content,
     read_content_drop,
     read_table,
 )
@@ -16,6 +17,7 @@ from drillbook.sources.versions import (
 __all__ = [
     "active_questions",
     "evolve_schema",
+    "ingest_content",
     "parse_choice_id",
     "publish_tables",
     "read_content_drop",

@@ -6,7 +6,6 @@ per job, so they never see a half-written table and never read a path that is
 being overwritten.
 """
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -17,17 +16,11 @@ from pyspark.sql.types import StructType
 _LOG_SCHEMA = "version bigint, tables array<string>"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder every executor sees (`spark.checkpoint.dir`).
-
-    Only a local session without that setting, as in tests, falls back to a
-    temporary folder of its own; on a cluster the setting is required.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession, name: str, base: str | None = None) -> str:
+    """A fresh path in the folder every executor sees: `base`, or `spark.checkpoint.dir`."""
+    base = base or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="drillbook-")
+        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -54,14 +47,26 @@ def current_version(spark: SparkSession, root: str) -> int:
         raise
 
 
+def _begun(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the version folders, finished or not; only names are listed."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    names = [item.getPath().getName() for item in system.listStatus(folder)]
+    return [int(name.split("=")[1]) for name in names if name.startswith("version=")]
+
+
 def publish_tables(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> int:
     """Write the tables as one new version; they become current together.
 
-    One publisher at a time: the version number is the last one plus one.
+    The version number is one more than any begun so far, so what a failed
+    publisher left behind is neither read nor overwritten. Of two publishers
+    that begin the same version at once, one fails on the other's folder.
     """
-    version = current_version(spark, root) + 1
+    version = max([current_version(spark, root), *_begun(spark, root)]) + 1
     for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{root}/version={version}/{name}")
+        table.write.mode("errorifexists").parquet(f"{root}/version={version}/{name}")
     line = spark.range(1).select(
         F.lit(version).cast("bigint").alias("version"),
         F.array(*[F.lit(name) for name in tables]).alias("tables"),

@@ -1,7 +1,10 @@
 from drillbook.streaming.answers import (
     answer_log,
+    answers_of_dates,
+    apply_close_day,
+    apply_reset,
     current_profiles,
-    dedup_stream,
+    current_quiz_runs,
     prepare_store,
     process_batch,
     run_answer_stream,
@@ -9,8 +12,11 @@ from drillbook.streaming.answers import (
 
 __all__ = [
     "answer_log",
+    "answers_of_dates",
+    "apply_close_day",
+    "apply_reset",
     "current_profiles",
-    "dedup_stream",
+    "current_quiz_runs",
     "prepare_store",
     "process_batch",
     "run_answer_stream",

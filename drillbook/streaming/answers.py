@@ -5,9 +5,16 @@ batches before N, then folded into the profiles as of N-1. It writes only under
 its own number and overwrites there, so a batch that runs again after a failure
 leaves the same result.
 
-    judged/batch_id=N/verdict=V    every submission; verdict=ok is the answer log
-    touched/batch_id=N             new state of the profiles the batch changed
-    snapshots/batch_id=K           all profiles, after every so many batches
+    staged/batch_id=N                                    screened submissions
+    judged/accepted=true/session_date=D/batch_id=N       the answer log
+    judged/accepted=false/session_date=null/batch_id=N   the reject log
+    quiz_steps/batch_id=N                                answers per quiz run of the batch
+    touched/batch_id=N                                   new state of the profiles it changed
+    snapshots/batch_id=K/turn=T                          all profiles after batch K
+
+Answers lie under the creation date of their session, which does not depend on
+any clock of the answer: whatever answered a session before is under the same
+date, so a batch reads the dates of its own sessions and nothing else.
 """
 
 from collections.abc import Callable
@@ -16,7 +23,15 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import (
+    BooleanType,
+    DateType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
+)
 
 from drillbook.operators.answers import (
     enrich_submissions,
@@ -24,73 +39,153 @@ from drillbook.operators.answers import (
     score_answers,
     screen_submissions,
 )
-from drillbook.operators.profiles import PROFILE_COLUMNS, touched_profiles
+from drillbook.operators.assign import expired_daily_sessions
+from drillbook.operators.profiles import PROFILE_COLUMNS, reset_scores, touched_profiles
+from drillbook.operators.quizzes import apply_steps, quiz_steps
+from drillbook.operators.streaks import reset_missed_streaks
 from drillbook.schemas import EMPLOYEE_PROFILES, PRESSES, QUESTION_ANSWERS, QUESTION_SESSIONS
 from drillbook.sources.streams import parse_choice_id
 
 USER = "discord_user_id"
 SNAPSHOT_EVERY = 20
 
-# A local day lasts 25 hours at most; one more for clocks that differ.
-DAILY_HORIZON = "26 hours"
-
-_JUDGED = StructType(
+_LOG = StructType(
     [StructField(f.name, f.dataType) for f in QUESTION_ANSWERS.fields]
     + [StructField(name, PRESSES[name].dataType) for name in ("global_name", "username")]
     + [
         StructField(name, QUESTION_SESSIONS[name].dataType)
         for name in ("kind", "guild_id", "daily_date", "quiz_run_id")
     ]
-    + [StructField("batch_id", LongType()), StructField("verdict", StringType())]
+    + [StructField("verdict", StringType())]
+)
+_PLACE = StructType(
+    [
+        StructField("accepted", BooleanType()),
+        StructField("session_date", DateType()),
+        StructField("batch_id", LongType()),
+    ]
 )
+_JUDGED = StructType(_LOG.fields + _PLACE.fields)
 _PROFILES = StructType(
     [StructField(f.name, f.dataType) for f in EMPLOYEE_PROFILES.fields]
     + [StructField("batch_id", LongType())]
 )
+_STEPS = StructType(
+    [
+        StructField("id", StringType()),
+        StructField("steps", LongType()),
+        StructField("right", LongType()),
+        StructField("last_at", TimestampType()),
+        StructField("batch_id", LongType()),
+    ]
+)
 
 
 def prepare_store(spark: SparkSession, root: str, profiles: DataFrame | None = None) -> None:
     """Create the store, optionally starting from existing profiles. Run once."""
     start = profiles if profiles is not None else spark.createDataFrame([], EMPLOYEE_PROFILES)
-    start.select(*PROFILE_COLUMNS).write.parquet(f"{root}/snapshots/batch_id=-1")
-    judged = spark.createDataFrame([], _JUDGED).drop("batch_id", "verdict")
-    judged.write.parquet(f"{root}/judged/batch_id=-1/verdict=ok")
-    touched = spark.createDataFrame([], EMPLOYEE_PROFILES)
-    touched.write.parquet(f"{root}/touched/batch_id=-1")
+    start.select(*PROFILE_COLUMNS).write.parquet(f"{root}/snapshots/batch_id=-1/turn=0")
+    spark.createDataFrame([], _LOG).write.parquet(
+        f"{root}/judged/accepted=true/session_date=1970-01-01/batch_id=-1"
+    )
+    spark.createDataFrame([], EMPLOYEE_PROFILES).write.parquet(f"{root}/touched/batch_id=-1")
+    steps = spark.createDataFrame([], _STEPS).drop("batch_id")
+    steps.write.parquet(f"{root}/quiz_steps/batch_id=-1")
+
+
+def _folder(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """The numbers in the names of the written folders right under a path; nothing below is listed."""
+    system, folder = _folder(spark, path)
+    if not system.exists(folder):
+        return []
+    return sorted(int(item.getPath().getName().split("=")[1]) for item in system.listStatus(folder))
 
 
 def answer_log(spark: SparkSession, root: str) -> DataFrame:
-    """All judged submissions; filters on batch_id and verdict prune folders."""
+    """All judged submissions; filters on accepted, session_date and batch_id prune folders."""
     return spark.read.schema(_JUDGED).parquet(f"{root}/judged")
 
 
-def current_profiles(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+def answers_of_dates(spark: SparkSession, root: str, dates: list) -> DataFrame:
+    """Accepted answers to sessions created on these dates; no other folder is listed."""
+    paths = [f"{root}/judged/accepted=true/session_date={date}" for date in dates]
+    there = [path for path in paths if (lambda s, f: s.exists(f))(*_folder(spark, path))]
+    if not there:
+        return spark.createDataFrame([], _JUDGED)
+    return spark.read.schema(_JUDGED).option("basePath", f"{root}/judged").parquet(*there)
+
+
+def _snapshot(spark: SparkSession, root: str, before: int) -> tuple[int, DataFrame]:
+    """The last snapshot after a batch below `before` that has been written to its end."""
+    for batch in reversed([n for n in _numbers(spark, f"{root}/snapshots") if n < before]):
+        for turn in reversed(_numbers(spark, f"{root}/snapshots/batch_id={batch}")):
+            path = f"{root}/snapshots/batch_id={batch}/turn={turn}"
+            system, done = _folder(spark, f"{path}/_SUCCESS")
+            if system.exists(done):
+                return batch, spark.read.schema(EMPLOYEE_PROFILES).parquet(path)
+    raise ValueError(f"{root} holds no snapshot; prepare the store first")
+
+
+def last_batch(spark: SparkSession, root: str) -> int:
+    return _numbers(spark, f"{root}/touched")[-1]
+
+
+def current_profiles(
+    spark: SparkSession, root: str, before: int | None = None, snapshot_before: int | None = None
+) -> DataFrame:
     """Profiles after the last batch, or as they were before a given one.
 
-    They are the last full snapshot plus the changes since. A snapshot counts
-    once a later batch has written, so one in the making is never read.
+    They are the last full snapshot plus the changes since, which are read by
+    the numbers of their batches.
     """
-    changes = spark.read.schema(_PROFILES).parquet(f"{root}/touched")
-    if before is None:
-        last = changes.agg(F.max("batch_id")).first()[0]
-        before = 0 if last is None else last + 1
-    since = (before - 2) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
-    since = since if since > 0 else -1
-    changes = changes.where((F.col("batch_id") > since) & (F.col("batch_id") < before))
-    snapshot = (
-        spark.read.schema(EMPLOYEE_PROFILES)
-        .parquet(f"{root}/snapshots/batch_id={since}")
-        .withColumn("batch_id", F.lit(since).cast("bigint"))
-    )
-    state = F.struct(*PROFILE_COLUMNS[1:])
+    before = last_batch(spark, root) + 1 if before is None else before
+    since, start = _snapshot(spark, root, before if snapshot_before is None else snapshot_before)
+    state = start.withColumn("batch_id", F.lit(since).cast("bigint"))
+    later = [n for n in _numbers(spark, f"{root}/touched") if since < n < before]
+    if later:
+        paths = [f"{root}/touched/batch_id={n}" for n in later]
+        changes = spark.read.schema(_PROFILES).option("basePath", f"{root}/touched").parquet(*paths)
+        state = state.unionByName(changes)
+    columns = F.struct(*PROFILE_COLUMNS[1:])
     return (
-        snapshot.unionByName(changes)
-        .groupBy(USER)
-        .agg(F.max_by(state, "batch_id").alias("state"))
+        state.groupBy(USER)
+        .agg(F.max_by(columns, "batch_id").alias("state"))
         .select(USER, "state.*")
     )
 
 
+def _write_state(spark: SparkSession, root: str, profiles: DataFrame) -> None:
+    """Profiles as of the last batch, changed between batches: one more turn of its snapshot."""
+    batch = last_batch(spark, root)
+    turns = _numbers(spark, f"{root}/snapshots/batch_id={batch}")
+    turn = turns[-1] + 1 if turns else 1
+    profiles.select(*PROFILE_COLUMNS).write.parquet(
+        f"{root}/snapshots/batch_id={batch}/turn={turn}"
+    )
+
+
+def apply_reset(spark: SparkSession, root: str, at) -> None:
+    """Reset the scores in the store, while the stream is stopped; later batches go on from there."""
+    _write_state(spark, root, reset_scores(current_profiles(spark, root), at))
+
+
+def apply_close_day(spark: SparkSession, root: str, sessions: DataFrame, as_of, now=None) -> DataFrame:
+    """Zero missed streaks in the store at local midnight; returns the sessions to take down."""
+    _write_state(spark, root, reset_missed_streaks(current_profiles(spark, root), as_of, now))
+    return expired_daily_sessions(sessions, as_of)
+
+
+def current_quiz_runs(spark: SparkSession, root: str, runs: DataFrame) -> DataFrame:
+    """Quiz runs moved on by the answers of all batches."""
+    steps = spark.read.schema(_STEPS).parquet(f"{root}/quiz_steps")
+    return apply_steps(runs, steps.drop("batch_id"))
+
+
 def process_batch(
     presses: DataFrame,
     batch_id: int,
@@ -106,26 +201,31 @@ def process_batch(
     """
     spark = presses.sparkSession
     enriched = enrich_submissions(parse_choice_id(presses), sessions(), questions())
-    staged = f"{root}/staged"
+    staged = f"{root}/staged/batch_id={batch_id}"
     screen_submissions(enriched, zone).write.mode("overwrite").parquet(staged)
-    screened = spark.read.parquet(staged)
-
-    # No session of this batch can have been answered before it was created.
-    created = F.min(F.unix_micros("session_created_at"))
-    earliest = F.timestamp_micros(F.lit(screened.agg(created).first()[0]).cast("bigint"))
-    stored = answer_log(spark, root).where(
-        (F.col("batch_id") < batch_id)
-        & (F.col("verdict") == "ok")
-        & (F.col("answered_at") >= earliest)
-    )
-    judged = score_answers(mark_duplicates(screened, stored))
-    path = f"{root}/judged/batch_id={batch_id}"
-    columns = [name for name in _JUDGED.names if name != "batch_id"]
-    judged.select(*columns).write.mode("overwrite").partitionBy("verdict").parquet(path)
+    screened = spark.read.parquet(staged).drop("batch_id")
 
-    accepted = answer_log(spark, root).where(
-        (F.col("batch_id") == batch_id) & (F.col("verdict") == "ok")
+    created = F.to_date("session_created_at")
+    passing = screened.where("verdict = 'ok'").select(created.alias("date")).distinct()
+    dates = [row["date"] for row in passing.collect()]
+    stored = answers_of_dates(spark, root, dates).where(F.col("batch_id") < batch_id)
+    judged = score_answers(mark_duplicates(screened, stored))
+    accepted = F.col("verdict") == "ok"
+    (
+        judged.select(
+            *_LOG.names,
+            accepted.alias("accepted"),
+            F.when(accepted, created).alias("session_date"),
+            F.lit(batch_id).cast("bigint").alias("batch_id"),
+        )
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*_PLACE.names)
+        .parquet(f"{root}/judged")
     )
+
+    accepted = answers_of_dates(spark, root, dates).where(F.col("batch_id") == batch_id)
+    quiz_steps(accepted).write.mode("overwrite").parquet(f"{root}/quiz_steps/batch_id={batch_id}")
     # Reading only the profiles of the batch's users: a semi join filters the
     # stored ones in place when the users of the batch are few.
     users = accepted.select(USER).distinct()
@@ -134,8 +234,8 @@ def process_batch(
     touched.write.mode("overwrite").parquet(f"{root}/touched/batch_id={batch_id}")
 
     if batch_id > 0 and batch_id % SNAPSHOT_EVERY == 0:
-        everyone = current_profiles(spark, root, before=batch_id + 1)
-        everyone.write.mode("overwrite").parquet(f"{root}/snapshots/batch_id={batch_id}")
+        everyone = current_profiles(spark, root, batch_id + 1, snapshot_before=batch_id)
+        everyone.write.mode("overwrite").parquet(f"{root}/snapshots/batch_id={batch_id}/turn=0")
 
 
 def run_answer_stream(
@@ -156,26 +256,3 @@ def run_answer_stream(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
-
-
-def dedup_stream(screened: DataFrame, salts: int = 16) -> DataFrame:
-    """Keep one passing daily answer per user and session of a stream.
-
-    Keys are remembered for the length of a daily question; a row that arrives
-    later than that behind the newest one is not seen, so it suits a live feed.
-    Which of two answers in one micro-batch stays is up to arrival. Where late
-    rows or the order matter, `process_batch` keeps every row and ranks them.
-
-    A state operator shuffles all its rows by key, so repeats are dropped within
-    salted keys first: a key with any share of the stream spreads over `salts`
-    tasks and leaves at most that many rows for the second step.
-    """
-    salted = ["session_id", "discord_user_id", "_salt"]
-    return (
-        screened.where("verdict = 'ok' and kind = 'daily'")
-        .withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-        .withWatermark("answered_at", DAILY_HORIZON)
-        .dropDuplicatesWithinWatermark(salted)
-        .dropDuplicatesWithinWatermark(salted[:-1])
-        .drop("_salt")
-    )

@@ -105,7 +105,7 @@ def test_clear_default_explanations(spark):
     assert (rows["q2"].explanation, rows["q2"].updated_at) == ("own words", START)
 
 
-def test_one_note_per_card_is_appended(spark):
+def test_all_notes_of_a_title_are_appended_in_order(spark):
     table = tables.cards(
         spark,
         card("1", title="x", sections=[("h", "c")]),
@@ -119,8 +119,8 @@ def test_one_note_per_card_is_appended(spark):
     )
     rows = content.append_card_notes(table, notes).collect()
     assert {r.id: [tuple(s) for s in r.sections] for r in rows} == {
-        "1": [("h", "c"), ("Pro tip", "z")],
-        "2": [("Pro tip", "z")],
+        "1": [("h", "c"), ("Pro tip", "z"), ("Warning", "b")],
+        "2": [("Pro tip", "z"), ("Warning", "b")],
         "3": [("Warning", "w")],
         "4": [("h", "c")],
     }

@@ -58,7 +58,7 @@ def test_an_unfinished_version_is_not_current(spark, tmp_path):
     publish_tables(spark, root, {"a": spark.range(3)})
     spark.range(9).write.parquet(f"{root}/version=2/a")
     assert read_version(spark, root, "a").count() == 3
-    assert publish_tables(spark, root, {"a": spark.range(4)}) == 2
+    assert publish_tables(spark, root, {"a": spark.range(4)}) == 3
     assert read_version(spark, root, "a").count() == 4
 
 
@@ -84,4 +84,6 @@ def test_shared_folder_uses_the_cluster_setting():
     assert path != shared_folder(cluster, "x")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(session("yarn", None), "x")
-    assert shared_folder(session("local[2]", None), "x").startswith("/")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session("local[2]", None), "x")
+    assert shared_folder(session("yarn", None), "x", "/given/").startswith("/given/x-")

@@ -13,8 +13,10 @@ from drillbook.schemas import EMPLOYEE_PROFILES, PRESSES
 from drillbook.sources import parse_choice_id, read_submissions
 from drillbook.streaming import (
     answer_log,
+    answers_of_dates,
+    apply_close_day,
+    apply_reset,
     current_profiles,
-    dedup_stream,
     prepare_store,
     process_batch,
     run_answer_stream,
@@ -132,33 +134,66 @@ def test_an_empty_batch_changes_nothing(spark, tmp_path):
     assert answer_log(spark, root).count() == current_profiles(spark, root).count() == 0
 
 
-def test_stateful_dedup_keeps_one_answer_per_key(spark, tmp_path):
-    rows = log(4, 200)
-    inbox, out = str(tmp_path / "inbox"), str(tmp_path / "out")
-    (tmp_path / "inbox").mkdir()
+def test_redelivered_presses_and_repeated_batches_give_one_answer(spark, tmp_path):
+    rows = log(4, 120)
+    root = str(tmp_path / "store")
+    sessions, bank = model(spark)
+    prepare_store(spark, root)
+    first, second = rows[:80], rows[60:]
+    process_batch(presses(spark, first + first[:40]), 0, root, lambda: sessions, lambda: bank, ZONE)
+    process_batch(presses(spark, second), 1, root, lambda: sessions, lambda: bank, ZONE)
+    verdicts, profiles = batch(spark, rows)
+    stored = answer_log(spark, root)
+    ok = [row.id for row in stored.where("accepted").select("id").collect()]
+    assert sorted(ok) == sorted(id for id, verdict in verdicts.items() if verdict == "ok")
+    assert stored.count() == len(first) + 40 + len(second)
+    assert same(current_profiles(spark, root), profiles)
+    assert stored.where("not accepted and points_awarded is not null").isEmpty()
+
+
+def test_an_answer_before_its_session_clock_uses_up_the_answer(spark, tmp_path):
+    root = str(tmp_path / "store")
+    early, late = ZERO - timedelta(seconds=1), ZERO + timedelta(hours=1)
+    sessions, bank = model(spark)
+    prepare_store(spark, root)
+    for number, (id, at) in enumerate((("1", early), ("2", late))):
+        one = presses(spark, [(id, "answer:t3:3", "u3", None, "n", at)])
+        process_batch(one, number, root, lambda: sessions, lambda: bank, ZONE)
+    assert verdicts_of(spark, root) == {"1": "ok", "2": "duplicate"}
+    assert current_profiles(spark, root).first().total_points == 10
+
+
+def test_a_batch_reads_the_dates_of_its_sessions_only(spark, tmp_path):
+    rows = log(5, 160)
+    root = str(tmp_path / "store")
     sessions, bank = model(spark)
-    submissions = parse_choice_id(read_submissions(spark, inbox))
-    screened = an.screen_submissions(an.enrich_submissions(submissions, sessions, bank), ZONE)
-    for part in (rows[:90], rows[90:]):
-        presses(spark, part).write.mode("append").parquet(inbox)
-        (
-            dedup_stream(screened)
-            .select("session_id", "discord_user_id")
-            .writeStream.format("parquet")
-            .option("path", out)
-            .option("checkpointLocation", str(tmp_path / "checkpoint"))
-            .trigger(availableNow=True)
-            .start()
-            .awaitTermination()
-        )
-    kept = [tuple(row) for row in spark.read.parquet(out).collect()]
-    verdicts, _ = batch(spark, rows)
-    accepted = {
-        (custom_id.split(":")[1], user)
-        for id, custom_id, user, *_ in rows
-        if verdicts[id] == "ok" and not custom_id.startswith("answer:t")
-    }
-    assert sorted(kept) == sorted(accepted)
+    prepare_store(spark, root)
+    process_batch(presses(spark, rows), 0, root, lambda: sessions, lambda: bank, ZONE)
+    some = answers_of_dates(spark, root, [tables.day(3)])
+    files = some.inputFiles()
+    assert files and all("accepted=true/session_date=2024-01-04" in file for file in files)
+    assert answers_of_dates(spark, root, [tables.day(300)]).isEmpty()
+
+
+def test_resets_and_closed_days_stay_in_the_store(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream_module, "SNAPSHOT_EVERY", 2)
+    rows = log(6, 200)
+    root = str(tmp_path / "store")
+    sessions, bank = model(spark)
+    prepare_store(spark, root)
+    reset = ZERO + timedelta(days=4)
+    parts = [[r for r in rows if r[5] < reset], [r for r in rows if r[5] >= reset]]
+    number = 0
+    for part in parts:
+        for chunk in (part[: len(part) // 2], part[len(part) // 2 :]):
+            process_batch(presses(spark, chunk), number, root, lambda: sessions, lambda: bank, ZONE)
+            number += 1
+        if part is parts[0]:
+            apply_reset(spark, root, "2024-01-06 06:00:00Z")
+            apply_close_day(spark, root, sessions, "2024-01-06")
+    enriched = an.enrich_submissions(parse_choice_id(presses(spark, rows)), sessions, bank)
+    expected = rebuild_profiles(an.accept_answers(enriched, ZONE), ["2024-01-06 06:00:00Z"])
+    assert same(current_profiles(spark, root), expected)
 
 
 def test_closing_a_day(spark):

@@ -1,5 +1,7 @@
 """The driver's tables mapped to the model (see FIXTURES.md). Everything derives from whole tables."""
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ class Model:
     def __init__(self, spark: SparkSession, folder: str):
         # Driver timestamps have no zone and mean UTC.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        if not spark.conf.get("spark.checkpoint.dir", None):
+            # A trial on one machine; a cluster names its shared folder itself.
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+            spark.conf.set("spark.checkpoint.dir", f"{tempfile.gettempdir()}/drillbook-scratch")
         self.spark = spark
         self.folder = folder
         self._tables: dict[str, DataFrame] = {}
@@ -236,8 +243,8 @@ class Model:
         )
 
     def card_notes(self) -> DataFrame:
-        """A note per English document and one per label, so some titles have two."""
-        english = self.table("documents").where("lang = 'en'").select(
+        """A note per document and one per label, so some titles have two."""
+        by_document = self.table("documents").select(
             self.title().alias("title"),
             F.when(F.col("n_chars") > 400, "Warning").otherwise("Pro tip").alias("heading"),
             F.col("source").alias("content"),
@@ -247,7 +254,7 @@ class Model:
             F.when(F.col("toxic") == 1, "Warning").otherwise("Pro tip").alias("heading"),
             F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("content"),
         )
-        return english.unionByName(labelled)
+        return by_document.unionByName(labelled)
 
     # Message inputs ---------------------------------------------------------
 
@@ -288,13 +295,9 @@ class Model:
 
     def bank_halves(self) -> tuple[DataFrame, DataFrame]:
         """The bank split into stored and incoming rows whose prompts partly agree."""
-        number = F.col("p_partkey")
-        rows = self.table("part").select(
-            number.cast("string").alias("id"),
-            F.concat(F.col("p_name"), F.lit(" #"), (number % 100).cast("string")).alias("prompt"),
-            F.col("p_type").alias("topic"),
-            (number % 3 == 0).alias("stored"),
-        )
+        number = F.col("id").cast("bigint")
+        tagged = F.concat("prompt", F.lit(" #"), (number % 100).cast("string"))
+        rows = self.questions().withColumns({"prompt": tagged, "stored": number % 3 == 0})
         return rows.where("stored").drop("stored"), rows.where("not stored").drop("stored")
 
     def patches(self) -> DataFrame:

@@ -193,17 +193,17 @@ WITH cards AS (
 notes AS (
   SELECT 'doc-' || doc_id AS title,
     CASE WHEN n_chars > 400 THEN 'Warning' ELSE 'Pro tip' END AS heading, source AS content
-  FROM documents WHERE lang = 'en'
+  FROM documents
   UNION ALL
   SELECT 'doc-' || doc_id, CASE WHEN toxic = 1 THEN 'Warning' ELSE 'Pro tip' END,
     'quality ' || quality FROM labels),
+joined AS (
+  SELECT title, string_agg(heading || '=' || coalesce(content, '~'), '|' ORDER BY heading, content NULLS FIRST)
+    AS added FROM notes GROUP BY title),
 noted AS (
-  SELECT c.*, CASE WHEN n.title IS NULL THEN sections
-    WHEN sections = '' THEN n.heading || '=' || n.content
-    ELSE sections || '|' || n.heading || '=' || n.content END AS grown
-  FROM cards c LEFT JOIN (SELECT * FROM notes
-    QUALIFY row_number() OVER (PARTITION BY title ORDER BY heading, content) = 1) n
-  ON n.title = c.title)
+  SELECT c.*, CASE WHEN n.title IS NULL THEN sections WHEN sections = '' THEN added
+    ELSE sections || '|' || added END AS grown
+  FROM cards c LEFT JOIN joined n ON n.title = c.title)
 """
 
 _PATCHES = (
@@ -244,6 +244,32 @@ assigned AS (
 # The fold after the snapshot at the cut, with a reset on the 25th.
 _SNAPSHOT = _STREAKS.format(reset="2024-01-25 06:00:00", epoch=1)
 
+# A question of the tagged bank with all its columns.
+_WHOLE_QUESTION = """id, tagged AS prompt, array_to_string(options, '|') AS options,
+    CAST(correct AS BIGINT) AS correct_option, explanation, topic, enabled,
+    epoch_us(TIMESTAMP '2023-12-01 00:00:00') AS created_at,
+    epoch_us(TIMESTAMP '2023-12-01 00:00:00') AS updated_at"""
+
+_INTAKE = """WITH given AS (
+      SELECT CAST(c_custkey AS VARCHAR) AS id,
+        CASE WHEN c_custkey % 97 <> 0 THEN c_name END AS prompt, c_name AS a, c_mktsegment AS b,
+        CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment || '-c' END AS c,
+        CASE WHEN c_custkey % 4 > 1 THEN c_mktsegment || '-d' END AS d,
+        CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment || '-e' END AS e,
+        c_custkey % 7 AS correct,
+        CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment ELSE '' END AS explanation,
+        CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS topic
+      FROM customer),
+    listed AS (SELECT *, list_filter([a, b, c, d, e], lambda x: x IS NOT NULL) AS options FROM given),
+    judged_intake AS (SELECT id, prompt, topic, options,
+      correct - 1 AS correct_option, explanation,
+      CASE WHEN prompt IS NULL THEN 'prompt_required'
+        WHEN correct NOT BETWEEN 1 AND 5 THEN 'correct_1_to_5'
+        WHEN (c IS NULL) <> (d IS NULL) OR (e IS NOT NULL AND d IS NULL) THEN 'choice_count'
+        WHEN correct > len(options) THEN 'correct_out_of_range' END AS reason
+    FROM listed)
+"""
+
 ORACLES: dict[str, str] = {
     "leaderboard_top10": _BOARD
     + "SELECT discord_user_id, display_name, total_points, daily_streak, position, line FROM board_lines",
@@ -272,7 +298,7 @@ ORACLES: dict[str, str] = {
     + """SELECT a.id, a.session AS session_id, a.usr AS discord_user_id,
     CASE WHEN a.ok THEN '✅ Correct!' ELSE '❌ Not quite' END AS title,
     '**' || substr('ABCDE', CAST(a.correct + 1 AS BIGINT), 1) || ' — opt-' || a.correct || '**'
-    || CASE WHEN trim(a.explanation) <> '' THEN chr(10) || chr(10) || '**Why:** ' || a.explanation
+    || CASE WHEN regexp_matches(a.explanation, '\\S') THEN chr(10) || chr(10) || '**Why:** ' || a.explanation
        ELSE '' END
     || CASE WHEN a.ok THEN chr(10) || chr(10) || '+10 points' ELSE '' END
     || CASE WHEN s.streak IS NOT NULL THEN chr(10) || chr(10) || '🔥 **Daily streak:** ' || s.streak
@@ -379,29 +405,19 @@ ORACLES: dict[str, str] = {
     CAST(daily_date AS VARCHAR) AS daily_date FROM ses
     WHERE kind = 'daily' AND daily_date = DATE '2024-01-28' AND message IS NOT NULL""",
     "questions_inserted_missing": _BASE
-    + """SELECT id, tagged AS prompt, topic FROM bank b WHERE NOT stored
+    + f"""SELECT {_WHOLE_QUESTION} FROM opts b WHERE NOT stored
     AND NOT EXISTS (SELECT 1 FROM bank e WHERE e.stored AND e.tagged = b.tagged)""",
     "questions_seeded_if_empty": _BASE
-    + """SELECT id, tagged AS prompt, topic, CASE WHEN stored THEN 'full' ELSE 'empty' END AS start
-    FROM bank""",
-    "question_intake": """WITH given AS (
-      SELECT CAST(c_custkey AS VARCHAR) AS id,
-        CASE WHEN c_custkey % 97 <> 0 THEN c_name END AS prompt, c_name AS a, c_mktsegment AS b,
-        CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment || '-c' END AS c,
-        CASE WHEN c_custkey % 4 > 1 THEN c_mktsegment || '-d' END AS d,
-        CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment || '-e' END AS e,
-        c_custkey % 7 AS correct,
-        CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment ELSE '' END AS explanation,
-        CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS topic
-      FROM customer),
-    listed AS (SELECT *, list_filter([a, b, c, d, e], lambda x: x IS NOT NULL) AS options FROM given)
-    SELECT id, prompt, topic, array_to_string(options, '|') AS options,
-      correct - 1 AS correct_option, explanation,
-      CASE WHEN prompt IS NULL THEN 'prompt_required'
-        WHEN correct NOT BETWEEN 1 AND 5 THEN 'correct_1_to_5'
-        WHEN (c IS NULL) <> (d IS NULL) OR (e IS NOT NULL AND d IS NULL) THEN 'choice_count'
-        WHEN correct > len(options) THEN 'correct_out_of_range' END AS reason
-    FROM listed""",
+    + f"""SELECT {_WHOLE_QUESTION}, CASE WHEN stored THEN 'full' ELSE 'empty' END AS start
+    FROM opts""",
+    "question_intake": _INTAKE
+    + """SELECT id, prompt, topic, array_to_string(options, '|') AS options, correct_option, explanation,
+      reason FROM judged_intake""",
+    "question_intake_stored": _INTAKE
+    + f"""SELECT sha256('question|' || prompt || '|' || array_to_string(options, '|')) AS id, prompt,
+      array_to_string(options, '|') AS options, CAST(correct_option AS BIGINT) AS correct_option, explanation, topic,
+      true AS enabled, {_NOW} AS created_at, {_NOW} AS updated_at
+    FROM judged_intake WHERE reason IS NULL""",
     "questions_patched": _PATCHES
     + """, folded AS (SELECT id,
       arg_max(prompt, (ts, patch_id)) FILTER (prompt IS NOT NULL) AS prompt,
@@ -427,12 +443,12 @@ ORACLES: dict[str, str] = {
     CASE WHEN explanation = 'Brand#2' THEN {_NOW}
       ELSE epoch_us(TIMESTAMP '2023-12-01 00:00:00') END AS updated_at FROM bank""",
     "cards_evolved": _CARDS
-    + """SELECT id, topic, title, CAST(NULL AS VARCHAR) AS body, CAST(0 AS BIGINT) AS section_count,
+    + """SELECT id, topic, title, body, CAST(0 AS BIGINT) AS section_count,
     enabled FROM cards""",
     "card_notes_appended": _CARDS + "SELECT id, grown AS sections FROM noted",
     "cards_replaced_with_notes": _CARDS
-    + "SELECT id, title, grown AS sections FROM noted WHERE enabled",
-    "table_replaced": _BASE + "SELECT id, tagged AS prompt, topic FROM bank WHERE NOT stored",
+    + "SELECT id, title, grown AS sections FROM noted",
+    "table_replaced": _BASE + f"SELECT {_WHOLE_QUESTION} FROM opts WHERE NOT stored",
     "content_drop": _BASE
     + """SELECT prompt, array_to_string(options, '|') AS options, CAST(correct AS BIGINT) AS correct_option,
     explanation, topic FROM opts""",
@@ -455,6 +471,16 @@ ORACLES: dict[str, str] = {
         CASE WHEN correct >= least(cnt, num % 6) THEN 'correct_option_range' END) AS violations
       FROM bank
       UNION ALL
+      SELECT 'training_cards', CAST(doc_id AS VARCHAR), concat_ws('|',
+        CASE WHEN doc_id % 13 = 0 THEN 'title_required' END,
+        CASE WHEN doc_id % 17 = 0 THEN 'warning_signs_required' END)
+      FROM documents
+      UNION ALL
+      SELECT run, id, violations FROM (
+        SELECT DISTINCT 'quiz_runs' AS run, run AS id,
+          CASE WHEN usr LIKE '%3' THEN 'guild_id_required' ELSE '' END AS violations
+        FROM ev WHERE kind = 'quiz')
+      UNION ALL
       SELECT 'question_sessions', id, CASE WHEN owner LIKE '%x' THEN 'kind' ELSE '' END FROM ses
       UNION ALL
       SELECT 'question_answers', CAST(event_id AS VARCHAR), concat_ws('|',
@@ -469,11 +495,20 @@ ORACLES: dict[str, str] = {
       FROM customer)
     SELECT * FROM broken WHERE violations <> ''""",
     "unique_violations": _BASE
-    + """SELECT session || '/' || usr AS key_value, count(*) AS row_count FROM sub
+    + """SELECT 'questions(id)' AS key_name, id AS key_value, CAST(2 AS BIGINT) AS row_count
+    FROM bank WHERE NOT enabled
+    UNION ALL
+    SELECT 'question_sessions(id)', session, count(*) FROM ev GROUP BY session HAVING count(*) > 1
+    UNION ALL
+    SELECT 'question_sessions(guild_id, daily_date)', guild || '/' || CAST(daily_date AS VARCHAR), count(*)
+    FROM ev WHERE daily_date IS NOT NULL GROUP BY guild, daily_date HAVING count(*) > 1
+    UNION ALL
+    SELECT 'question_answers(session_id, discord_user_id)', session || '/' || usr, count(*) FROM sub
     GROUP BY session, usr HAVING count(*) > 1
     UNION ALL
-    SELECT guild || '/' || CAST(daily_date AS VARCHAR), count(*) FROM ev WHERE daily_date IS NOT NULL
-    GROUP BY guild, daily_date HAVING count(*) > 1""",
+    SELECT 'employee_profiles(discord_user_id)', usr, count(*) FROM sub GROUP BY usr HAVING count(*) > 1
+    UNION ALL
+    SELECT 'quiz_runs(id)', run, count(*) FROM ev WHERE run IS NOT NULL GROUP BY run HAVING count(*) > 1""",
     "lookup_violations": _BASE
     + """SELECT CAST(event_id * 7 AS VARCHAR) AS key_value, 'missing' AS problem, count(*) AS row_count
     FROM events WHERE event_id * 7 NOT IN (SELECT num FROM bank) GROUP BY event_id
@@ -481,13 +516,68 @@ ORACLES: dict[str, str] = {
     SELECT prompt, 'duplicate', count(*) FROM bank GROUP BY prompt HAVING count(*) > 1""",
     "optional_lookup": _BASE
     + """SELECT id, 'user' || usr AS username, c_mktsegment FROM sub
-    LEFT JOIN customer ON c_custkey = user_id AND c_mktsegment <> 'BUILDING'""",
+    LEFT JOIN customer ON c_custkey * 2 = user_id""",
     "choice_ids_parsed": _BASE
     + f"""SELECT id, session AS session_id, CASE WHEN ts < {_CUT} THEN CAST(selected AS BIGINT) END
     AS selected_option FROM sub""",
     "answer_stream": _BASE
-    + """SELECT id, verdict, CAST(CASE WHEN k <> 98 AND selected = correct THEN 10 ELSE 0 END AS BIGINT)
+    + """SELECT id, verdict, CASE WHEN verdict = 'ok' THEN selected = correct END AS is_correct,
+    CAST(CASE WHEN verdict = 'ok' THEN CASE WHEN selected = correct THEN 10 ELSE 0 END END AS BIGINT)
+    AS points_awarded FROM judged""",
+    "late_clock_answers": _BASE
+    + """SELECT id, verdict,
+    CAST(CASE WHEN verdict = 'ok' THEN CASE WHEN selected = correct THEN 10 ELSE 0 END END AS BIGINT)
     AS points_awarded FROM judged""",
+    "redelivered_presses": _BASE
+    + """, twice AS (
+      SELECT id, verdict, CASE WHEN verdict = 'ok' THEN CASE WHEN selected = correct THEN 10 ELSE 0 END END AS points
+      FROM judged
+      UNION ALL
+      SELECT id, CASE WHEN screen = 'ok' THEN 'duplicate' ELSE screen END, NULL FROM judged)
+    SELECT path, id, verdict, CAST(points AS BIGINT) AS points_awarded
+    FROM twice, (VALUES ('batch'), ('stream')) AS paths(path)""",
+    "stream_profiles_after_reset": _RESET
+    + _PROFILE.replace(
+        "updated_at FROM",
+        "greatest(updated_at, epoch_us(TIMESTAMP '2024-01-15 06:00:00')) AS updated_at FROM",
+    ),
+    "stream_quiz_progress": _RUNS
+    + """SELECT id, usr AS discord_user_id, guild AS guild_id, array_to_string(ids, '|') AS question_ids,
+    CAST(idx AS BIGINT) AS current_index, CAST(good AS BIGINT) AS correct_count,
+    epoch_us(done) AS completed_at, epoch_us(first_ts - INTERVAL 1 MINUTE) AS created_at FROM progress""",
+    "stream_next_questions": _RUNS
+    + """SELECT p.id AS quiz_run_id, usr AS discord_user_id, guild AS guild_id,
+    CAST(idx AS BIGINT) AS current_index, o.id AS question_id, o.prompt,
+    array_to_string(o.options, '|') AS options
+    FROM progress p JOIN opts o ON o.id = ids[idx + 1] WHERE idx < 5""",
+    "employee_stats_message": _WHOLE
+    + """, top AS (SELECT *, '**' || display_name || '** — ' || total_points || ' points, ' || daily_streak
+      || '-day streak' AS line FROM prof ORDER BY total_points DESC, discord_user_id LIMIT 25)
+    SELECT string_agg(line, chr(10) ORDER BY total_points DESC, discord_user_id) AS text FROM top""",
+    "report_refusals": """SELECT * FROM (VALUES
+      ('cards', 'No active training cards match that topic.'),
+      ('trivia', 'There are no active questions yet.'),
+      ('quiz', 'A quiz needs at least 5 active questions. There are currently 0.')) AS t(kind, text)
+    WHERE (SELECT count(*) FROM part WHERE p_size > 5) > 0
+      AND NOT EXISTS (SELECT 1 FROM documents WHERE source ILIKE '%no such topic%')""",
+    "content_drop_rejects": _BASE
+    + """, sorted AS (SELECT correct, CASE num % 10 WHEN 0 THEN 'not_json' WHEN 1 THEN 'options_not_a_list'
+      WHEN 2 THEN 'field_type' ELSE 'stored' END AS reason FROM bank)
+    SELECT reason, reason = 'stored' AS enabled, count(*) AS row_count,
+      CAST(sum(CASE WHEN reason = 'stored' THEN correct END) AS BIGINT) AS key_sum
+    FROM sorted GROUP BY reason""",
+    "questions_replaced_whole": _WHOLE
+    + """SELECT 'questions' AS table_name, count(*) AS row_count, max(id) AS last_key FROM bank WHERE NOT stored
+    UNION ALL SELECT unnest(['question_sessions', 'question_answers', 'quiz_runs']), 0, NULL
+    UNION ALL SELECT 'employee_profiles', count(*), max(discord_user_id) FROM prof""",
+    "typed_scan": _WHOLE
+    + """SELECT 'questions' AS table_name, count(*) AS row_count, count(DISTINCT id) AS key_count,
+      CAST(9 AS BIGINT) AS column_count FROM bank
+    UNION ALL SELECT 'training_cards', count(*), count(DISTINCT doc_id), 9 FROM documents
+    UNION ALL SELECT 'question_sessions', count(*), count(DISTINCT id), 11 FROM ses
+    UNION ALL SELECT 'question_answers', count(*), count(DISTINCT id), 7 FROM acc
+    UNION ALL SELECT 'employee_profiles', count(*), count(DISTINCT discord_user_id), 6 FROM prof
+    UNION ALL SELECT 'quiz_runs', count(DISTINCT run), count(DISTINCT run), 8 FROM ev""",
     "answer_stream_profiles": _WHOLE + _PROFILE,
     "stream_day_close": _WHOLE
     + """SELECT discord_user_id AS key, CAST(CASE WHEN last_date < DATE '2024-01-28' THEN 0
@@ -496,5 +586,9 @@ ORACLES: dict[str, str] = {
     SELECT id, message FROM ses
     WHERE kind = 'daily' AND daily_date = DATE '2024-01-28' AND message IS NOT NULL""",
     "answer_stream_dedup": _BASE
-    + "SELECT session AS session_id, usr AS discord_user_id FROM acc WHERE kind = 'daily'",
+    + """SELECT id, session AS session_id, usr AS discord_user_id, CAST(selected AS BIGINT) AS selected_option,
+    CAST(CASE WHEN selected = correct THEN 10 ELSE 0 END AS BIGINT) AS points_awarded,
+    epoch_us(ts) AS answered_at
+    FROM screened WHERE kind = 'daily' AND screen = 'ok'
+    QUALIFY row_number() OVER (PARTITION BY session, usr ORDER BY event_id % 3, ts, event_id) = 1""",
 }

@@ -21,13 +21,15 @@ from pyspark.sql.types import (
 from drillbook.operators import answers as an
 from drillbook.operators import assign, content, lookups, profiles, quizzes, reports, rules, streaks
 from drillbook.plans import close_day, leaderboard_from_submissions
-from drillbook.schemas import CARD_DROP, QUESTION_DROP, TRAINING_CARDS
+from drillbook.schemas import CARD_DROP, QUESTION_DROP, TABLES, TRAINING_CARDS
 from drillbook.sources import (
     evolve_schema,
+    ingest_content,
     parse_choice_id,
     publish_tables,
     read_content_drop,
     read_submissions,
+    read_table,
     read_version,
     replace_table,
     shared_folder,
@@ -36,8 +38,10 @@ from drillbook.sources import (
 )
 from drillbook.streaming import (
     answer_log,
+    apply_close_day,
+    apply_reset,
     current_profiles,
-    dedup_stream,
+    current_quiz_runs,
     prepare_store,
     run_answer_stream,
 )
@@ -84,9 +88,17 @@ def plain(rows: DataFrame) -> DataFrame:
     return rows.select(*columns)
 
 
-def _answer_log(m: Model) -> DataFrame:
-    """The accepted answers as a stored table, for queries that read them more than once."""
-    return write_once(m.accepted(), "answer-log")
+def _answer_log(m: Model, *columns: str) -> DataFrame:
+    """The accepted answers as a stored table, for queries that read them more than once.
+
+    Only `columns` are stored where they are given.
+    """
+    accepted = m.accepted()
+    return write_once(accepted.select(*columns) if columns else accepted, "answer-log")
+
+
+_DAYS = ("id", "discord_user_id", "daily_date", "answered_at", "is_correct")
+_FOLDED = (*_DAYS, "points_awarded", "global_name", "username")
 
 
 # Answer pipeline ------------------------------------------------------------
@@ -154,19 +166,19 @@ def answer_results(m: Model) -> DataFrame:
 
 @query
 def daily_streaks(m: Model) -> DataFrame:
-    return streaks.daily_streaks(_answer_log(m)).select(
+    return streaks.daily_streaks(_answer_log(m, *_DAYS)).select(
         "id", "discord_user_id", "daily_date", "daily_streak"
     )
 
 
 @query
 def daily_streaks_with_reset(m: Model) -> DataFrame:
-    in_epochs = streaks.assign_epoch(_answer_log(m), RESETS)
+    in_epochs = streaks.assign_epoch(_answer_log(m, *_DAYS), RESETS)
     return streaks.daily_streaks(in_epochs).select("id", "epoch", "daily_streak")
 
 
 def _around_cut(m: Model) -> tuple[DataFrame, DataFrame]:
-    accepted = _answer_log(m)
+    accepted = _answer_log(m, *_FOLDED)
     cut = instant(CUT)
     before = accepted.where(F.col("answered_at") < cut)
     return profiles.rebuild_profiles(before), accepted.where(F.col("answered_at") >= cut)
@@ -236,7 +248,25 @@ def employee_stats_top25(m: Model) -> DataFrame:
 
 @query
 def employee_stats_one(m: Model) -> DataFrame:
-    return reports.employee_stats(profiles.rebuild_profiles(m.accepted()), "7")
+    """Stats of one user: the filter stands below the judging, which has nothing across users."""
+    own = m.enriched(m.submissions().where("discord_user_id = '7'"))
+    return reports.employee_stats(profiles.rebuild_profiles(an.accept_answers(own, ZONE)), "7")
+
+
+@query
+def employee_stats_message(m: Model) -> DataFrame:
+    return reports.employee_stats_message(profiles.rebuild_profiles(m.accepted()))
+
+
+@query
+def report_refusals(m: Model) -> DataFrame:
+    """Replies where nothing fits: no such card, a bank without enough active questions."""
+    none = reports.card_search_message(m.cards(), "no such topic").select(
+        F.lit("cards").alias("kind"), "text"
+    )
+    short = reports.bank_refusals(m.questions().where("prompt IS NULL"))
+    enough = reports.bank_refusals(m.questions(), 1)
+    return none.unionByName(short).unionByName(enough)
 
 
 @query
@@ -386,7 +416,7 @@ def explanations_cleared(m: Model) -> DataFrame:
 @query
 def cards_evolved(m: Model) -> DataFrame:
     """Cards from before the sections column, brought to the present schema."""
-    older = m.cards().drop("sections", "body")
+    older = m.cards().drop("sections")
     empty = F.array().cast("array<struct<heading:string,content:string>>")
     return evolve_schema(older, TRAINING_CARDS, {"sections": empty}).select(
         "id", "topic", "title", "body", F.size("sections").alias("section_count"), "enabled"
@@ -415,6 +445,93 @@ def content_drop(m: Model) -> DataFrame:
     return read_content_drop(m.spark, path, QUESTION_DROP)
 
 
+@query
+def content_drop_rejects(m: Model) -> DataFrame:
+    """A content drop with lines that do not parse: the good rows are counted, the others kept."""
+    number = F.col("id").cast("bigint")
+    line = F.to_json(F.struct(*QUESTION_DROP.names))
+    spoilt = (
+        F.when(number % 10 == 0, F.concat(F.lit("{"), line))
+        .when(number % 10 == 1, F.regexp_replace(line, r'"options":\[[^\]]*\]', '"options":"none"'))
+        .when(number % 10 == 2, F.regexp_replace(line, r'"correct_option":\d+', '"correct_option":"x"'))
+        .otherwise(line)
+    )
+    path = shared_folder(m.spark, "spoilt-drop")
+    m.questions().select(spoilt.alias("value")).write.text(path)
+    good, refused = ingest_content(m.spark, path, QUESTION_DROP)
+    kept = content.question_rows(good, NOW).groupBy(F.lit("stored").alias("reason"), "enabled").agg(
+        F.count("*").alias("row_count"), F.sum("correct_option").alias("key_sum")
+    )
+    bad = refused.groupBy("reason", F.lit(False).alias("enabled")).agg(
+        F.count("*").alias("row_count"), F.lit(None).cast("bigint").alias("key_sum")
+    )
+    return kept.unionByName(bad)
+
+
+@query
+def question_intake_stored(m: Model) -> DataFrame:
+    """Accepted intake rows as they are stored, with defaults."""
+    accepted = content.accepted_intake(content.intake_questions(m.intake()))
+    return content.question_rows(accepted, NOW)
+
+
+@query
+def questions_replaced_whole(m: Model) -> DataFrame:
+    """The question script as a whole: answers, sessions and runs go, the bank is new, profiles stay."""
+    root = shared_folder(m.spark, "whole-bank")
+    answers = an.answer_rows(m.accepted())
+    profile = profiles.rebuild_profiles(m.accepted())
+    tables_ = {
+        "questions": m.questions(),
+        "question_sessions": m.sessions(),
+        "question_answers": answers,
+        "quiz_runs": m.quiz_runs(),
+        "employee_profiles": profile,
+    }
+    publish_tables(m.spark, root, tables_)
+    _, incoming = m.bank_halves()
+    emptied = {
+        name: read_version(m.spark, root, name).limit(0)
+        for name in ("question_sessions", "question_answers", "quiz_runs")
+    }
+    publish_tables(m.spark, root, {**emptied, "questions": incoming})
+    counts = None
+    for name in tables_:
+        rows = read_version(m.spark, root, name)
+        key = "discord_user_id" if name == "employee_profiles" else "id"
+        one = rows.agg(F.count("*").alias("row_count"), F.max(key).alias("last_key"))
+        one = one.select(F.lit(name).alias("table_name"), "row_count", "last_key")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
+
+
+@query
+def typed_scan(m: Model) -> DataFrame:
+    """The six tables written and scanned again with their declared schemas."""
+    root = shared_folder(m.spark, "typed")
+    made = {
+        "questions": m.questions(),
+        "training_cards": m.cards(),
+        "question_sessions": m.sessions(),
+        "question_answers": an.answer_rows(m.accepted()),
+        "employee_profiles": profiles.rebuild_profiles(m.accepted()),
+        "quiz_runs": m.quiz_runs(),
+    }
+    counts = None
+    for name, rows in made.items():
+        rows.write.parquet(f"{root}/{name}")
+        scanned = read_table(m.spark, name, f"{root}/{name}")
+        key = "discord_user_id" if name == "employee_profiles" else "id"
+        one = scanned.agg(
+            F.lit(name).alias("table_name"),
+            F.count("*").alias("row_count"),
+            F.countDistinct(key).alias("key_count"),
+            F.lit(len(TABLES[name])).alias("column_count"),
+        )
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
+
+
 @query
 def card_drop(m: Model) -> DataFrame:
     path = shared_folder(m.spark, "card-drop")
@@ -426,10 +543,9 @@ def card_drop(m: Model) -> DataFrame:
 def cards_replaced_with_notes(m: Model) -> DataFrame:
     """The content script as a whole: drop all cards, insert new ones, append the notes."""
     root = shared_folder(m.spark, "cards")
-    fresh = m.cards().where("enabled")
     publish_tables(m.spark, root, {"training_cards": m.cards()})
     publish_tables(
-        m.spark, root, {"training_cards": content.append_card_notes(fresh, m.card_notes())}
+        m.spark, root, {"training_cards": content.append_card_notes(m.cards(), m.card_notes())}
     )
     return read_version(m.spark, root, "training_cards", TRAINING_CARDS).select(
         "id", "title", "sections"
@@ -467,7 +583,7 @@ def restricted_questions(m: Model) -> DataFrame:
 
 @query
 def row_rule_violations(m: Model) -> DataFrame:
-    """The rules of four tables over rows with faults."""
+    """The rules of all six tables over rows with faults."""
     number = F.col("id").cast("bigint")
     questions = m.questions().withColumns(
         {
@@ -495,9 +611,21 @@ def row_rule_violations(m: Model) -> DataFrame:
         (F.col("c_nationkey") - 3).alias("daily_streak"),
         instant(CUT).alias("updated_at"),
     )
+    doc = F.col("id").cast("bigint")
+    cards = m.cards().withColumns(
+        {
+            "title": F.when(doc % 13 != 0, F.col("title")),
+            "warning_signs": F.when(doc % 17 != 0, F.col("warning_signs")),
+        }
+    )
+    runs = m.quiz_runs().withColumn(
+        "guild_id", F.when(~F.col("discord_user_id").endswith("3"), F.col("guild_id"))
+    )
     reports_ = []
     for name, rows, key in (
         ("questions", questions, "id"),
+        ("training_cards", cards, "id"),
+        ("quiz_runs", runs, "id"),
         ("question_sessions", sessions, "id"),
         ("question_answers", answers, "id"),
         ("employee_profiles", profile, "discord_user_id"),
@@ -515,15 +643,22 @@ def row_rule_violations(m: Model) -> DataFrame:
 
 @query
 def unique_violations(m: Model) -> DataFrame:
-    """Repeated keys: users who answered a session twice, days with several sessions."""
-    answered = rules.unique_violations(m.submissions(), ["session_id", "discord_user_id"]).select(
-        F.concat_ws("/", "session_id", "discord_user_id").alias("key_value"), "row_count"
-    )
-    days = rules.unique_violations(m.events(), ["guild_id", "daily_date"]).select(
-        F.concat_ws("/", "guild_id", F.col("daily_date").cast("string")).alias("key_value"),
-        "row_count",
-    )
-    return answered.unionByName(days)
+    """Repeated keys of all six tables, with presses as answers and every press's session."""
+    presses = m.submissions()
+    opened = m.events().select(F.col("session_id").alias("id"), "guild_id", "daily_date")
+    made = {
+        "questions": m.questions().unionByName(m.questions().where("not enabled")),
+        "training_cards": m.cards(),
+        "question_sessions": opened,
+        "question_answers": presses,
+        "employee_profiles": presses,
+        "quiz_runs": m.events().select(F.col("quiz_run_id").alias("id")),
+    }
+    found = None
+    for name, rows in made.items():
+        one = rules.key_violations(name, rows)
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 @query
@@ -541,8 +676,9 @@ def optional_lookup(m: Model) -> DataFrame:
     """Profiles of all event users, where one exists for the name they have now."""
     named = m.submissions().select("id", "username")
     holders = m.table("customer").select(
-        F.concat(F.lit("user"), F.col("c_custkey").cast("string")).alias("holder"), "c_mktsegment"
-    ).where("c_mktsegment <> 'BUILDING'")
+        F.concat(F.lit("user"), (F.col("c_custkey") * 2).cast("string")).alias("holder"),
+        "c_mktsegment",
+    )
     return lookups.lookup_join(named, holders, "username", "holder", optional=True)
 
 
@@ -558,25 +694,27 @@ def choice_ids_parsed(m: Model) -> DataFrame:
     return parse_choice_id(faulty.unionByName(other)).select("id", "session_id", "selected_option")
 
 
-def _stream_answers(m: Model) -> str:
-    """Drop the presses in three parts by time and run the stream after each drop."""
+def _stream_answers(m: Model, presses=None, sessions=None, parts=None, between=None) -> str:
+    """Drop the presses in parts and run the stream after each; the parts are by time by default."""
     root = shared_folder(m.spark, "answers")
     inbox = f"{root}/inbox"
     prepare_store(m.spark, root)
+    rows = m.presses() if presses is None else presses
     at = F.col("answered_at")
     reset, cut = instant(RESETS[0]), instant(CUT)
-    parts = [at < reset, (at >= reset) & (at < cut), at >= cut]
-    for part in parts:
-        m.presses().where(part).write.mode("append").parquet(inbox)
+    for number, part in enumerate(parts or [at < reset, (at >= reset) & (at < cut), at >= cut]):
+        rows.where(part).write.mode("append").parquet(inbox)
         stream = read_submissions(m.spark, inbox)
-        run_answer_stream(stream, root, m.sessions, m.questions, ZONE).awaitTermination()
+        run_answer_stream(stream, root, sessions or m.sessions, m.questions, ZONE).awaitTermination()
+        if between:
+            between(root, number)
     return root
 
 
 @query
 def answer_stream(m: Model) -> DataFrame:
     log = answer_log(m.spark, _stream_answers(m))
-    return log.select("id", "verdict", "points_awarded")
+    return log.select("id", "verdict", "is_correct", "points_awarded")
 
 
 @query
@@ -584,33 +722,64 @@ def answer_stream_profiles(m: Model) -> DataFrame:
     return current_profiles(m.spark, _stream_answers(m))
 
 
+@query
+def stream_profiles_after_reset(m: Model) -> DataFrame:
+    """Scores reset in the store between the first and the second part."""
+
+    def reset(root: str, part: int) -> None:
+        if part == 0:
+            apply_reset(m.spark, root, RESETS[0])
+
+    return current_profiles(m.spark, _stream_answers(m, between=reset))
+
+
+@query
+def stream_quiz_progress(m: Model) -> DataFrame:
+    return current_quiz_runs(m.spark, _stream_answers(m), m.quiz_runs())
+
+
+@query
+def stream_next_questions(m: Model) -> DataFrame:
+    runs = current_quiz_runs(m.spark, _stream_answers(m), m.quiz_runs())
+    return quizzes.next_quiz_questions(runs, m.questions())
+
+
 @query
 def stream_day_close(m: Model) -> DataFrame:
-    """The midnight job on the streamed profiles."""
-    stored = current_profiles(m.spark, _stream_answers(m))
-    closed, expired = close_day(stored, m.sessions(), AS_OF, NOW)
-    return closed.select(
+    """The midnight job on the streamed profiles, written back to the store."""
+    root = _stream_answers(m)
+    expired = apply_close_day(m.spark, root, m.sessions(), AS_OF, NOW)
+    return current_profiles(m.spark, root).select(
         F.col("discord_user_id").alias("key"), F.col("daily_streak").cast("string").alias("value")
     ).unionByName(expired.select(F.col("id").alias("key"), F.col("message_id").alias("value")))
 
 
 @query
-def answer_stream_dedup(m: Model) -> DataFrame:
-    """Keys kept by the stateful form for daily answers."""
-    root = shared_folder(m.spark, "dedup")
-    m.presses().write.parquet(f"{root}/inbox")
-    submissions = parse_choice_id(read_submissions(m.spark, f"{root}/inbox"))
-    screened = an.screen_submissions(
-        an.enrich_submissions(submissions, m.sessions(), m.questions()), ZONE
+def redelivered_presses(m: Model) -> DataFrame:
+    """Every press twice, in one batch and through the stream: one answer each, no double points."""
+    twice = m.submissions().unionByName(m.submissions())
+    batch = an.score_answers(an.judge_submissions(m.enriched(twice), ZONE))
+    presses = m.presses().unionByName(m.presses())
+    log = answer_log(m.spark, _stream_answers(m, presses))
+    columns = ["id", "verdict", "points_awarded"]
+    return batch.select(F.lit("batch").alias("path"), *columns).unionByName(
+        log.select(F.lit("stream").alias("path"), *columns)
     )
-    (
-        dedup_stream(screened)
-        .select("session_id", "discord_user_id")
-        .writeStream.format("parquet")
-        .option("path", f"{root}/kept")
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
+
+
+@query
+def late_clock_answers(m: Model) -> DataFrame:
+    """Sessions whose clock is a day ahead of the answers: earlier answers still count as given."""
+    ahead = F.col("created_at") + F.expr("INTERVAL 1 DAY")
+    root = _stream_answers(m, sessions=lambda: m.sessions().withColumn("created_at", ahead))
+    return answer_log(m.spark, root).select("id", "verdict", "points_awarded")
+
+
+@query
+def answer_stream_dedup(m: Model) -> DataFrame:
+    """Daily answers kept across batches that come out of time order: the first to arrive counts."""
+    number = F.col("id").cast("bigint")
+    log = answer_log(m.spark, _stream_answers(m, parts=[number % 3 == part for part in range(3)]))
+    return log.where("accepted and kind = 'daily'").select(
+        "id", "session_id", "discord_user_id", "selected_option", "points_awarded", "answered_at"
     )
-    return m.spark.read.parquet(f"{root}/kept")
