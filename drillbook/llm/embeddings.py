@@ -247,7 +247,7 @@ def _indexed(classes: DataFrame, models: dict[int, Quantiser]) -> DataFrame:
 
 
 def _sharded(index: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """The index with `shard`, SHARD rows in order of lists, and per label where lists start."""
+    """The index with `shard`, SHARD rows in order of lists, and per list its shards and size."""
     salts = min(4096, max(8, n // SHARD))
     group = ["label", "dims"]
     salted = index.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(salts)))
@@ -267,55 +267,41 @@ def _sharded(index: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         .withColumn("shard", F.floor((F.col("start") + F.col("inside")) / SHARD))
         .select(*index.columns, "shard")
     )
-    ranges = (
-        starts.groupBy(*group, "list")
-        .agg(F.min("start").alias("first"), F.max(F.col("start") + F.col("n") - 1).alias("last"))
-        .groupBy(*group)
-        .agg(
-            F.map_from_entries(
-                F.collect_list(
-                    F.struct(
-                        "list",
-                        F.struct(
-                            F.floor(F.col("first") / SHARD).alias("first"),
-                            F.floor(F.col("last") / SHARD).alias("last"),
-                        ),
-                    )
-                )
-            ).alias("ranges")
-        )
+    ranges = starts.groupBy(*group, "list").agg(
+        F.floor(F.min("start") / SHARD).alias("first"),
+        F.floor(F.max(F.col("start") + F.col("n") - 1) / SHARD).alias("last"),
+        F.sum("n").alias("n"),
     )
     return shards, ranges
 
 
 def _queries(index: DataFrame, ranges: DataFrame, models: dict, radius: float) -> DataFrame:
     """A row per query and shard that holds a list it must probe."""
+    group = ["label", "dims"]
+    blocks = ranges.groupBy(*group).agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    dealt = index.join(blocks, group).withColumn(
+        "block", F.pmod(F.xxhash64("class"), F.col("blocks"))
+    )
+    copied = ranges.join(blocks, group).withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    )
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column("dims").to_numpy()
-            found: dict[str, list] = {"at": [], "shard": []}
-            ranges_of = batch.column("ranges").to_pylist()
-            units = batch.column("unit").to_pylist()
-            for size in set(dims.tolist()):
-                own = np.nonzero(dims == size)[0]
-                probes = models[size].probes(_matrix([units[i] for i in own]), radius)
-                for i, wanted in zip(own, probes):
-                    shards: set[int] = set()
-                    for number, span in ranges_of[i]:
-                        if wanted[number]:
-                            shards.update(range(span["first"], span["last"] + 1))
-                    found["at"] += [i] * len(shards)
-                    found["shard"] += sorted(shards)
-            picked = batch.select(["class", "label", "dims", "unit"]).take(pa.array(found["at"], pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*picked.columns, pa.array(found["shard"], pa.int64())],
-                names=["class", "label", "dims", "unit", "shard"],
-            )
+    def work(key, asked: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+        probes = models[int(key[1])].probes(_matrix(asked["unit"]), radius)
+        held = np.zeros((len(lists), int(lists["last"].max()) + 1), bool)
+        for row, (first, last) in enumerate(zip(lists["first"], lists["last"])):
+            held[row, first : last + 1] = True
+        wanted = probes[:, lists["list"].to_numpy()].astype(np.float32) @ held.astype(np.float32)
+        at, shard = np.nonzero(wanted)
+        return asked[["class", "label", "dims", "unit"]].iloc[at].assign(shard=shard)
 
-    joined = index.join(ranges, ["label", "dims"]).select("class", "label", "dims", "unit", "ranges")
-    schema = "class long, label long, dims int, unit binary, shard long"
-    return joined.mapInArrow(work, schema)
+    keys = [*group, "block"]
+    return (
+        dealt.select(*keys, "class", "unit")
+        .groupBy(*keys)
+        .cogroup(copied.select(*keys, "list", "first", "last").groupBy(*keys))
+        .applyInPandas(work, "class long, label long, dims int, unit binary, shard long")
+    )
 
 
 def near_vectors(embeddings: DataFrame, least_cosine: float = 0.93) -> DataFrame:
@@ -345,6 +331,7 @@ def near_vectors(embeddings: DataFrame, least_cosine: float = 0.93) -> DataFrame
     radius = math.sqrt(2 - 2 * least_cosine)
     index = scratch.write(_indexed(classes, models), "index")
     shards, ranges = _sharded(index, index.count())
+    ranges = scratch.write(ranges, "ranges")
     queries = scratch.write(_queries(index, ranges, models, radius), "queries")
     tile = ["label", "dims", "shard"]
     blocks = queries.groupBy(*tile).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
