@@ -138,3 +138,43 @@ def test_windows_without_a_partition_are_bounded(spark):
     text = plan(QUERIES["card_picked"](spark, FOLDER))
     single = re.search(r"Exchange SinglePartition.*?\n(.*\n){2}", text.split("_offset")[-1])
     assert single and "HashAggregate(keys=[_bucket" in single.group(0)
+
+
+def shuffles(rows):
+    return re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", initial(plan(rows)))
+
+
+def test_a_quiz_takes_two_shuffles_of_its_requests_whatever_its_size(spark, conf):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    requests = spark.range(9).select(F.col("id").alias("request_id"))
+    bank = tables.questions(spark, *[question(str(n)) for n in range(30)]).select("id")
+    for size in (3, 7):
+        keys = shuffles(assign.pick_distinct(requests, bank, size, "s", "request_id"))
+        assert sum(key.startswith(("idx#", "_key#")) for key in keys) == 3  # picks, bank, requests
+        assert not any("_pick" in key for key in keys)
+
+
+def test_verdicts_join_sessions_and_share_the_shuffle_by_press(spark, conf):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    enriched = an.enrich_submissions(*hot_log(spark, 300))
+    keys = shuffles(an.judge_submissions(enriched, ZONE))
+    assert sum(key.startswith("id#") and "_row#" in key for key in keys) == 2
+
+
+def test_streaks_move_answers_by_user_and_date_not_by_id(spark, conf):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    rows = [("1", "s", "u", None, "u", tables.day(0), True, 10, tables.START)]
+    keys = shuffles(daily_streaks(tables.answers(spark, rows)))
+    assert keys and all(key.startswith("discord_user_id#") for key in keys)
+
+
+def test_stats_of_one_user_filter_below_the_judging(spark):
+    text = initial(plan(QUERIES["employee_stats_one"](spark, FOLDER)))
+    first = text.index("WindowGroupLimit")
+    assert re.search(r"Filter .*user_id#\d+.* = 7\)", text[first:])
+
+
+def test_cascades_read_the_children_once(spark):
+    children = spark.range(9).select("id", F.lit("1").alias("parent"))
+    kept = lookups.cascade_delete(children, spark.range(3), "parent")
+    assert initial(plan(kept)).count("Range (0, 9") == 1
