@@ -15,6 +15,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ BANDS, BAND_ROWS = 24, 5
 COORDINATES = BANDS * BAND_ROWS
 #: The first time step is 2 ** -FINEST long, as is the second; later ones double.
 FINEST = 11
-#: Documents of a bucket that are compared with all others of it in one round.
-HUBS = 16
+#: Texts of a block; a task compares two blocks. Units counted at a time.
+BLOCK, UNITS_AT_ONCE = 128, 8_192
 
 _U = np.uint64
 
@@ -150,27 +151,147 @@ def _signed(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, key binary, bands array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of text keys whose texts are alike enough, compared exactly."""
+def linked_pairs(units: list[np.ndarray], sides: np.ndarray, least: float) -> np.ndarray:
+    """Index pairs of a tile, one of either side, whose region sets are alike enough.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_units = None, None
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            columns = [batch.column(name) for name in ("a", "text_a", "text_b")]
-            for i, (key, one, other) in enumerate(zip(*columns)):
-                if key.as_py() != last:
-                    last, last_units = key.as_py(), regions(shingle_hashes(one.as_py()))
-                units = regions(shingle_hashes(other.as_py()))
-                keep[i] = likeness(last_units, units) >= least
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    joined = (
-        pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-        .select("a", "b", "text_a", "text_b")
+    Common units are counted by products of 0/1 matrices over the units that
+    several texts have, some thousand at a time. If only one side is there, its
+    texts are compared with each other.
+    """
+    n = len(units)
+    owner = np.repeat(np.arange(n), [len(one) for one in units])
+    names, column, held = np.unique(np.concatenate(units), return_inverse=True, return_counts=True)
+    shared = held > 1
+    number = np.cumsum(shared) - 1
+    inside = shared[column]
+    owner, column = owner[inside], number[column[inside]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((n, n), np.float32)
+    for start in range(0, int(shared.sum()), UNITS_AT_ONCE):
+        low, high = np.searchsorted(column, [start, start + UNITS_AT_ONCE])
+        part = np.zeros((n, UNITS_AT_ONCE), np.float32)
+        part[owner[low:high], column[low:high] - start] = 1
+        common += part @ part.T
+    sizes = np.array([len(one) for one in units], np.float64)
+    total = sizes[:, None] + sizes - common
+    alike = common >= least * total - 1e-9
+    across = sides[:, None] < sides if sides.min() < sides.max() else np.triu(np.ones((n, n), bool), 1)
+    return np.argwhere(alike & across)
+
+
+def _compared(tiles: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) that keep what the links of each tile connect, compared exactly.
+
+    `tiles` has rows of (tile, side, key, component), at most 2 * BLOCK a tile.
+    Only links between different components matter, and of these a spanning
+    forest leaves the task.
+    """
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        units = [regions(shingle_hashes(text)) for text in rows["text"]]
+        names = sorted(set(rows["component"]))
+        root = list(range(len(names)))
+        place = {name: i for i, name in enumerate(names)}
+        member = [place[name] for name in rows["component"]]
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        keys, edges = rows["key"].tolist(), []
+        for i, j in linked_pairs(units, rows["side"].to_numpy(), least).tolist():
+            one, other = find(member[i]), find(member[j])
+            if one != other:
+                root[one] = other
+                edges.append((keys[i], keys[j]))
+        return pd.DataFrame(edges, columns=["a", "b"])
+
+    shipped = tiles.join(texts, "key").select("tile", "side", "key", "component", "text")
+    return shipped.groupBy("tile").applyInPandas(work, "a binary, b binary")
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """Tiles of each bucket's first text with the others, BLOCK of them at a time."""
+    hubs = members.groupBy("bucket").agg(F.min("key").alias("hub"))
+    pairs = members.join(hubs, "bucket").where("hub != key").select("hub", "key").distinct()
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = pairs.join(sizes, "hub").select(
+        F.struct("hub", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block")).alias("tile"),
+        F.lit(1).alias("side"),
+        "key",
+    )
+    heads = dealt.select("tile").distinct().select(
+        "tile", F.lit(0).alias("side"), F.col("tile.hub").alias("key")
+    )
+    return dealt.unionByName(heads).withColumn("component", F.col("key"))
+
+
+def _cells(mixed: DataFrame, groups: DataFrame) -> DataFrame:
+    """(cell, key, component): the groups of texts that must still meet each other.
+
+    A cell is all of a candidate group, or each of its buckets alone where that
+    takes fewer rows.
+    """
+    grouped = mixed.join(groups.withColumnRenamed("node", "key"), "key").withColumnRenamed(
+        "group", "group_key"
+    )
+    rows = F.col("n") * (F.col("n") / BLOCK + 1)
+    whole = (
+        grouped.select("group_key", "key").distinct()
+        .groupBy("group_key").agg(F.count(F.lit(1)).alias("n"))
+        .select("group_key", rows.alias("together"))
+    )
+    apart = (
+        grouped.groupBy("group_key", "bucket").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("group_key").agg(F.sum(rows).alias("apart"))
+    )
+    chosen = whole.join(apart, "group_key").select(
+        "group_key", (F.col("together") <= F.col("apart")).alias("whole")
+    )
+    cell = F.struct("group_key", F.when(~F.col("whole"), F.col("bucket")).alias("bucket"))
+    return (
+        grouped.join(chosen, "group_key")
+        .select(cell.alias("cell"), "key", "component")
+        .distinct()
+    )
+
+
+def _pairwise(cells: DataFrame) -> DataFrame:
+    """Tiles of every two blocks of a cell, but for those within one component.
+
+    Rows are ordered by component, so that most blocks of a large component
+    hold nothing else and need not meet.
+    """
+    place = Window.partitionBy("cell").orderBy("component", "key")
+    placed = cells.withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK))
+    blocks = (
+        placed.groupBy("cell", "block")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .groupBy("cell")
+        .agg(F.collect_list(F.struct("block", "low", "high")).alias("blocks"))
+    )
+    own = F.element_at(F.filter("blocks", lambda other: other["block"] == F.col("block")), 1)
+    meets = F.filter(
+        "blocks",
+        lambda other: (other["low"] != other["high"])
+        | (F.col("own.low") != F.col("own.high"))
+        | (other["low"] != F.col("own.low")),
+    )
+    low, high = F.least("block", "other.block"), F.greatest("block", "other.block")
+    return (
+        placed.join(blocks, "cell")
+        .withColumn("own", own)
+        .select("cell", "block", "key", "component", F.explode(meets).alias("other"))
+        .select(
+            F.struct("cell", low.alias("low"), high.alias("high")).alias("tile"),
+            F.when(F.col("block") == low, 0).otherwise(1).alias("side"),
+            "key",
+            "component",
+        )
     )
-    return joined.mapInArrow(work, "a binary, b binary")
 
 
 def _members(signed: DataFrame, scratch: Scratch) -> DataFrame:
@@ -197,10 +318,10 @@ def near_classes(documents: DataFrame, least: float = 0.8) -> DataFrame:
     Rows that repeat doc_id and text are both marked.
 
     Every text of a bucket meets the bucket's first one. Where a bucket then
-    still holds several classes, its next HUBS texts meet all others of other
-    classes, and so on until it holds one class or every pair of it has met, so
-    a group of thousands of copies costs a few comparisons per copy and no
-    pair across classes is left out.
+    still holds several classes, the texts of its candidate group meet in tiles
+    of two blocks, but for blocks of one class. So a group of any number of
+    copies costs a comparison per copy and bucket, no pair across classes is
+    left out, and a task holds two blocks at most.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "near")
@@ -214,51 +335,28 @@ def near_classes(documents: DataFrame, least: float = 0.8) -> DataFrame:
     texts = scratch.write(
         texts.join(keys, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")), "texts"
     )
-    hubs = members.groupBy("bucket").agg(F.min("key").alias("a"))
-    pairs = members.join(hubs, "bucket").where("a != key").select("a", F.col("key").alias("b")).distinct()
-    links = scratch.write(_verified(pairs, texts, least), "links-0")
-    tied = scratch.write(components(links, scratch, "tied-0"), "classes-0")
-    place = Window.partitionBy("bucket").orderBy("key")
-    every, first, turn = [links], 1, 0
-    while True:
-        turn += 1
-        classed = (
-            members.join(tied.withColumnRenamed("node", "key"), "key", "left")
-            .withColumn("component", F.coalesce("component", "key"))
-        )
-        mixed = (
-            classed.groupBy("bucket")
-            .agg(
-                F.min("component").alias("low"),
-                F.max("component").alias("high"),
-                F.count(F.lit(1)).alias("n"),
-            )
-            .where((F.col("low") != F.col("high")) & (F.col("n") > first + 1))
-            .select("bucket")
-        )
-        ranked = scratch.write(
-            classed.join(mixed, "bucket", "left_semi").withColumn("rank", F.row_number().over(place) - 1),
-            f"ranked-{turn}",
-        )
-        if ranked.isEmpty():
-            break
-        chosen = ranked.where((F.col("rank") >= first) & (F.col("rank") < first + HUBS)).select(
-            "bucket",
-            F.col("key").alias("a"),
-            F.col("rank").alias("rank_a"),
-            F.col("component").alias("component_a"),
-        )
-        pairs = (
-            ranked.join(chosen, "bucket")
-            .where("rank > rank_a and component != component_a")
-            .select("a", F.col("key").alias("b"))
-            .distinct()
-        )
-        every.append(scratch.write(_verified(pairs, texts, least), f"links-{turn}"))
-        first += HUBS
-        if not every[-1].isEmpty():
-            edges = tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(every[-1])
-            tied = scratch.write(components(edges, scratch, f"tied-{turn}"), f"classes-{turn}")
+    links = scratch.write(_compared(_stars(members), texts, least), "links")
+    tied = scratch.write(components(links, scratch, "stars"), "star_classes")
+    classed = members.join(tied.withColumnRenamed("node", "key"), "key", "left").withColumn(
+        "component", F.coalesce("component", "key")
+    )
+    several = (
+        classed.groupBy("bucket")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("key").alias("hub"))
+        .where("low != high")
+    )
+    mixed = scratch.write(
+        classed.join(several.select("bucket", "hub"), "bucket").select("bucket", "hub", "key", "component"),
+        "mixed",
+    )
+    if not mixed.isEmpty():
+        groups = components(
+            mixed.select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), scratch, "groups"
+        ).withColumnRenamed("component", "group")
+        cells = scratch.write(_cells(mixed.drop("hub"), groups), "cells")
+        more = scratch.write(_compared(_pairwise(cells), texts, least), "more_links")
+        edges = tied.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        tied = scratch.write(components(edges.unionByName(more), scratch, "all"), "all_classes")
     classes = signed.select("doc_id", "key").join(
         tied.withColumnRenamed("node", "key"), "key", "left"
     ).withColumn("component", F.coalesce("component", "key"))

@@ -101,9 +101,10 @@ def brute(texts, least=0.8):
     return grouped(pairs, range(len(texts)))
 
 
-@pytest.mark.parametrize("hubs", [1, 16])
-def test_classes_equal_brute_force(spark, monkeypatch, hubs):
-    monkeypatch.setattr(nd, "HUBS", hubs)
+@pytest.mark.parametrize("block", [5, 128])
+def test_classes_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(nd, "BLOCK", block)
+    monkeypatch.setattr(nd, "UNITS_AT_ONCE", 50 * block)
     texts = corpus(11)
     frame = with_clashing(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]))
     found = nd.near_classes(frame).collect()
