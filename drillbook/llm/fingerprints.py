@@ -17,7 +17,7 @@ from .shared import importable
 #: Words of a shingle, and shingle hashes that a sketch keeps.
 SHINGLE_WORDS, SKETCH_SIZE = 5, 128
 #: Words whose hashes a worker keeps; it starts anew when they are so many.
-MEMORY = 500_000
+MEMORY = 300_000
 _word_hashes: dict[str, int] = {}
 
 

@@ -28,7 +28,7 @@ from tokenizers import Tokenizer
 from .shared import Scratch, map_slices
 
 #: Words, and parts of words, whose ids a worker keeps.
-WORDS_KEPT, PARTS_KEPT = 500_000, 900_000
+WORDS_KEPT, PARTS_KEPT = 200_000, 400_000
 #: Rows of one size that a ranking window may hold on average.
 RANKED_ROWS = 4_000
 #: (size, first rank, documents, gap, first gap rank, documents a gap)
@@ -68,7 +68,7 @@ class WordIds:
             unit = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LETTERS)
             self.parts[part] = array("I", [token.id for token in tokenize(unit)]).tobytes()
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         split: dict[str, tuple[str, ...] | list[str]] = {}
         for word in words:
             if word.isascii():
@@ -104,23 +104,23 @@ class WordIds:
         ends = cut.offsets.to_numpy()
         coded = cut.values.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        known = self.words
-        unknown = {word for word in words if word not in known}
+        known, order = self.words, coded.indices.to_numpy()
+        fresh = np.fromiter((word not in known for word in words), bool, len(words))
+        unknown = [words[i] for i in np.nonzero(fresh)[0]]
         self._learn(unknown)
         ids = [known[word] for word in words]
         if len(known) > WORDS_KEPT:
-            if 2 * len(unknown) > len(words):
+            if fresh[order].mean() > 0.3:
                 known.clear()  # texts of another kind
             else:
                 for word in unknown:
                     del known[word]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts = np.cumsum(sizes) - sizes
-        order = coded.indices.to_numpy()
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        starts = (np.cumsum(sizes) - sizes).astype(np.int32)
         lengths = sizes[order]
-        after = np.concatenate([[0], np.cumsum(lengths)])
+        after = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         places = np.repeat(starts[order] - after[:-1], lengths)
-        places += np.arange(after[-1])
+        places += np.arange(after[-1], dtype=np.int32)
         row = np.frombuffer(b"".join(ids), "<u4")[places]
         cuts = after[ends].tolist()
         return [row[start:end].tobytes() for start, end in zip(cuts, cuts[1:])]
@@ -154,7 +154,7 @@ def token_pieces(documents: DataFrame, path: str | None = None, capacity: int =
         return made
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return map_slices(documents.select("doc_id", "text"), work, schema, slice_rows=4096)
+    return map_slices(documents.select("doc_id", "text"), work, schema, slice_rows=2048)
 
 
 def size_ranks(rows: DataFrame, size: str, id_: str, n_rows: int) -> DataFrame:

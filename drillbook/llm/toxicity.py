@@ -137,7 +137,7 @@ def _scored(model: Field, texts: list[str], known: dict) -> list[tuple[list, lis
 
     def emission(word: str) -> float | None:
         if word not in known:
-            if len(known) > 300_000:
+            if len(known) > 200_000:
                 known.clear()
             known[word] = model.emission(word)
         return known[word]
