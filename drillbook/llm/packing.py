@@ -178,7 +178,9 @@ def sweep(sizes: dict[int, list[int]], gaps: dict[int, int]) -> list[Segment]:
     """Matches of one round, from {size: [next rank, documents]} and {gap: bins}.
 
     Gaps go from small to large; each takes the largest size that fits and is
-    left, as often as it fits. `sizes` is brought up to date.
+    left: one document, or as many as fit if they are less than an eighth of
+    it, so that many small ones don't take many rounds. `sizes` is brought up
+    to date.
     """
     segments, open_sizes = [], []
     waiting = sorted((size for size in sizes if sizes[size][1]), reverse=True)
@@ -189,7 +191,7 @@ def sweep(sizes: dict[int, list[int]], gaps: dict[int, int]) -> list[Segment]:
         while bins and open_sizes:
             size = open_sizes[-1]
             first, left = sizes[size]
-            per_bin = gap // size
+            per_bin = 1 if 8 * size > gap else gap // size
             taken = min(left, bins * per_bin)
             used = -(-taken // per_bin)
             segments.append((size, first, taken, gap, rank, per_bin))
