@@ -229,11 +229,12 @@ def _stars(members: DataFrame) -> DataFrame:
     return dealt.unionByName(heads).withColumn("component", F.col("key"))
 
 
-def _cells(mixed: DataFrame, groups: DataFrame) -> DataFrame:
+def _cells(mixed: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
     """(cell, key, component): the groups of texts that must still meet each other.
 
     A cell is all of a candidate group, or each of its buckets alone where that
-    takes fewer rows.
+    takes fewer rows. The choices are a row per group; they are written, so
+    that Spark knows their size before it deals out the rows of a large group.
     """
     grouped = mixed.join(groups.withColumnRenamed("node", "key"), "key").withColumnRenamed(
         "group", "group_key"
@@ -248,8 +249,11 @@ def _cells(mixed: DataFrame, groups: DataFrame) -> DataFrame:
         grouped.groupBy("group_key", "bucket").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("group_key").agg(F.sum(rows).alias("apart"))
     )
-    chosen = whole.join(apart, "group_key").select(
-        "group_key", (F.col("together") <= F.col("apart")).alias("whole")
+    chosen = scratch.write(
+        whole.join(apart, "group_key").select(
+            "group_key", (F.col("together") <= F.col("apart")).alias("whole")
+        ),
+        "choices",
     )
     cell = F.struct("group_key", F.when(~F.col("whole"), F.col("bucket")).alias("bucket"))
     return (
@@ -350,10 +354,9 @@ def near_classes(documents: DataFrame, least: float = 0.8) -> DataFrame:
         "mixed",
     )
     if not mixed.isEmpty():
-        groups = components(
-            mixed.select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), scratch, "groups"
-        ).withColumnRenamed("component", "group")
-        cells = scratch.write(_cells(mixed.drop("hub"), groups), "cells")
+        stars = mixed.select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+        groups = components(stars, scratch, "groups").withColumnRenamed("component", "group")
+        cells = scratch.write(_cells(mixed.drop("hub"), groups, scratch), "cells")
         more = scratch.write(_compared(_pairwise(cells), texts, least), "more_links")
         edges = tied.select(F.col("node").alias("a"), F.col("component").alias("b"))
         tied = scratch.write(components(edges.unionByName(more), scratch, "all"), "all_classes")
