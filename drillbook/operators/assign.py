@@ -222,7 +222,7 @@ def assign_daily(
     numbered = index_bank(bank).withColumnRenamed("id", "_new_question")
     is_new = F.col("status") == "new"
     draw = hash_number(F.lit(f"daily:{seed}"), F.col("guild_id"), F.col("daily_date"))
-    empty = F.raise_error(F.lit("No enabled questions are available for the daily question."))
+    empty = F.raise_error(F.lit("the bank has no active question to assign to a new day"))
     # Saved rows draw too, though they keep their question: a null would send
     # them all to one task of the join.
     index = F.when(

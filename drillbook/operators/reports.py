@@ -21,6 +21,7 @@ def leaderboard(profiles: DataFrame, size: int = LEADERBOARD_SIZE) -> DataFrame:
     Equal points rank by user id. Only the limited rows are numbered.
     """
     order = Window.orderBy(F.desc("total_points"), "discord_user_id")
+    # The pieces of a line.
     line = F.concat(
         F.lit("**"),
         F.col("position").cast("string"),
@@ -98,6 +99,7 @@ def training_activity_by_guild(answers: DataFrame, sessions: DataFrame) -> DataF
 
 def question_text(prompt: str = "prompt", options: str = "options") -> Column:
     """A question as shown: the prompt, then one lettered line per choice."""
+    # The pieces of the text.
     lines = F.transform(
         F.col(options), lambda option, i: F.concat(F.lit("**"), letter(i), F.lit(".** "), option)
     )
@@ -138,6 +140,7 @@ def normalize_card_sections(cards: DataFrame) -> DataFrame:
             F.lit(heading).alias("heading"), F.array_join(lines, "\n").alias("content")
         )
 
+    # The headings of the two lists.
     lists = F.filter(
         F.array(bullets("Warning signs", "warning_signs"), bullets("First steps", "first_steps")),
         lambda part: F.coalesce(part["content"] != "", F.lit(False)),

@@ -111,7 +111,7 @@ def test_daily_needs_an_active_question_only_for_new_days(spark):
     saved = tables.sessions(spark, session("a", "off0", "daily", day=tables.day(0)))
     empty = bank(spark, 0, disabled=1)
     assert assign.assign_daily(calendar, saved, empty, "s").first().status == "pending"
-    with pytest.raises(Exception, match="No enabled questions"):
+    with pytest.raises(Exception, match="no active question"):
         assign.assign_daily(calendar, saved.limit(0), empty, "s").collect()
 
 

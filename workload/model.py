@@ -1,5 +1,6 @@
 """The driver's tables mapped to the model (see FIXTURES.md). Everything derives from whole tables."""
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ class Model:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         if not spark.conf.get("spark.checkpoint.dir", None):
             # A trial on one machine; a cluster names its shared folder itself.
-            if not spark.sparkContext.master.startswith("local["):
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
                 raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
             spark.conf.set("spark.checkpoint.dir", f"{tempfile.gettempdir()}/drillbook-scratch")
         self.spark = spark
