@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,7 +47,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, job: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            if not spark.sparkContext.master.startswith("local["):
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
                 raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
             base = f"file://{tempfile.gettempdir()}/drillbook-scratch"
         self.spark = spark
