@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACES, packed, unpacked
+from .shared import SPACES, Scratch, packed, unpacked
 
 
 def line_keys(text: Column) -> Column:
@@ -63,9 +63,15 @@ def drop_repeated_lines(
 
     Which lines go depends on the text alone, so decisions are kept per
     distinct text and joined back; thousands of copies share one row of them.
+    Frequent hashes are written first: the join with them then has a plain
+    shuffle on either side, which adaptive execution splits at a line that a
+    large part of the documents holds, or none where they are few.
     """
+    scratch = Scratch(documents.sparkSession, "lines")
     rows = packed(documents, F.md5(F.coalesce("text", F.lit(""))).alias("text_key"))
-    frequent = repeated_lines(documents.select("doc_id", "text"), min_documents, min_chars)
+    frequent = scratch.write(
+        repeated_lines(documents.select("doc_id", "text"), min_documents, min_chars), "frequent"
+    )
     places = (
         documents.select(
             F.md5(F.coalesce("text", F.lit(""))).alias("text_key"),
