@@ -63,9 +63,10 @@ def drop_repeated_lines(
 
     Which lines go depends on the text alone, so decisions are kept per
     distinct text and joined back; thousands of copies share one row of them.
-    Frequent hashes are written first: the join with them then has a plain
-    shuffle on either side, which adaptive execution splits at a line that a
-    large part of the documents holds, or none where they are few.
+    Frequent hashes, and then decisions, are written first: the joins with them
+    have a plain shuffle on either side, which adaptive execution splits at a
+    line or a text that a large part of the documents has, or none where they
+    are few.
     """
     scratch = Scratch(documents.sparkSession, "lines")
     rows = packed(documents, F.md5(F.coalesce("text", F.lit(""))).alias("text_key"))
@@ -80,10 +81,11 @@ def drop_repeated_lines(
         .where("hash is not null")
         .distinct()
     )
-    decided = (
+    decided = scratch.write(
         places.join(frequent, "hash", "left_semi")
         .groupBy("text_key")
-        .agg(F.collect_list("hash").alias("drop"))
+        .agg(F.collect_list("hash").alias("drop")),
+        "decided",
     )
     text = F.coalesce(F.col("row.text"), F.lit(""))
     lines = F.split(text, "\n")
