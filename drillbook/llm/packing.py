@@ -62,10 +62,15 @@ class WordIds:
         self.parts: dict[str, bytes] = {}
 
     def _encode_parts(self, parts: set[str]) -> None:
-        """A part is one unit of the model, so its bytes go there directly."""
+        """A part is one unit of the model, so its bytes go there directly.
+
+        Only bytes 0x21 to 0x7E stand for themselves in every part: the model
+        has no unknown token and returns nothing for a letter it doesn't have.
+        """
         tokenize = self.tokenizer.model.tokenize
         for part in parts:
-            unit = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LETTERS)
+            plain = part.isascii() and part.isprintable()
+            unit = part if plain else part.encode().decode("latin-1").translate(BYTE_LETTERS)
             self.parts[part] = array("I", [token.id for token in tokenize(unit)]).tobytes()
 
     def _learn(self, words: list[str]) -> None:

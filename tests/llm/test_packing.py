@@ -32,6 +32,18 @@ def test_word_ids_equal_the_tokenizer(tokenizer):
             assert np.frombuffer(got, "<u4").tolist() == want, text
 
 
+def test_control_characters_keep_their_ids(tokenizer):
+    letters = [chr(i) for i in range(0x100)] + list("ab .!'")
+    rng = random.Random(2)
+    texts = ["a\x7f", "\x7f\x7f!", "a\x00b", "\x1b[0m red\x1b[1m", "\x08", "\x00,", "\x0e\x1b"]
+    texts += [form.format(chr(i)) for i in range(0x100) for form in ("{0}", "a{0}", "{0}b", "a {0}{0}! b", "é{0}")]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    ids = packing.WordIds(PATH)
+    for text, got in zip(texts, ids.many(texts)):
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(got, "<u4").tolist() == want, text
+
+
 def check(rows, found, tokenizer, capacity):
     pieces, places = defaultdict(list), defaultdict(list)
     for row in found:
