@@ -5,7 +5,7 @@ from __future__ import annotations
 import html as entities
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch, map_slices
@@ -39,8 +39,6 @@ ATTRIBUTE = re.compile(
     r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE
 )
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*\"?true", re.I)
-#: Winning paths a host keeps, and the least share of a page's best text that one must hold.
-HOST_PATHS, LEAST_SHARE = 8, 0.3
 
 
 def _marks(tag: str, attributes: str) -> tuple[str, bool]:
@@ -146,59 +144,95 @@ def container_scores(containers: list, blocks: list) -> list[tuple[float, int]]:
     return scores
 
 
-def best_path(html: str) -> tuple[str | None, float]:
-    """Path and score of a page's best container; of equal ones the innermost."""
-    containers, blocks = parsed(html)
+def best_container(containers: list, blocks: list) -> int:
+    """Number of the container with the best score; of equal ones the innermost."""
     scores = container_scores(containers, blocks)
-    best = max(range(len(containers)), key=lambda i: (scores[i][0], i))
-    return (containers[best][0], scores[best][0]) if scores[best][0] > 0 else (None, 0.0)
+    return max(range(len(containers)), key=lambda i: (scores[i][0], i))
 
 
-def main_text(html: str, host_paths: list[str]) -> str:
-    """Text by the first of the host's paths that holds enough of this page's text.
+def page_votes(html: str) -> tuple[str | None, list[str]]:
+    """Path of a page's best container, and paths of the outermost ones beside it.
 
-    All containers of that path count. A page that fits none of them is
-    extracted by its own best container.
+    A path that also leads to, into or around the best container is not beside
+    it. A page without text votes for nothing.
     """
     containers, blocks = parsed(html)
-    scores = container_scores(containers, blocks)
-    best = max(range(len(containers)), key=lambda i: (scores[i][0], i))
-    chosen = [best]
-    for path in host_paths:
-        own = [i for i, container in enumerate(containers) if container[0] == path]
-        if own and sum(scores[i][1] for i in own) >= LEAST_SHARE * scores[best][1]:
-            chosen = own
-            break
-    wanted = {at for i in chosen for at in range(containers[i][1], containers[i][2])}
-    return "\n".join(blocks[at][0] for at in sorted(wanted) if not blocks[at][2])
-
-
-def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, paths): container paths by the votes of the host's pages, the most first.
-
-    Every page votes once, for its best container; counts are summed before
-    the shuffle, so a host with a third of all pages sends a row per path.
+    best, start, end = containers[best_container(containers, blocks)]
+    if all(dropped for _, _, dropped in blocks[start:end]):
+        return None, []
+    around, beside, at = set(), set(), 0
+    for path, first, last in containers:
+        if first < end and last > start:
+            around.add(path)
+        elif first >= at and first < last:
+            at = last
+            if not all(dropped for _, _, dropped in blocks[first:last]):
+                beside.add(path)
+    return best, sorted(beside - around)
+
+
+def main_text(html: str, host_paths: list[str], left_out: list[str] | tuple = ()) -> str:
+    """Text of the page's best container and of all containers with a path of the host.
+
+    Containers with a path that the host leaves out are not part of it, unless
+    they hold one of the host's paths or nothing else were left.
+    """
+    containers, blocks = parsed(html)
+    kept = [at for at, block in enumerate(blocks) if not block[2]]
+    _, start, end = containers[best_container(containers, blocks)]
+    agreed = _inside(containers, host_paths)
+    wanted = agreed.union(range(start, end))
+    beside: set[int] = set()
+    if left_out:
+        for path, first, last in containers:
+            if path in left_out and agreed.isdisjoint(range(first, last)):
+                beside.update(range(first, last))
+    if any(at in wanted and at not in beside for at in kept):
+        wanted -= beside
+    return "\n".join(blocks[at][0] for at in kept if at in wanted)
+
+
+def _inside(containers: list, paths: list[str]) -> set[int]:
+    """Numbers of the blocks in containers with one of the paths."""
+    if not paths:
+        return set()
+    return {at for path, first, last in containers if path in paths for at in range(first, last)}
+
+
+def host_paths(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, paths, left_out): what more than half of a host's pages agree on.
+
+    Every page votes for the path of its best container and against those of
+    the containers beside it. Counts are summed before the shuffle, so a host
+    with a third of all pages sends a row per path. Each list is at most twice
+    as long as the votes of an average page.
     """
 
     def vote(columns: dict[str, list]) -> dict[str, list]:
-        return {
-            "host": columns["host"],
-            "path": [best_path(html or "")[0] for html in columns["html"]],
-        }
+        made = {"host": [], "path": [], "best": []}
+        for host, html in zip(columns["host"], columns["html"]):
+            best, beside = page_votes(html or "")
+            made["host"] += [host] * (1 + len(beside))
+            made["path"] += [best, *beside]
+            made["best"] += [True] + [False] * len(beside)
+        return made
 
-    votes = (
-        map_slices(pages.select("host", "html"), vote, "host string, path string")
-        .where("path is not null")
-        .groupBy("host", "path")
-        .agg(F.count(F.lit(1)).alias("votes"))
+    votes = scratch.write(
+        map_slices(pages.select("host", "html"), vote, "host string, path string, best boolean")
+        .groupBy("host", "path", "best")
+        .agg(F.count(F.lit(1)).alias("votes")),
+        "votes",
     )
-    order = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
+    sizes = votes.where("best").groupBy("host").agg(F.sum("votes").alias("n_pages"))
     return (
-        votes.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= HOST_PATHS)
+        votes.where("path is not null")
+        .join(sizes, "host")
+        .where("2 * votes > n_pages")
         .groupBy("host")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("ranked"))
-        .select("host", F.col("ranked.path").alias("paths"))
+        .agg(
+            F.collect_list(F.when(F.col("best"), F.col("path"))).alias("paths"),
+            F.collect_list(F.when(~F.col("best"), F.col("path"))).alias("left_out"),
+        )
     )
 
 
@@ -217,12 +251,12 @@ def extract_text(pages: DataFrame) -> DataFrame:
         F.lit(""),
     )
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    winners = scratch.write(host_paths(rows), "host_paths")
+    winners = scratch.write(host_paths(rows, scratch), "host_paths")
 
     def extract(columns: dict[str, list]) -> dict[str, list]:
         texts = [
-            main_text(html or "", paths or [])
-            for html, paths in zip(columns["html"], columns["paths"])
+            main_text(html or "", paths or [], left_out or [])
+            for html, paths, left_out in zip(columns["html"], columns["paths"], columns["left_out"])
         ]
         return {
             "page_id": columns["page_id"],
@@ -231,5 +265,5 @@ def extract_text(pages: DataFrame) -> DataFrame:
             "n_chars": [len(text) for text in texts],
         }
 
-    joined = rows.join(winners, "host", "left").select("page_id", "url", "html", "paths")
+    joined = rows.join(winners, "host", "left").select("page_id", "url", "html", "paths", "left_out")
     return map_slices(joined, extract, "page_id long, url string, text string, n_chars long")

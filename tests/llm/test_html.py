@@ -56,6 +56,16 @@ def test_hosts_agree_on_a_path(spark):
     assert found[0] == ("words " * 50).strip()
 
 
+def test_a_host_path_does_not_cut_the_page(spark):
+    """One page goes on in a part that the others of its host don't have."""
+    page = "<div class=wrap><nav>" + "menu " * 30 + "</nav><div class=post><p>{}</p></div>{}</div>"
+    pages = [(i, f"http://a.example/{i}", page.format("words " * 40, "")) for i in range(5)]
+    pages.append((9, "http://a.example/9", page.format("words " * 40, f"<div class=more><p>{'more ' * 72}</p></div>")))
+    found = {r["page_id"]: r["text"] for r in ht.extract_text(spark.createDataFrame(pages, PAGES)).collect()}
+    assert found[0] == ("words " * 40).strip()
+    assert found[9] == ("words " * 40).strip() + "\n" + ("more " * 72).strip()
+
+
 def test_awkward_rows(spark):
     rows = [
         (1, None, None),
