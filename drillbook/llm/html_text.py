@@ -38,6 +38,8 @@ ARTICLE_WORDS = frozenset("article entry post story content title".split())
 ATTRIBUTE = re.compile(
     r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE
 )
+#: Share of the useful text that an inner container must hold to stand for the best one.
+NEARLY_ALL = 0.97
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*\"?true", re.I)
 
 
@@ -127,27 +129,37 @@ def parsed(html: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int,
     return [tuple(container) for container in containers], blocks
 
 
-def container_scores(containers: list, blocks: list) -> list[tuple[float, int]]:
-    """(score, useful characters) per container.
+def container_scores(containers: list, blocks: list) -> list[tuple[float, float, int]]:
+    """(score, score against dropped text too, useful characters) per container.
 
-    Useful is text outside links and dropped parts; the score is useful text
-    times the squared share it has of all text inside.
+    Useful is text outside links and dropped parts. A score is useful text times
+    the squared share it has of the text inside: of what is not dropped, as only
+    that can get into the result, or of everything.
     """
-    useful, total = [0], [0]
+    useful, kept, total = [0], [0], [0]
     for text, link, dropped in blocks:
         useful.append(useful[-1] + (0 if dropped else len(text) - link))
+        kept.append(kept[-1] + (0 if dropped else len(text)))
         total.append(total[-1] + len(text))
     scores = []
     for _, start, end in containers:
-        good, everything = useful[end] - useful[start], total[end] - total[start]
-        scores.append((good * (good / everything) ** 2 if everything else 0.0, good))
+        good = useful[end] - useful[start]
+        shares = [good / (sums[end] - sums[start] or 1) for sums in (kept, total)]
+        scores.append((good * shares[0] ** 2, good * shares[1] ** 2, good))
     return scores
 
 
 def best_container(containers: list, blocks: list) -> int:
-    """Number of the container with the best score; of equal ones the innermost."""
+    """Number of the outermost container with the best score.
+
+    Of a container that dropped text speaks less against, and that has nearly
+    all of the useful text, the innermost one is taken. Without useful text, as
+    in pages of links, it is the whole page.
+    """
     scores = container_scores(containers, blocks)
-    return max(range(len(containers)), key=lambda i: (scores[i][0], i))
+    best = max(range(len(containers)), key=lambda i: (scores[i][0], -i))
+    inner = max(range(len(containers)), key=lambda i: (scores[i][1], i))
+    return inner if 0 < scores[best][2] * NEARLY_ALL <= scores[inner][2] else best
 
 
 def page_votes(html: str) -> tuple[str | None, list[str]]:

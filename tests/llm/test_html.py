@@ -40,6 +40,26 @@ def test_pages_alone(html, want):
     assert text(html) == want
 
 
+LONG = f"<p>{'article ' * 125}</p>"
+
+
+@pytest.mark.parametrize("part", ["blockquote", "ul", "table", "section", "div"])
+def test_comments_longer_than_the_article(part):
+    """A piece of the article that has no comments inside must not win over it."""
+    page = f"<article>{LONG}<{part}>{'piece ' * 50}</{part}><section class=comments><p>{'talk ' * 300}</p></section></article>"
+    assert text(page) == ("article " * 125).strip() + "\n" + ("piece " * 50).strip()
+
+
+def test_sibling_parts_beside_long_comments():
+    page = f"<body><div class=one>{LONG}</div><div class=two><p>{'more ' * 150}</p></div><div id=comments><p>{'talk ' * 900}</p></div>"
+    assert text(page) == ("article " * 125).strip() + "\n" + ("more " * 150).strip()
+
+
+def test_a_page_of_links_only():
+    page = "<body><div><p><a href=x>first link</a></p></div><div><p><a href=y>second link</a></p></div>"
+    assert text(page) == "first link\nsecond link"
+
+
 def test_hosts_agree_on_a_path(spark):
     """A page whose comments outweigh its article follows the other pages of its host."""
     body = "<body><nav>" + "menu " * 30 + "</nav><div class='post-{i}'><p>{article}</p></div><div class=thread><p>{talk}</p></div></body>"
