@@ -24,7 +24,7 @@ CONTAINERS = frozenset(
 BLOCKS = CONTAINERS | frozenset(
     "p h1 h2 h3 h4 h5 h6 li pre tr th dt dl hr address figcaption summary caption head html".split()
 )
-DROPPED = frozenset("nav header footer aside form fieldset dialog menu button head".split())
+DROPPED = frozenset("nav header footer aside fieldset dialog menu button head".split())
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs toolbar pagination pager sidebar "
@@ -33,6 +33,17 @@ DROPPED_WORDS = frozenset(
     "social related recommended comment comments respond replies disqus complementary "
     "contentinfo".split()
 )
+#: Parts that a class on the list may have before and after its words.
+BEFORE = frozenset("site main page global top bottom left right primary secondary".split())
+AFTER = DROPPED_WORDS | frozenset(
+    "area bar block body box buttons container content form inner item items left links list meta "
+    "right section slot text unit wrap wrapper".split()
+)
+#: Talk may well be longer than its article.
+TALK_WORDS = frozenset("comment comments respond replies disqus social related".split())
+#: Least shares of a page's text outside links by which a form or a container with a word of the
+#: list, or one of talk, counts as the page itself.
+PAGE_SHARE, TALK_SHARE = 0.5, 0.9
 #: A class with one of these besides `header` is the head of the article, not of the page.
 ARTICLE_WORDS = frozenset("article entry post story content title".split())
 ATTRIBUTE = re.compile(
@@ -43,21 +54,41 @@ NEARLY_ALL = 0.97
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*\"?true", re.I)
 
 
-def _marks(tag: str, attributes: str) -> tuple[str, bool]:
-    """Step of the generalised path, and whether the subtree is no article text."""
-    classes, words = "", set()
+def _unwanted(name: str) -> set[str]:
+    """Words of the list that a class, id or role consists of, but for parts that say where or what."""
+    parts = [part for part in re.split(r"[^a-z]+", name) if part]
+    if len(parts) > 1 and parts[0] in BEFORE:
+        del parts[0]
+    if parts and parts[0] in DROPPED_WORDS and AFTER.issuperset(parts):
+        return DROPPED_WORDS.intersection(parts)
+    return set()
+
+
+def _marks(tag: str, attributes: str) -> tuple[str, bool, float]:
+    """Step of the generalised path, whether the subtree is no article text, and up to which share.
+
+    The share of the page's text up to which it is none for its words only is
+    0 if there are no such words.
+    """
+    classes, unwanted, words = "", set(), set()
     if attributes:
         for name, *values in ATTRIBUTE.findall(attributes):
             value = "".join(values).lower()
             words.update(re.split(r"[^a-z]+", value))
+            for one in value.split():
+                unwanted |= _unwanted(one)
             if name.lower() == "class":
                 classes = ".".join(sorted(set(re.sub(r"\d+", "#", value).split())))
         if HIDDEN.search(attributes):
-            return tag, True
-    unwanted = words & DROPPED_WORDS
+            return tag, True, 0
     if "header" in unwanted and words & ARTICLE_WORDS:
         unwanted = unwanted - {"header"}
-    return f"{tag}.{classes}" if classes else tag, tag in DROPPED or bool(unwanted)
+    share = 0.0
+    if tag != "body" and unwanted:
+        share = TALK_SHARE if unwanted & TALK_WORDS else PAGE_SHARE
+    elif tag == "form":
+        share = PAGE_SHARE
+    return f"{tag}.{classes}" if classes else tag, tag in DROPPED, share
 
 
 def parsed(html: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, bool]]]:
@@ -65,11 +96,14 @@ def parsed(html: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int,
 
     Blocks are in page order. A container that is not closed ends with the one
     around it; an article or main element ends whatever dropped part is open.
-    A header inside an article belongs to it.
+    A header inside an article belongs to it. A form, or a container dropped
+    for a word, is kept if it is around an article or main element or holds
+    most of the page's text outside links, or if nothing were left.
     """
     containers: list[list] = [["", 0, 0]]
-    blocks: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]
+    blocks: list[list] = []
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    doubtful: dict[int, float] = {}
     pieces: list[str] = []
     link_chars, in_link, at = 0, False, 0
 
@@ -78,7 +112,7 @@ def parsed(html: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int,
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                blocks.append((text, min(link_chars, len(text)), stack[-1][2]))
+                blocks.append([text, min(link_chars, len(text)), stack[-1][3]])
             pieces.clear()
             link_chars = 0
 
@@ -106,27 +140,52 @@ def parsed(html: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int,
             if closing:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth][0] == tag:
-                        for _, number, _ in stack[depth:]:
+                        for _, number, _, _ in stack[depth:]:
                             containers[number][2] = len(blocks)
                         del stack[depth:]
                         break
                 continue
-            step, dropped = _marks(tag, match[4])
-            if tag in ("article", "main") and not dropped:
+            step, dropped, share = _marks(tag, match[4])
+            if tag in ("article", "main") and not dropped and not share:
                 while stack[-1][2]:
-                    containers[stack.pop()[1]][2] = len(blocks)
-            if tag == "header" and any(name in ("article", "main") for name, _, _ in stack):
-                dropped = False
+                    number = stack.pop()[1]
+                    containers[number][2] = len(blocks)
+                    if doubtful.get(number) == PAGE_SHARE:
+                        del doubtful[number]  # it is around the article
+            if tag == "header" and any(name in ("article", "main") for name, *_ in stack):
+                dropped, share = False, 0
             path = f"{containers[stack[-1][1]][0]}>{step}"
             containers.append([path, len(blocks), -1])
-            stack.append((tag, len(containers) - 1, dropped or stack[-1][2]))
+            if share:
+                doubtful[len(containers) - 1] = share
+            _, _, open_part, sure = stack[-1]
+            stack.append((tag, len(containers) - 1, dropped or share > 0 or open_part, dropped or sure))
     if at < len(html):
         piece = html[at:]
         pieces.append(entities.unescape(piece) if "&" in piece else piece)
     close_block()
-    for _, number, _ in stack:
+    for _, number, *_ in stack:
         containers[number][2] = len(blocks)
-    return [tuple(container) for container in containers], blocks
+    if doubtful:
+        _drop_doubtful(doubtful, containers, blocks)
+    return [tuple(container) for container in containers], [tuple(block) for block in blocks]
+
+
+def _drop_doubtful(doubtful: dict[int, float], containers: list, blocks: list) -> None:
+    """Marks blocks of containers {number: share} that hold at most that share of the page."""
+    sums = [0]
+    for text, link, dropped in blocks:
+        sums.append(sums[-1] + (0 if dropped else len(text) - link))
+    drop: set[int] = set()
+    done = 0
+    for number, share in doubtful.items():
+        _, start, end = containers[number]
+        if sums[end] - sums[start] <= share * sums[-1]:
+            drop.update(range(max(start, done), end))
+            done = max(done, end)
+    if any(not block[2] and at not in drop for at, block in enumerate(blocks)):
+        for at in drop:
+            blocks[at][2] = True
 
 
 def container_scores(containers: list, blocks: list) -> list[tuple[float, float, int]]:

@@ -55,6 +55,37 @@ def test_sibling_parts_beside_long_comments():
     assert text(page) == ("article " * 125).strip() + "\n" + ("more " * 150).strip()
 
 
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("<body class='has-sidebar'>", "</body>"),
+        ("<body class='home sidebar'>", "</body>"),
+        ("<div class='layout no-sidebar'>", "</div>"),
+        ("<div id='search-page'>", "</div>"),
+        ("<article class='post comments-open'>", "</article>"),
+        ("<div class='content alert-level-2'>", "</div>"),
+        ("<div class='widget'>", "</div>"),
+        ("<form action='x.aspx'>", "</form>"),
+    ],
+)
+@pytest.mark.parametrize("part", ["<div class='{}'><p>short extra</p></div>", "<ul id={}><li>short extra</ul>"])
+@pytest.mark.parametrize("name", ["sidebar", "comments-area", "site-footer", "ad-slot-2", "share"])
+def test_wrappers_are_not_dropped_for_a_word(before, after, part, name):
+    assert text(f"{before}{ARTICLE}{part.format(name)}{after}<p>and after</p>") == WANT + "\nand after"
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f"<form><h1>Title</h1><article>{ARTICLE}</article><p>tail</p></form>", "Title\n" + WANT + "\ntail"),
+        ("".join(f"<div class=widget><p>part {i}</p></div>" for i in range(9)), "\n".join(f"part {i}" for i in range(9))),
+        (f"<div class=wrap><p>lead</p><form>{ARTICLE}</form></div>", "lead\n" + WANT),
+    ],
+)
+def test_pages_inside_doubtful_parts(html, want):
+    assert text(html) == want
+
+
 def test_a_page_of_links_only():
     page = "<body><div><p><a href=x>first link</a></p></div><div><p><a href=y>second link</a></p></div>"
     assert text(page) == "first link\nsecond link"
