@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from .shared import Scratch, map_slices
 
 # Elements and class words of HTML.
-RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|select|title"
+RAW = "script|style|noscript|template|textarea|svg|iframe|object|select|title"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+>.*?(?:</\1\s*[^>]*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg\b(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+(?<=/)>"
+    rf"|<({RAW})\b(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+>.*?(?:</\1\s*[^>]*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.IGNORECASE | re.DOTALL,
 )

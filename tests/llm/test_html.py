@@ -86,6 +86,20 @@ def test_pages_inside_doubtful_parts(html, want):
     assert text(html) == want
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<p>one</p><svg class="i"/><p>rest of article</p>', "one\nrest of article"),
+        ("<p>one</p><svg class='a > b' /><p>two</p><SVG><text>no</text></SVG><p>three</p>", "one\ntwo\nthree"),
+        ("<p>one</p><svg><path d='x'/><text>no</text></svg><p>two</p>", "one\ntwo"),
+        ("<p>one</p><math display='block'/><p>two</p>", "one\ntwo"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", "so x=1 holds"),
+    ],
+)
+def test_drawings_and_formulas(html, want):
+    assert text(html) == want
+
+
 def test_a_page_of_links_only():
     page = "<body><div><p><a href=x>first link</a></p></div><div><p><a href=y>second link</a></p></div>"
     assert text(page) == "first link\nsecond link"
