@@ -270,8 +270,10 @@ def fit(documents: DataFrame, labels: DataFrame) -> Field:
     """Learn from labelled rows that are not held out.
 
     A bounded sample by hash order is used: at most TOXIC_SAMPLE and
-    CLEAN_SAMPLE documents; a doc_id with both labels counts as toxic. Without
-    labels of either kind nothing is toxic.
+    CLEAN_SAMPLE documents; a doc_id with both labels counts as toxic. Of rows
+    that repeat a doc_id the text with the smallest hash is learnt from, so the
+    driver gets one text per sampled id. Without labels of either kind nothing
+    is toxic.
     """
     usable = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -287,7 +289,9 @@ def fit(documents: DataFrame, labels: DataFrame) -> Field:
     ]
     chosen = F.broadcast(some[0].unionByName(some[1]))
     rows = documents.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("labelled_id"))
-    found = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").collect()
+    text = F.coalesce("text", F.lit(""))
+    first = F.min(F.struct(F.xxhash64(text).alias("hash"), text.alias("text")))["text"]
+    found = rows.groupBy("doc_id", "toxic").agg(first.alias("text")).collect()
     return train([(r["text"], r["toxic"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))])
 
 

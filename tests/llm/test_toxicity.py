@@ -115,6 +115,19 @@ def test_nothing_to_learn_from(spark):
     assert "zorkish" in model.weights
 
 
+def test_one_text_per_sampled_id_reaches_the_driver(spark, monkeypatch):
+    rows, labels = corpus()
+    hot = next(i for i, *_ in labels if zlib.crc32(str(i).encode()) % 3 != 1)
+    repeats = [(hot, text, "s") for text in (None, "one text", "other text") for _ in range(100)]
+    seen = []
+    monkeypatch.setattr(tx, "train", lambda found: seen.append(list(found)))
+    labelled = spark.createDataFrame(labels, LABELS)
+    for some in (rows + repeats, repeats[::-1] + rows[::-1]):
+        tx.fit(documents(spark, some), labelled)
+    ids = {i for i, *_ in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(seen[0]) == len(ids) and seen[0] == seen[1]
+
+
 def test_empty_tables(spark, fitted):
     empty = documents(spark, [])
     assert tx.score_toxicity(empty, fitted).count() == 0
