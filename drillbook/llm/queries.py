@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    byte_pairs,
     embeddings,
+    filter_audit,
     fingerprints,
     html_text,
     lines,
@@ -18,6 +20,7 @@ from . import (
     secrets,
     tokens,
     toxicity,
+    vector_codes,
 )
 from .shared import read, words
 
@@ -73,6 +76,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.digests(byte_pairs.encode_documents(read(spark, sf_dir, "documents")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, codebooks = vector_codes.compress(read(spark, sf_dir, "embeddings"))
+    return rows.select(
+        "vec_id",
+        "code",
+        "error",
+        "label_error",
+        F.lit(vector_codes.codebooks_sha256(codebooks)).alias("codebooks_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dups": op1_embedding_near_dups,
     "op2_token_counts": op2_token_counts,
@@ -84,4 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_html_text": op9_html_text,
     "op10_line_dedup": op10_line_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_byte_pairs": op12_byte_pairs,
+    "op13_vector_codes": op13_vector_codes,
 }

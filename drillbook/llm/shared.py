@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: ASCII white space, as in [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -87,8 +88,9 @@ def words(text: Column) -> Column:
 def map_slices(
     rows: DataFrame,
     work: Callable[[dict[str, list]], dict[str, list]],
-    schema: str,
+    schema: str | StructType,
     slice_rows: int = SLICE_ROWS,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """`work` on column lists of some rows at a time, fewer if they are large."""
     importable(rows.sparkSession)
@@ -97,7 +99,7 @@ def map_slices(
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            share = SLICE_BYTES / max(1, part.nbytes)
+            share = slice_bytes / max(1, part.nbytes)
             step = max(1, min(slice_rows, int(part.num_rows * share)))
             for start in range(0, part.num_rows, step):
                 piece = part.slice(start, step)

@@ -21,7 +21,7 @@ def test_query_equals_sql(spark, name):
 
 def test_a_query_for_every_operator():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(corpus_pipeline.QUERIES) == set(QUERIES) | {"pipeline"}
     assert set(ORACLES) <= set(QUERIES) and corpus_pipeline.ORACLE_SQL is None
 
@@ -36,6 +36,8 @@ def test_a_query_for_every_operator():
         ("op7_secrets", "documents", "doc_id"),
         ("op8_toxicity", "documents", "doc_id"),
         ("op9_html_text", "pages", "page_id"),
+        ("op12_byte_pairs", "documents", "doc_id"),
+        ("op13_vector_codes", "embeddings", "vec_id"),
     ],
 )
 def test_every_row_has_a_result(spark, name, table, key):
