@@ -33,16 +33,27 @@ _STATE = StructType(
 )
 
 
-def _reduce_days(answers: DataFrame) -> DataFrame:
-    """One row per user, epoch and daily date (null for trivia and quiz answers)."""
+def day_totals() -> list[Column]:
+    """Aggregates of answers: points, the latest name, and what a chain of days needs."""
     name = F.coalesce("global_name", "username")
     latest = F.max(F.struct("answered_at", "id", name.alias("name"))).alias("latest")
-    points = F.sum("points_awarded").alias("points")
-    return (
-        with_epoch(answers)
-        .groupBy(USER, "epoch", "daily_date")
-        .agg(points, latest, *day_columns())
-    )
+    return [F.sum("points_awarded").alias("points"), latest, *day_columns()]
+
+
+def merged_totals() -> list[Column]:
+    """The same totals from rows that hold totals of parts."""
+    return [
+        F.sum("points").alias("points"),
+        F.max("latest").alias("latest"),
+        F.sum("answer_count").alias("answer_count"),
+        F.min("first_answer").alias("first_answer"),
+        F.max("last_answer").alias("last_answer"),
+    ]
+
+
+def _reduce_days(answers: DataFrame) -> DataFrame:
+    """One row per user, epoch and daily date (null for trivia and quiz answers)."""
+    return with_epoch(answers).groupBy(USER, "epoch", "daily_date").agg(*day_totals())
 
 
 def _fold(days: DataFrame, base: DataFrame | None, epoch: int, keep_all: bool) -> DataFrame:
@@ -115,13 +126,22 @@ def rebuild_profiles(
     goes on from; a reset wipes its scores too.
     """
     resets = sorted(resets or [])
+    return fold_days(_reduce_days(assign_epoch(answers, resets)), resets, base)
+
+
+def fold_days(
+    days: DataFrame, resets: list, base: DataFrame | None = None, keep_all: bool = True
+) -> DataFrame:
+    """Profiles from one row of totals per user, epoch and daily date.
+
+    `resets` is in order; with `keep_all`, users of `base` without days stay.
+    """
     seen = F.col("latest.answered_at")
     if resets:
         last_reset = F.lit(resets[-1]).cast("timestamp")
         seen = F.when(seen.isNotNull(), F.greatest(seen, last_reset))
         base = reset_scores(base, resets[-1]) if base is not None else None
-    days = _reduce_days(assign_epoch(answers, resets))
-    return _as_profiles(_fold(days, base, len(resets), keep_all=True), seen)
+    return _as_profiles(_fold(days, base, len(resets), keep_all), seen)
 
 
 def reset_scores(profiles: DataFrame, now) -> DataFrame:

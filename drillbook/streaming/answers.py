@@ -1,37 +1,30 @@
 """Continuous answer processing.
 
-Each micro-batch N is judged against its own rows and the answers stored by
-batches before N, then folded into the profiles as of N-1. It writes only under
-its own number and overwrites there, so a batch that runs again after a failure
-leaves the same result.
-
-    staged/batch_id=N                                    screened submissions
-    judged/accepted=true/session_date=D/batch_id=N       the answer log
-    judged/accepted=false/session_date=null/batch_id=N   the reject log
-    quiz_steps/batch_id=N                                answers per quiz run of the batch
-    touched/batch_id=N                                   new state of the profiles it changed
-    snapshots/batch_id=K/turn=T                          all profiles after batch K
+Each micro-batch is judged against its own rows and the answers of earlier
+batches, and the profiles of its users are folded anew. What it writes counts
+from the moment its record is put, all of it or none (`store`); a batch that
+died before is done again from the start, and one that comes again after its
+record is left alone.
 
 Answers lie under the creation date of their session, which does not depend on
 any clock of the answer: whatever answered a session before is under the same
 date, so a batch reads the dates of its own sessions and nothing else.
+
+Of an answer's user the store keeps totals per daily date and day seen. Totals
+of parts add up whatever their order, and a profile is always folded from all
+days of its user, the resets and the closed days, each by its own time. So late
+answers, answers from before a reset that come after it, and answers in any
+order give the profiles that the same accepted answers give in one batch.
 """
 
+from __future__ import annotations
+
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import (
-    BooleanType,
-    DateType,
-    LongType,
-    StringType,
-    StructField,
-    StructType,
-    TimestampType,
-)
 
 from drillbook.operators.answers import (
     enrich_submissions,
@@ -40,150 +33,181 @@ from drillbook.operators.answers import (
     screen_submissions,
 )
 from drillbook.operators.assign import expired_daily_sessions
-from drillbook.operators.profiles import PROFILE_COLUMNS, reset_scores, touched_profiles
+from drillbook.operators.profiles import PROFILE_COLUMNS, day_totals, fold_days
 from drillbook.operators.quizzes import apply_steps, quiz_steps
-from drillbook.operators.streaks import reset_missed_streaks
-from drillbook.schemas import EMPLOYEE_PROFILES, PRESSES, QUESTION_ANSWERS, QUESTION_SESSIONS
+from drillbook.operators.streaks import assign_epoch, reset_missed_streaks
+from drillbook.schemas import EMPLOYEE_PROFILES
 from drillbook.sources.streams import parse_choice_id
-
-USER = "discord_user_id"
-SNAPSHOT_EVERY = 20
-
-_LOG = StructType(
-    [StructField(f.name, f.dataType) for f in QUESTION_ANSWERS.fields]
-    + [StructField(name, PRESSES[name].dataType) for name in ("global_name", "username")]
-    + [
-        StructField(name, QUESTION_SESSIONS[name].dataType)
-        for name in ("kind", "guild_id", "daily_date", "quiz_run_id")
-    ]
-    + [StructField("verdict", StringType())]
+from drillbook.streaming.store import (
+    LOG,
+    STEPS,
+    USER,
+    Store,
+    compact,
+    instants,
+    merge_days,
+    vacuum,
 )
-_PLACE = StructType(
-    [
-        StructField("accepted", BooleanType()),
-        StructField("session_date", DateType()),
-        StructField("batch_id", LongType()),
-    ]
-)
-_JUDGED = StructType(_LOG.fields + _PLACE.fields)
-_PROFILES = StructType(
-    [StructField(f.name, f.dataType) for f in EMPLOYEE_PROFILES.fields]
-    + [StructField("batch_id", LongType())]
-)
-_STEPS = StructType(
-    [
-        StructField("id", StringType()),
-        StructField("steps", LongType()),
-        StructField("right", LongType()),
-        StructField("last_at", TimestampType()),
-        StructField("batch_id", LongType()),
-    ]
-)
-
-
-def prepare_store(spark: SparkSession, root: str, profiles: DataFrame | None = None) -> None:
-    """Create the store, optionally starting from existing profiles. Run once."""
-    start = profiles if profiles is not None else spark.createDataFrame([], EMPLOYEE_PROFILES)
-    start.select(*PROFILE_COLUMNS).write.parquet(f"{root}/snapshots/batch_id=-1/turn=0")
-    spark.createDataFrame([], _LOG).write.parquet(
-        f"{root}/judged/accepted=true/session_date=1970-01-01/batch_id=-1"
-    )
-    spark.createDataFrame([], EMPLOYEE_PROFILES).write.parquet(f"{root}/touched/batch_id=-1")
-    steps = spark.createDataFrame([], _STEPS).drop("batch_id")
-    steps.write.parquet(f"{root}/quiz_steps/batch_id=-1")
 
+_DAY = 86_400_000_000
+#: Fixed value: how Spark names the folder of a null.
+NO_DATE = "__HIVE_DEFAULT_PARTITION__"
 
-def _folder(spark: SparkSession, path: str):
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
 
+def prepare_store(
+    spark: SparkSession, root: str, profiles: DataFrame | None = None, buckets: int = 16
+) -> None:
+    """Create the store, optionally starting from existing profiles. Run once.
 
-def _numbers(spark: SparkSession, path: str) -> list[int]:
-    """The numbers in the names of the written folders right under a path; nothing below is listed."""
-    system, folder = _folder(spark, path)
-    if not system.exists(folder):
-        return []
-    return sorted(int(item.getPath().getName().split("=")[1]) for item in system.listStatus(folder))
+    `buckets` should grow with the number of users: a batch reads the totals and
+    profiles of its users' buckets, so about a hundred thousand users per bucket
+    keep that small.
+    """
+    store, name = Store(spark, root), Store.attempt(0)
+    state = {"batch_id": -1, "buckets": buckets, "resets": [], "closings": []}
+    tables = {table: [] for table in ("judged", "steps", "days", "profiles", "base")}
+    if profiles is not None:
+        start = store.with_bucket(profiles.select(*PROFILE_COLUMNS), state)
+        tables["base"] = store.write(start, "base", name)
+    store.records.put(0, {**state, "tables": tables})
 
 
 def answer_log(spark: SparkSession, root: str) -> DataFrame:
-    """All judged submissions; filters on accepted, session_date and batch_id prune folders."""
-    return spark.read.schema(_JUDGED).parquet(f"{root}/judged")
+    """All judged submissions; filters on accepted and session_date prune folders."""
+    store = Store(spark, root)
+    return store.read(store.latest()[1], "judged").drop("name")
 
 
-def answers_of_dates(spark: SparkSession, root: str, dates: list) -> DataFrame:
+def answers_of_dates(spark: SparkSession, root: str, dates: list, state: dict | None = None) -> DataFrame:
     """Accepted answers to sessions created on these dates; no other folder is listed."""
-    paths = [f"{root}/judged/accepted=true/session_date={date}" for date in dates]
-    there = [path for path in paths if (lambda s, f: s.exists(f))(*_folder(spark, path))]
-    if not there:
-        return spark.createDataFrame([], _JUDGED)
-    return spark.read.schema(_JUDGED).option("basePath", f"{root}/judged").parquet(*there)
+    store = Store(spark, root)
+    state = store.latest()[1] if state is None else state
+    parts = [NO_DATE if date is None else str(date) for date in dates]
+    return store.read(state, "judged", parts).drop("name")
 
 
-def _snapshot(spark: SparkSession, root: str, before: int) -> tuple[int, DataFrame]:
-    """The last snapshot after a batch below `before` that has been written to its end."""
-    for batch in reversed([n for n in _numbers(spark, f"{root}/snapshots") if n < before]):
-        for turn in reversed(_numbers(spark, f"{root}/snapshots/batch_id={batch}")):
-            path = f"{root}/snapshots/batch_id={batch}/turn={turn}"
-            system, done = _folder(spark, f"{path}/_SUCCESS")
-            if system.exists(done):
-                return batch, spark.read.schema(EMPLOYEE_PROFILES).parquet(path)
-    raise ValueError(f"{root} holds no snapshot; prepare the store first")
+def last_batch(spark: SparkSession, root: str) -> int:
+    """The last batch whose record stands, or -1."""
+    return Store(spark, root).latest()[1]["batch_id"]
 
 
-def last_batch(spark: SparkSession, root: str) -> int:
-    return _numbers(spark, f"{root}/touched")[-1]
+def current_profiles(spark: SparkSession, root: str, users: DataFrame | None = None) -> DataFrame:
+    """Profiles after the last change; with `users`, theirs alone from their buckets."""
+    store = Store(spark, root)
+    state = store.latest()[1]
+    if users is None:
+        return store.profiles(state)
+    wanted = users.select(USER).distinct()
+    return store.profiles(state, _buckets(store, state, wanted)).join(wanted, USER, "left_semi")
+
+
+def current_quiz_runs(spark: SparkSession, root: str, runs: DataFrame) -> DataFrame:
+    """Quiz runs moved on by the answers of all batches."""
+    store = Store(spark, root)
+    return apply_steps(runs, store.read(store.latest()[1], "steps").select(*STEPS.names))
 
 
-def current_profiles(
-    spark: SparkSession, root: str, before: int | None = None, snapshot_before: int | None = None
-) -> DataFrame:
-    """Profiles after the last batch, or as they were before a given one.
+def _buckets(store: Store, state: dict, users: DataFrame) -> list[str]:
+    """The buckets of some users; there are no more than the store has."""
+    found = store.with_bucket(users, state).select("bucket").distinct().collect()
+    return [str(row["bucket"]) for row in found]
 
-    They are the last full snapshot plus the changes since, which are read by
-    the numbers of their batches.
-    """
-    before = last_batch(spark, root) + 1 if before is None else before
-    since, start = _snapshot(spark, root, before if snapshot_before is None else snapshot_before)
-    state = start.withColumn("batch_id", F.lit(since).cast("bigint"))
-    later = [n for n in _numbers(spark, f"{root}/touched") if since < n < before]
-    if later:
-        paths = [f"{root}/touched/batch_id={n}" for n in later]
-        changes = spark.read.schema(_PROFILES).option("basePath", f"{root}/touched").parquet(*paths)
-        state = state.unionByName(changes)
-    columns = F.struct(*PROFILE_COLUMNS[1:])
-    return (
-        state.groupBy(USER)
-        .agg(F.max_by(columns, "batch_id").alias("state"))
-        .select(USER, "state.*")
-    )
 
+def _day_rows(accepted: DataFrame, resets: list[int]) -> DataFrame:
+    """Totals that no reset divides, per user, daily date and day seen."""
+    seen = F.floor(F.unix_micros("answered_at") / _DAY).cast("long")
+    epochs = assign_epoch(accepted, instants(resets)).withColumn("seen_day", seen)
+    return epochs.groupBy(USER, "epoch", "daily_date", "seen_day").agg(*day_totals())
 
-def _write_state(spark: SparkSession, root: str, profiles: DataFrame) -> None:
-    """Profiles as of the last batch, changed between batches: one more turn of its snapshot."""
-    batch = last_batch(spark, root)
-    turns = _numbers(spark, f"{root}/snapshots/batch_id={batch}")
-    turn = turns[-1] + 1 if turns else 1
-    profiles.select(*PROFILE_COLUMNS).write.parquet(
-        f"{root}/snapshots/batch_id={batch}/turn={turn}"
-    )
 
+def _after_closings(profiles: DataFrame, closings: list) -> DataFrame:
+    """Zero the streaks that a closed day found missed; the first such day sets the clock.
 
-def apply_reset(spark: SparkSession, root: str, at) -> None:
-    """Reset the scores in the store, while the stream is stopped; later batches go on from there."""
-    _write_state(spark, root, reset_scores(current_profiles(spark, root), at))
+    A day's closing is an event of that day: whether it found a date missing is
+    asked again when a late answer fills it in.
+    """
+    if not closings:
+        return profiles
+    known = F.array(
+        *[
+            F.struct(
+                F.lit(as_of).cast("date").alias("as_of"),
+                F.timestamp_micros(F.lit(now).cast("bigint")).alias("now"),
+            )
+            for as_of, now in sorted(closings, key=lambda closing: closing[0])
+        ]
+    )
+    missing = F.filter(known, lambda closing: F.date_sub(closing["as_of"], 1) > F.col("last_daily_date"))
+    first = F.when(F.col("daily_streak") > 0, F.get(missing, F.lit(0)))
+    return profiles.withColumn("_first", first).select(
+        USER,
+        "display_name",
+        "total_points",
+        F.when(F.col("_first").isNotNull(), 0).otherwise(F.col("daily_streak")).alias("daily_streak"),
+        "last_daily_date",
+        F.greatest("updated_at", "_first.now").alias("updated_at"),
+    )
 
 
-def apply_close_day(spark: SparkSession, root: str, sessions: DataFrame, as_of, now=None) -> DataFrame:
-    """Zero missed streaks in the store at local midnight; returns the sessions to take down."""
-    _write_state(spark, root, reset_missed_streaks(current_profiles(spark, root), as_of, now))
-    return expired_daily_sessions(sessions, as_of)
+def _fold(state: dict, days: DataFrame, base: DataFrame, keep_all: bool) -> DataFrame:
+    folded = fold_days(
+        merge_days(days, state["resets"]), instants(state["resets"]), base.select(*PROFILE_COLUMNS), keep_all
+    )
+    return _after_closings(folded, state["closings"])
 
 
-def current_quiz_runs(spark: SparkSession, root: str, runs: DataFrame) -> DataFrame:
-    """Quiz runs moved on by the answers of all batches."""
-    steps = spark.read.schema(_STEPS).parquet(f"{root}/quiz_steps")
-    return apply_steps(runs, steps.drop("batch_id"))
+def stage_batch(
+    store: Store,
+    number: int,
+    state: dict,
+    presses: DataFrame,
+    batch_id: int,
+    sessions: DataFrame,
+    questions: DataFrame,
+    zone: str,
+) -> dict:
+    """Write everything a batch leads to; the state to put as record `number`."""
+    spark, name = store.spark, store.attempt(number)
+    tables = dict(state["tables"])
+
+    def add(rows: DataFrame, table: str) -> dict:
+        """The state of the new folder alone, which is also added to the table."""
+        made = store.write(rows, table, name)
+        tables[table] = tables[table] + made
+        return {**state, "tables": {**tables, table: made}}
+
+    enriched = enrich_submissions(parse_choice_id(presses), sessions, questions)
+    staged = store.path("staged", name)
+    screen_submissions(enriched, zone).write.parquet(staged)
+    screened = spark.read.parquet(staged)
+
+    created = F.to_date("session_created_at")
+    passing = screened.where("verdict = 'ok'").select(created.alias("date")).distinct()
+    dates = [row["date"] for row in passing.collect()]
+    stored = answers_of_dates(spark, store.root, dates, state)
+    judged = score_answers(mark_duplicates(screened, stored))
+    accepted = F.col("verdict") == "ok"
+    new = add(
+        judged.withColumns(
+            {
+                "batch_id": F.lit(batch_id).cast("bigint"),
+                "accepted": accepted,
+                "session_date": F.when(accepted, created),
+            }
+        ),
+        "judged",
+    )
+    made = {**state, "batch_id": batch_id, "tables": tables}
+    answers = answers_of_dates(spark, store.root, dates, new)
+    if any(entry["parts"] for entry in new["tables"]["judged"]):
+        add(quiz_steps(answers), "steps")
+        new = add(store.with_bucket(_day_rows(answers, state["resets"]), state), "days")
+        buckets = new["tables"]["days"][-1]["parts"]
+        users = store.days(new).select(USER).distinct()
+        days = store.days(made, buckets).join(users, USER, "left_semi")
+        base = store.read(state, "base", buckets).join(users, USER, "left_semi")
+        add(store.with_bucket(_fold(state, days, base, keep_all=False), state), "profiles")
+    return made
 
 
 def process_batch(
@@ -194,48 +218,98 @@ def process_batch(
     questions: Callable[[], DataFrame],
     zone: str,
 ) -> None:
-    """Judge, store and fold one micro-batch.
+    """Judge, store and fold one micro-batch, once.
 
     `sessions` and `questions` are read anew here, as both tables grow while the
-    stream runs.
+    stream runs. Folders are merged, and old ones dropped, when enough came
+    together.
     """
-    spark = presses.sparkSession
-    enriched = enrich_submissions(parse_choice_id(presses), sessions(), questions())
-    staged = f"{root}/staged/batch_id={batch_id}"
-    screen_submissions(enriched, zone).write.mode("overwrite").parquet(staged)
-    screened = spark.read.parquet(staged).drop("batch_id")
+    store = Store(presses.sparkSession, root)
+    staged = []
 
-    created = F.to_date("session_created_at")
-    passing = screened.where("verdict = 'ok'").select(created.alias("date")).distinct()
-    dates = [row["date"] for row in passing.collect()]
-    stored = answers_of_dates(spark, root, dates).where(F.col("batch_id") < batch_id)
-    judged = score_answers(mark_duplicates(screened, stored))
-    accepted = F.col("verdict") == "ok"
-    (
-        judged.select(
-            *_LOG.names,
-            accepted.alias("accepted"),
-            F.when(accepted, created).alias("session_date"),
-            F.lit(batch_id).cast("bigint").alias("batch_id"),
-        )
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*_PLACE.names)
-        .parquet(f"{root}/judged")
+    def make(number: int, state: dict) -> dict | None:
+        if batch_id <= state["batch_id"]:
+            return None
+        staged.append(number)
+        return stage_batch(store, number, state, presses, batch_id, sessions(), questions(), zone)
+
+    if store.change(make):
+        for item in store.folder.names("staged"):
+            if int(item.split("=")[1][:12]) in staged:
+                store.folder.delete(f"staged/{item}")
+        if compact(presses.sparkSession, root):
+            vacuum(presses.sparkSession, root)
+
+
+def _micros(spark: SparkSession, at) -> int:
+    one = spark.range(1).select(F.unix_micros(F.lit(at).cast("timestamp")).alias("at"))
+    return one.first()["at"]
+
+
+def _undivided(store: Store, state: dict, moment: int, name: str) -> list[dict]:
+    """The days table with no totals from both sides of a new reset.
+
+    Only totals of the reset's own day can hold both; these are added up anew
+    from the answers of that day.
+    """
+    days = store.days(state)
+    at = instants([moment])[0]
+    divided = (F.col("first_answer.answered_at") < at) & (F.col("latest.answered_at") >= at)
+    key = [F.col(USER).alias("_user"), F.col("daily_date").alias("_date"), F.col("seen_day").alias("_seen")]
+    keys = days.where(divided).select(*key).distinct()
+    if keys.isEmpty():
+        return state["tables"]["days"]
+    same: Column = (
+        (F.col(USER) == F.col("_user"))
+        & F.col("daily_date").eqNullSafe(F.col("_date"))
+        & (F.col("seen_day") == F.col("_seen"))
     )
+    start = moment // _DAY * _DAY
+    that_day = F.col("answered_at").between(*instants([start, start + _DAY - 1]))
+    answers = store.read(state, "judged").where(F.col("accepted") & that_day)
+    anew = _day_rows(answers, state["resets"]).join(keys, same, "left_semi")
+    rows = days.join(keys, same, "left_anti").unionByName(anew.drop("epoch"))
+    level = max(entry["level"] for entry in state["tables"]["days"])
+    return store.write(store.with_bucket(rows, state), "days", name, level)
+
 
-    accepted = answers_of_dates(spark, root, dates).where(F.col("batch_id") == batch_id)
-    quiz_steps(accepted).write.mode("overwrite").parquet(f"{root}/quiz_steps/batch_id={batch_id}")
-    # Reading only the profiles of the batch's users: a semi join filters the
-    # stored ones in place when the users of the batch are few.
-    users = accepted.select(USER).distinct()
-    base = current_profiles(spark, root, before=batch_id).join(users, USER, "left_semi")
-    touched = touched_profiles(base, accepted)
-    touched.write.mode("overwrite").parquet(f"{root}/touched/batch_id={batch_id}")
-
-    if batch_id > 0 and batch_id % SNAPSHOT_EVERY == 0:
-        everyone = current_profiles(spark, root, batch_id + 1, snapshot_before=batch_id)
-        everyone.write.mode("overwrite").parquet(f"{root}/snapshots/batch_id={batch_id}/turn=0")
+def apply_reset(spark: SparkSession, root: str, at) -> None:
+    """Reset the scores at a time; answers given before it do not count, whenever they come."""
+    store, moment = Store(spark, root), _micros(spark, at)
+
+    def make(number: int, state: dict) -> dict | None:
+        if moment in state["resets"]:
+            return None
+        name = store.attempt(number)
+        made = {**state, "resets": sorted([*state["resets"], moment])}
+        made["tables"] = {**state["tables"], "days": _undivided(store, made, moment, name)}
+        everyone = _fold(made, store.days(made), store.read(made, "base"), keep_all=True)
+        levels = [entry["level"] for entry in state["tables"]["profiles"]]
+        made["tables"]["profiles"] = store.write(
+            store.with_bucket(everyone, state), "profiles", name, max(levels, default=0)
+        )
+        return made
+
+    store.change(make)
+
+
+def apply_close_day(spark: SparkSession, root: str, sessions: DataFrame, as_of, now=None) -> DataFrame:
+    """Zero missed streaks in the store at local midnight; returns the sessions to take down."""
+    store = Store(spark, root)
+    closing = [str(as_of), None if now is None else _micros(spark, now)]
+
+    def make(number: int, state: dict) -> dict | None:
+        if closing in state["closings"]:
+            return None
+        profiles = store.profiles(state)
+        missed = reset_missed_streaks(profiles, as_of, now).where("daily_streak = 0")
+        changed = missed.join(profiles.where("daily_streak > 0").select(USER), USER, "left_semi")
+        made = store.write(store.with_bucket(changed, state), "profiles", store.attempt(number))
+        tables = {**state["tables"], "profiles": state["tables"]["profiles"] + made}
+        return {**state, "closings": [*state["closings"], closing], "tables": tables}
+
+    store.change(make)
+    return expired_daily_sessions(sessions, as_of)
 
 
 def run_answer_stream(

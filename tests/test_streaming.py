@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-import drillbook.streaming.answers as stream_module
+import drillbook.streaming.store as store_module
 from drillbook.operators import answers as an
 from drillbook.operators.profiles import merge_profiles, rebuild_profiles
 from drillbook.plans import close_day
@@ -89,8 +89,8 @@ def test_stream_equals_batch(spark, tmp_path, parts):
     assert same(current_profiles(spark, root), profiles)
 
 
-def test_many_batches_with_snapshots_and_a_repeat(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(stream_module, "SNAPSHOT_EVERY", 3)
+def test_many_batches_with_merges_and_a_repeat(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "FAN_IN", 3)
     rows = log(2, 140)
     root = str(tmp_path / "store")
     sessions, bank = model(spark)
@@ -176,7 +176,7 @@ def test_a_batch_reads_the_dates_of_its_sessions_only(spark, tmp_path):
 
 
 def test_resets_and_closed_days_stay_in_the_store(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(stream_module, "SNAPSHOT_EVERY", 2)
+    monkeypatch.setattr(store_module, "FAN_IN", 2)
     rows = log(6, 200)
     root = str(tmp_path / "store")
     sessions, bank = model(spark)
