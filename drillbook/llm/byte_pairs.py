@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -56,8 +55,8 @@ class BytePairs:
         spelled = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             spelled[rank] = token
-        self.sizes = np.array([len(token) for token in spelled], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.sizes = np.array([len(token) for token in spelled], np.int32)
+        self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
         #: Ids of pieces by their text, the recently used ones and those before.
         self.young: dict[str, bytes] = {}
@@ -189,7 +188,7 @@ class BytePairs:
         young, old = self.young, self.old
         passing: dict[str, bytes] = {}
         fresh = []
-        for piece in set(chain.from_iterable(pieces)).difference(young):
+        for piece in set().union(*pieces).difference(young):
             ids = old.get(piece)
             if ids is None:
                 fresh.append(piece)
@@ -213,10 +212,11 @@ class BytePairs:
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all tokens in a row, and where each token ends; an unknown id has none."""
         there = (ids >= 0) & (ids < len(self.sizes))
-        ids = np.where(there, ids, 0)
-        sizes = np.where(there, self.sizes[ids], 0)
-        ends = np.cumsum(sizes)
-        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[ids] - (ends - sizes), sizes)
+        sizes = self.sizes[ids] if there.all() else np.where(there, self.sizes[np.where(there, ids, 0)], 0)
+        ids = ids if there.all() else np.where(there, ids, 0)
+        ends = np.cumsum(sizes, dtype=np.int32)
+        places = np.repeat(self.starts[ids] - (ends - sizes), sizes)
+        places += np.arange(len(places), dtype=np.int32)
         return self.spelled[places], ends
 
 
@@ -254,17 +254,18 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path, pattern = _vocabulary(path, None)
     schema = encoded.select("doc_id", "ids").schema.add("decoded", BinaryType())
 
-    def work(columns: dict[str, list]) -> dict[str, list]:
+    def work(columns: dict[str, pa.Array]) -> dict[str, pa.Array]:
         ids = columns["ids"]
-        lengths = [len(some or ()) for some in ids]
-        flat = np.fromiter(chain.from_iterable(some or () for some in ids), np.int64, sum(lengths))
+        lengths = ids.value_lengths().fill_null(0).to_numpy()
+        flat = ids.flatten().fill_null(-1).to_numpy()
         spelled, ends = _coder(path, pattern).decode(flat)
-        ends = np.concatenate([[0], ends])[np.cumsum([0, *lengths])].astype(np.int32)
+        ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int32)
         buffers = [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(spelled.tobytes())]
         columns["decoded"] = pa.Array.from_buffers(pa.binary(), len(ids), buffers)
         return columns
 
-    return map_slices(encoded.select("doc_id", "ids"), work, schema, slice_bytes=2 * TEXT_BYTES)
+    rows = encoded.select("doc_id", "ids")
+    return map_slices(rows, work, schema, slice_bytes=2 * TEXT_BYTES, as_arrow=True)
 
 
 def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -87,12 +87,13 @@ def words(text: Column) -> Column:
 
 def map_slices(
     rows: DataFrame,
-    work: Callable[[dict[str, list]], dict[str, list]],
+    work: Callable[[dict], dict],
     schema: str | StructType,
     slice_rows: int = SLICE_ROWS,
     slice_bytes: int = SLICE_BYTES,
+    as_arrow: bool = False,
 ) -> DataFrame:
-    """`work` on column lists of some rows at a time, fewer if they are large."""
+    """`work` on column lists, or Arrow arrays, of some rows at a time, fewer if they are large."""
     importable(rows.sparkSession)
     fields = rows.sparkSession.createDataFrame([], schema).schema
     arrow = to_arrow_schema(fields)
@@ -103,7 +104,10 @@ def map_slices(
             step = max(1, min(slice_rows, int(part.num_rows * share)))
             for start in range(0, part.num_rows, step):
                 piece = part.slice(start, step)
-                made = work({name: piece.column(name).to_pylist() for name in piece.schema.names})
+                columns = dict(zip(piece.schema.names, piece.columns))
+                if not as_arrow:
+                    columns = {name: column.to_pylist() for name, column in columns.items()}
+                made = work(columns)
                 yield pa.RecordBatch.from_pydict(made, schema=arrow)
 
     return rows.mapInArrow(batches, fields)
