@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 from drillbook.functions import day_word, letter, local_date
 from drillbook.operators.lookups import lookup_join
 from drillbook.operators.rules import FIRST_CHOICE, LAST_CHOICE
+from drillbook.sources.versions import write_once
 
 # Fixed value: points for a correct answer.
 POINTS = 10
+#: Column of a row's place while duplicates are marked.
+PLACE = "_place"
+
 
 def enrich_submissions(
     submissions: DataFrame, sessions: DataFrame, questions: DataFrame
@@ -72,11 +76,22 @@ def screen_submissions(enriched: DataFrame, zone: str) -> DataFrame:
     return enriched.withColumn("verdict", F.coalesce(_refusal(zone), F.lit("ok")))
 
 
+def with_places(screened: DataFrame) -> DataFrame:
+    """The rows as written, each with the place in its file, which tells equal rows apart."""
+    return as_placed(write_once(screened, "screened"))
+
+
+def as_placed(written: DataFrame) -> DataFrame:
+    """Rows read straight from Parquet with their places."""
+    return written.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(PLACE))
+
+
 def first_answers(screened: DataFrame) -> DataFrame:
-    """The first passing submission of each user to each session; equal times go by id, then row."""
+    """The first passing submission of each user to each session; equal times go by id, row, place."""
     answerer = F.struct("session_id", "discord_user_id")
-    row = F.xxhash64(*screened.columns)
-    order = Window.partitionBy(answerer).orderBy("answered_at", "id", row)
+    columns = [name for name in screened.columns if name != PLACE]
+    last = [PLACE] if PLACE in screened.columns else []
+    order = Window.partitionBy(answerer).orderBy("answered_at", "id", F.xxhash64(*columns), *last)
     return (
         screened.where("verdict = 'ok'")
         .withColumn("_rank", F.row_number().over(order))
@@ -94,26 +109,21 @@ def new_answers(screened: DataFrame, stored_answers: DataFrame | None = None) ->
     return firsts.join(taken, ["session_id", "discord_user_id"], "left_anti")
 
 
-def mark_duplicates(screened: DataFrame, stored_answers: DataFrame | None = None) -> DataFrame:
+def mark_duplicates(placed: DataFrame, stored_answers: DataFrame | None = None) -> DataFrame:
     """Turn the verdict of every answer but the first into `duplicate`; all rows are kept.
 
-    Accepted answers are found again by id and row rather than by a window over
-    all submissions of one user to one session, which could be any share of the
-    log. A press that was delivered several times is several equal rows, of
-    which one is numbered first; the numbering and the join share a shuffle.
+    A press that was delivered several times is several equal rows, of which one
+    counts. Each task sends the first one it has, the first of these is
+    accepted, and the rows learn by their places whether they are accepted. A
+    place is a key of one row, so neither endless copies of a press nor endless
+    presses of one user meet in a task.
     """
-    row = F.xxhash64(*screened.columns).alias("_row")
-    copies = Window.partitionBy("id", "_row").orderBy("id")
-    accepted = new_answers(screened.select("*", row), stored_answers).select(
-        "id", "_row", F.lit(True).alias("_first")
-    )
-    repeated = (F.col("verdict") == "ok") & (F.col("_first").isNull() | (F.col("_copy") > 1))
+    accepted = new_answers(placed, stored_answers).select(PLACE, F.lit(True).alias("_first"))
+    repeated = (F.col("verdict") == "ok") & F.col("_first").isNull()
     return (
-        screened.select("*", row)
-        .withColumn("_copy", F.row_number().over(copies))
-        .join(accepted, ["id", "_row"], "left")
+        placed.join(accepted, PLACE, "left")
         .withColumn("verdict", F.when(repeated, "duplicate").otherwise(F.col("verdict")))
-        .select(*screened.columns)
+        .drop(PLACE, "_first")
     )
 
 
@@ -126,7 +136,7 @@ def judge_submissions(
     invalid_choice or duplicate. Of a user's submissions to a session one at
     most is ok, also where a press was delivered twice.
     """
-    return mark_duplicates(screen_submissions(enriched, zone), stored_answers)
+    return mark_duplicates(with_places(screen_submissions(enriched, zone)), stored_answers)
 
 
 def rejected_submissions(judged: DataFrame) -> DataFrame:

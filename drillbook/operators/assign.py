@@ -101,9 +101,11 @@ def pick_distinct(
 
     Floyd's sampling without replacement: draw j comes from 0..n-size+j, and a
     number drawn before is replaced by the top of that range. Requests are left
-    out when the bank has fewer rows than asked. Every pick becomes a row, all
-    picks meet the numbered bank in one join and come together again by request
-    key, which must be unique: two shuffles whatever the size.
+    out when the bank has fewer rows than asked. Every pick becomes a row of key,
+    rank and number; all picks meet the numbered bank in one join and come
+    together again by request key, which must be unique, before the requests
+    join them: two shuffles of narrow rows and one of the requests whatever the
+    size.
     """
     key = F.col(request_key)
     total = F.col("_size")
@@ -132,16 +134,13 @@ def pick_distinct(
         ]
     )
     numbered = index_bank(bank).select("idx", F.col("id").alias("_id"))
-    return (
-        rows.select(key.alias("_key"), F.struct(*requests.columns).alias("_row"), F.inline(slots))
+    picked = (
+        rows.select(key.alias("_key"), F.inline(slots))
         .join(numbered, "idx")
         .groupBy("_key")
-        .agg(
-            F.first("_row").alias("_row"),
-            F.sort_array(F.collect_list(F.struct("rank", "_id")))["_id"].alias("picked_ids"),
-        )
-        .select("_row.*", "picked_ids")
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "_id")))["_id"].alias("picked_ids"))
     )
+    return requests.join(picked, key == F.col("_key")).select(*requests.columns, "picked_ids")
 
 
 def assign_quizzes(

@@ -122,6 +122,13 @@ UNIQUE_KEYS = {
     "question_answers": ["session_id", "discord_user_id"],
 }
 
+# (child, column, parent, what deleting a parent row does to its children).
+FOREIGN_KEYS = [
+    ("question_sessions", "question_id", "questions", "restrict"),
+    ("question_sessions", "quiz_run_id", "quiz_runs", "cascade"),
+    ("question_answers", "session_id", "question_sessions", "cascade"),
+]
+
 # One button press: custom_id is "answer:<session>:<choice>".
 PRESSES = _fields(
     id=TEXT,

@@ -1,3 +1,4 @@
+from drillbook.sources.drops import load_drop, loaded_files, loaded_rejects, loaded_rows
 from drillbook.sources.streams import parse_choice_id, read_submissions
 from drillbook.sources.tables import (
     active_questions,
@@ -7,6 +8,8 @@ from drillbook.sources.tables import (
     read_table,
 )
 from drillbook.sources.versions import (
+    current_version,
+    drop_versions,
     publish_tables,
     read_version,
     replace_table,
@@ -16,8 +19,14 @@ from drillbook.sources.versions import (
 
 __all__ = [
     "active_questions",
+    "current_version",
+    "drop_versions",
     "evolve_schema",
     "ingest_content",
+    "load_drop",
+    "loaded_files",
+    "loaded_rejects",
+    "loaded_rows",
     "parse_choice_id",
     "publish_tables",
     "read_content_drop",

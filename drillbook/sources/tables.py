@@ -23,7 +23,7 @@ def read_content_drop(spark: SparkSession, path: str, schema: StructType) -> Dat
 
 
 def ingest_content(
-    spark: SparkSession, path: str, schema: StructType
+    spark: SparkSession, path: str | list[str], schema: StructType
 ) -> tuple[DataFrame, DataFrame]:
     """Content lines that parse into the schema, and the others as (line, reason).
 

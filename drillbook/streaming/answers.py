@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from drillbook.operators.answers import (
+    as_placed,
     enrich_submissions,
     mark_duplicates,
     score_answers,
@@ -179,7 +180,7 @@ def stage_batch(
     enriched = enrich_submissions(parse_choice_id(presses), sessions, questions)
     staged = store.path("staged", name)
     screen_submissions(enriched, zone).write.parquet(staged)
-    screened = spark.read.parquet(staged)
+    screened = as_placed(spark.read.parquet(staged))
 
     created = F.to_date("session_created_at")
     passing = screened.where("verdict = 'ok'").select(created.alias("date")).distinct()

@@ -1,0 +1,173 @@
+"""One-row lookups, deletes along the foreign keys, published versions and loaded drops."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from drillbook.operators import lookups
+from drillbook.plans import replace_rows
+from drillbook.schemas import QUESTION_DROP
+from drillbook.sources import (
+    current_version,
+    drop_versions,
+    load_drop,
+    loaded_files,
+    loaded_rejects,
+    loaded_rows,
+    publish_tables,
+    read_version,
+)
+from drillbook.sources.records import Folder, RecordTaken, Records
+from tests import tables
+from tests.tables import question, session
+
+
+def ids(rows, column="id"):
+    return sorted(row[column] for row in rows.select(column).collect())
+
+
+def test_a_lookup_never_multiplies_rows(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "n int, ref string")
+    table = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("b", 2, "y"), ("d", 3, None)], "id string, v int, w string")
+    kept = lookups.lookup_join(rows, table, "ref", optional=True)
+    assert kept.columns == ["n", "ref", "v", "w"]
+    assert {row.n: row.v for row in kept.collect()} == {1: 1, 2: None, 3: None, 4: None}
+    assert ids(lookups.lookup_join(rows, table, "ref"), "n") == [1]
+    found = {(row.key_value, row.problem, row.row_count) for row in lookups.lookup_violations(rows, table, "ref").collect()}
+    assert found == {("c", "missing", 1), ("b", "duplicate", 2)}
+
+
+def test_endless_repeats_of_a_key_are_one_row_per_task(spark):
+    table = spark.range(0, 9000, 1, 8).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("id"), F.lit(1).alias("v"))
+    text = lookups.single_rows(table)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in text and "Window" not in text
+    assert lookups.single_rows(table).count() == 6000
+
+
+def graph(spark):
+    made = {
+        "questions": tables.questions(spark, *[question(f"q{n}") for n in range(4)]),
+        "quiz_runs": spark.createDataFrame([("r1",), ("r2",)], "id string"),
+        "question_sessions": tables.sessions(
+            spark,
+            session("s1", "q1", run="r1"),
+            session("s2", "q2", run="r2"),
+            session("s3", "q1"),
+        ),
+        "question_answers": spark.createDataFrame(
+            [("a1", "s1"), ("a2", "s2"), ("a3", "s3")], "id string, session_id string"
+        ),
+    }
+    return made
+
+
+def keys(spark, *values):
+    return spark.createDataFrame([(value,) for value in values], "id string")
+
+
+def test_a_cascade_goes_down_the_graph(spark):
+    kept, forbidden = lookups.delete_rows(graph(spark), {"quiz_runs": keys(spark, "r1", "nobody")})
+    assert set(kept) == {"quiz_runs", "question_sessions", "question_answers"} and forbidden is None
+    assert ids(kept["quiz_runs"]) == ["r2"]
+    assert ids(kept["question_sessions"]) == ["s2", "s3"]
+    assert ids(kept["question_answers"]) == ["a2", "a3"]
+
+
+def test_a_restricting_key_asks_after_all_deletions(spark):
+    """q1 is used by s1 and s3: it can go once both have gone, the one by cascade."""
+    made = graph(spark)
+    deleted = {"questions": keys(spark, "q1", "q3"), "quiz_runs": keys(spark, "r1")}
+    kept, forbidden = lookups.delete_rows(made, deleted)
+    assert [tuple(row) for row in forbidden.collect()] == [("questions", "q1", "question_sessions")]
+    kept, forbidden = lookups.delete_rows(made, deleted | {"question_sessions": keys(spark, "s3")})
+    assert forbidden.isEmpty() and ids(kept["questions"]) == ["q0", "q2"]
+    assert ids(kept["question_answers"]) == ["a2"]
+    kept, _ = lookups.delete_rows(made, {"question_sessions": None})
+    assert kept["question_sessions"].isEmpty() and kept["question_answers"].isEmpty()
+
+
+def test_deletes_and_inserts_are_one_version(spark, tmp_path):
+    root = str(tmp_path / "model")
+    publish_tables(spark, root, graph(spark))
+    with pytest.raises(ValueError, match="still referred to"):
+        replace_rows(spark, root, {"questions": keys(spark, "q1")})
+    assert current_version(spark, root) == 1
+    new = tables.questions(spark, question("q9"))
+    assert replace_rows(spark, root, {"question_sessions": None, "questions": None}, {"questions": new}) == 2
+    assert ids(read_version(spark, root, "questions")) == ["q9"]
+    assert read_version(spark, root, "question_answers").isEmpty()
+    assert ids(read_version(spark, root, "quiz_runs")) == ["r1", "r2"]
+
+
+def test_of_two_publishers_one_is_refused(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "model")
+    publish_tables(spark, root, {"a": spark.range(1)})
+    publish_tables(spark, root, {"a": spark.range(2)}, base=1)
+    with pytest.raises(RecordTaken):  # before it writes
+        publish_tables(spark, root, {"a": spark.range(3)}, base=1)
+    assert len([name for name in Folder(spark, root).names() if name.startswith("version=")]) == 2
+    put, calls = Records.put, []
+
+    def second(self, number, state):
+        if not calls:
+            calls.append(1)
+            publish_tables(spark, root, {"a": spark.range(4)})
+        return put(self, number, state)
+
+    monkeypatch.setattr(Records, "put", second)
+    with pytest.raises(RecordTaken):  # both began at version 2
+        publish_tables(spark, root, {"a": spark.range(5)})
+    assert current_version(spark, root) == 3 and read_version(spark, root, "a").count() == 4
+
+
+def test_old_versions_go_and_named_folders_stay(spark, tmp_path):
+    root = str(tmp_path / "model")
+    publish_tables(spark, root, {"a": spark.range(1), "b": spark.range(9)})
+    for n in (2, 3, 4):
+        publish_tables(spark, root, {"a": spark.range(n)})
+    pinned = read_version(spark, root, "a", version=3)
+    assert read_version(spark, root, "a", version=1).count() == 1
+    assert drop_versions(spark, root, keep=2) == 1  # version 1 still holds table b
+    assert pinned.count() == 3 and read_version(spark, root, "b").count() == 9
+    with pytest.raises(ValueError, match="dropped"):
+        read_version(spark, root, "a", version=1)
+    publish_tables(spark, root, {"b": spark.range(8)})
+    assert drop_versions(spark, root, keep=1) == 2
+    assert read_version(spark, root, "a").count() == 4 and drop_versions(spark, root, keep=1) == 0
+
+
+def drop_file(folder, name, *lines):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("\n".join(lines) + "\n")
+
+
+def good(prompt):
+    return json.dumps({"prompt": prompt, "options": ["a", "b"], "correct_option": 1})
+
+
+def test_a_drop_is_loaded_once(spark, tmp_path, monkeypatch):
+    drop, root = tmp_path / "drop", str(tmp_path / "loads")
+    drop_file(drop, "1.json", good("p1"), "{broken", good("p2"))
+    assert loaded_rows(spark, root, QUESTION_DROP).isEmpty()
+    assert load_drop(spark, root, str(drop), QUESTION_DROP) == 1
+    assert load_drop(spark, root, str(drop), QUESTION_DROP) == 0
+    drop_file(drop, "2.json", good("p3"))
+    (drop / "sub").mkdir()
+    drop_file(drop / "sub", "2.json", good("p3"))  # the same name and content again
+    put = Records.put
+
+    def dies(*args):
+        raise OSError("died before the record")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(Records, "put", dies)
+        with pytest.raises(OSError):
+            load_drop(spark, root, str(drop), QUESTION_DROP)
+    assert ids(loaded_rows(spark, root, QUESTION_DROP), "prompt") == ["p1", "p2"]
+    assert Records.put is put and load_drop(spark, root, str(drop), QUESTION_DROP) == 1
+    drop_file(drop, "1.json", good("p1 changed"))
+    assert load_drop(spark, root, str(drop), QUESTION_DROP) == 1
+    assert ids(loaded_rows(spark, root, QUESTION_DROP), "prompt") == ["p1", "p1 changed", "p2", "p3"]
+    assert [tuple(row) for row in loaded_rejects(spark, root).collect()] == [("{broken", "not_json")]
+    assert ids(loaded_files(spark, root), "file") == ["1.json", "1.json", "2.json", "2.json"]

@@ -69,7 +69,7 @@ def test_a_hot_session_is_split_in_the_join(spark, conf):
     enriched = an.enrich_submissions(*hot_log(spark))
     for result, count in (
         (an.accept_answers(enriched, ZONE), 30000),
-        (an.judge_submissions(enriched, ZONE), 120000),
+        (an.screen_submissions(enriched, ZONE), 120000),  # what verdicts are marked on
     ):
         assert len(result.collect()) == count
         assert "SortMergeJoin(skew=true)" in plan(result)
@@ -128,10 +128,9 @@ def test_registered_plans_stay_declarative(spark, name):
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "MapInPandas"):
         assert operator not in text
     # Windows without a partition only number the ten leaders and the 4,096
-    # offsets of a bank, not rows of a table; those by id number the copies of
-    # one press.
+    # offsets of a bank, not rows of a table.
     for window in re.findall(r"windowspecdefinition\((\S+)", text):
-        assert re.match(r"(_w0|_bucket|total_points|discord_user_id|id)#", window), window
+        assert re.match(r"(_w0|_bucket|total_points|discord_user_id)#", window), window
 
 
 def test_windows_without_a_partition_are_bounded(spark):
@@ -154,11 +153,31 @@ def test_a_quiz_takes_two_shuffles_of_its_requests_whatever_its_size(spark, conf
         assert not any("_pick" in key for key in keys)
 
 
-def test_verdicts_join_sessions_and_share_the_shuffle_by_press(spark, conf):
-    conf(spark__sql__autoBroadcastJoinThreshold="-1")
-    enriched = an.enrich_submissions(*hot_log(spark, 300))
-    keys = shuffles(an.judge_submissions(enriched, ZONE))
-    assert sum(key.startswith("id#") and "_row#" in key for key in keys) == 2
+def test_copies_of_one_press_stay_spread(spark, conf):
+    """A third of the log is one press delivered again and again: no task gets its copies."""
+    conf(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__shuffle__partitions="16",
+        spark__sql__adaptive__coalescePartitions__enabled="false",
+    )
+    submissions, sessions, questions = hot_log(spark, 6000)
+    hot = F.col("session_id") == "hot"
+    one = {
+        "id": F.when(hot, "press").otherwise(F.col("id")),
+        "discord_user_id": F.when(hot, "u1").otherwise(F.col("discord_user_id")),
+        "answered_at": F.when(hot, F.timestamp_seconds(F.lit(1704200000))).otherwise(F.col("answered_at")),
+        "selected_option": F.when(hot, 1).otherwise(F.col("selected_option")).cast("smallint"),
+    }
+    judged = an.judge_submissions(an.enrich_submissions(submissions.withColumns(one), sessions, questions), ZONE)
+    rows = judged.withColumn("task", F.spark_partition_id()).where("id = 'press'").collect()
+    assert sorted(row.verdict for row in rows) == ["duplicate"] * 1999 + ["ok"]
+    tasks = [row.task for row in rows]
+    assert max(map(tasks.count, set(tasks))) < 2 * 2000 / len(set(tasks)) and len(set(tasks)) > 2
+    text = initial(plan(judged))
+    assert re.findall(r"windowspecdefinition\((\S+?)#", text) and not re.search(r"windowspecdefinition\(id#", text)
+    keys = shuffles(judged)
+    assert sum(key.startswith("_place#") for key in keys) == 2
+    assert all(key.startswith(("_place#", "_w0#")) for key in keys)
 
 
 def test_streaks_move_answers_by_user_and_date_not_by_id(spark, conf):

@@ -514,6 +514,9 @@ ORACLES: dict[str, str] = {
     FROM events WHERE event_id * 7 NOT IN (SELECT num FROM bank) GROUP BY event_id
     UNION ALL
     SELECT prompt, 'duplicate', count(*) FROM bank GROUP BY prompt HAVING count(*) > 1""",
+    "lookup_repeated_keys": _BASE
+    + """SELECT event_id, CASE WHEN num % 5 <> 0 THEN topic END AS topic
+    FROM ev LEFT JOIN bank ON num = qnum""",
     "optional_lookup": _BASE
     + """SELECT id, 'user' || usr AS username, c_mktsegment FROM sub
     LEFT JOIN customer ON c_custkey * 2 = user_id""",
@@ -541,6 +544,19 @@ ORACLES: dict[str, str] = {
         "updated_at FROM",
         "greatest(updated_at, epoch_us(TIMESTAMP '2024-01-15 06:00:00')) AS updated_at FROM",
     ),
+    "stream_after_crash": _WHOLE
+    + _PROFILE.replace(
+        "daily_streak,",
+        "CASE WHEN last_date < DATE '2024-01-15' THEN 0 ELSE daily_streak END AS daily_streak,",
+    ),
+    "stream_profiles_any_order": _RESET.replace(
+        "PARTITION BY session, usr, screen ORDER BY ts, event_id",
+        "PARTITION BY session, usr, screen ORDER BY event_id % 3, ts, event_id",
+    )
+    + _PROFILE.replace(
+        "updated_at FROM",
+        "greatest(updated_at, epoch_us(TIMESTAMP '2024-01-15 06:00:00')) AS updated_at FROM",
+    ),
     "stream_quiz_progress": _RUNS
     + """SELECT id, usr AS discord_user_id, guild AS guild_id, array_to_string(ids, '|') AS question_ids,
     CAST(idx AS BIGINT) AS current_index, CAST(good AS BIGINT) AS correct_count,
@@ -570,6 +586,21 @@ ORACLES: dict[str, str] = {
     + """SELECT 'questions' AS table_name, count(*) AS row_count, max(id) AS last_key FROM bank WHERE NOT stored
     UNION ALL SELECT unnest(['question_sessions', 'question_answers', 'quiz_runs']), 0, NULL
     UNION ALL SELECT 'employee_profiles', count(*), max(discord_user_id) FROM prof""",
+    "runs_deleted_with_children": _RUNS
+    + """, late AS (
+      SELECT id FROM progress WHERE first_ts - INTERVAL 1 MINUTE >= TIMESTAMP '2024-01-20 06:00:00'),
+    left_ses AS (SELECT id FROM ses WHERE run IS NULL OR run NOT IN (SELECT id FROM late)),
+    left_acc AS (SELECT id FROM acc WHERE session IN (SELECT id FROM left_ses))
+    SELECT 'questions' AS table_name, count(*) AS row_count, max(id) AS last_key FROM bank
+    UNION ALL SELECT 'question_sessions', count(*), max(id) FROM left_ses
+    UNION ALL SELECT 'question_answers', count(*), max(id) FROM left_acc
+    UNION ALL SELECT 'quiz_runs', count(*), max(id) FROM progress WHERE id NOT IN (SELECT id FROM late)""",
+    "versions_pinned": _BASE
+    + """SELECT CAST(2 AS BIGINT) AS version, id, tagged AS prompt FROM bank WHERE NOT stored
+    UNION ALL SELECT 3, id, prompt FROM bank""",
+    "drop_loaded_twice": _BASE
+    + """SELECT CASE WHEN num % 10 = 0 THEN 'not_json' ELSE 'stored' END AS reason, prompt,
+    CAST(0 AS BIGINT) AS repeated_files FROM bank""",
     "typed_scan": _WHOLE
     + """SELECT 'questions' AS table_name, count(*) AS row_count, count(DISTINCT id) AS key_count,
       CAST(9 AS BIGINT) AS column_count FROM bank

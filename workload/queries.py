@@ -20,11 +20,16 @@ from pyspark.sql.types import (
 
 from drillbook.operators import answers as an
 from drillbook.operators import assign, content, lookups, profiles, quizzes, reports, rules, streaks
-from drillbook.plans import close_day, leaderboard_from_submissions
+from drillbook.plans import close_day, leaderboard_from_submissions, replace_rows
 from drillbook.schemas import CARD_DROP, QUESTION_DROP, TABLES, TRAINING_CARDS
 from drillbook.sources import (
+    drop_versions,
     evolve_schema,
     ingest_content,
+    load_drop,
+    loaded_files,
+    loaded_rejects,
+    loaded_rows,
     parse_choice_id,
     publish_tables,
     read_content_drop,
@@ -37,6 +42,7 @@ from drillbook.sources import (
     write_once,
 )
 from drillbook.streaming import (
+    Store,
     answer_log,
     apply_close_day,
     apply_reset,
@@ -44,6 +50,7 @@ from drillbook.streaming import (
     current_quiz_runs,
     prepare_store,
     run_answer_stream,
+    stage_batch,
 )
 from workload.model import CUT, RESETS, SEED, ZONE, Model, instant
 
@@ -490,11 +497,8 @@ def questions_replaced_whole(m: Model) -> DataFrame:
     }
     publish_tables(m.spark, root, tables_)
     _, incoming = m.bank_halves()
-    emptied = {
-        name: read_version(m.spark, root, name).limit(0)
-        for name in ("question_sessions", "question_answers", "quiz_runs")
-    }
-    publish_tables(m.spark, root, {**emptied, "questions": incoming})
+    gone = dict.fromkeys(["question_answers", "question_sessions", "quiz_runs", "questions"])
+    replace_rows(m.spark, root, gone, {"questions": incoming})
     counts = None
     for name in tables_:
         rows = read_version(m.spark, root, name)
@@ -505,6 +509,63 @@ def questions_replaced_whole(m: Model) -> DataFrame:
     return counts
 
 
+@query
+def runs_deleted_with_children(m: Model) -> DataFrame:
+    """Quiz runs from after the cut deleted along the foreign keys: what is left of each table."""
+    root = shared_folder(m.spark, "key-graph")
+    tables_ = {
+        "questions": m.questions(),
+        "question_sessions": m.sessions(),
+        "question_answers": an.answer_rows(m.accepted()),
+        "quiz_runs": m.quiz_runs(),
+    }
+    publish_tables(m.spark, root, tables_)
+    late = m.quiz_runs().where(F.col("created_at") >= instant(CUT)).select("id")
+    replace_rows(m.spark, root, {"quiz_runs": late})
+    counts = None
+    for name in tables_:
+        rows = read_version(m.spark, root, name)
+        one = rows.agg(F.count("*").alias("row_count"), F.max("id").alias("last_key"))
+        one = one.select(F.lit(name).alias("table_name"), "row_count", "last_key")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
+
+
+@query
+def versions_pinned(m: Model) -> DataFrame:
+    """Three versions of the bank with the oldest dropped: the last two as they were read."""
+    root = shared_folder(m.spark, "pinned")
+    stored, incoming = m.bank_halves()
+    for number, rows in enumerate((stored, incoming, m.questions())):
+        publish_tables(m.spark, root, {"questions": rows}, base=number)
+    drop_versions(m.spark, root, keep=2)
+    read = None
+    for version in (2, 3):
+        one = read_version(m.spark, root, "questions", version=version)
+        one = one.select(F.lit(version).alias("version"), "id", "prompt")
+        read = one if read is None else read.unionByName(one)
+    return read
+
+
+@query
+def drop_loaded_twice(m: Model) -> DataFrame:
+    """A content drop loaded, grown and loaded again twice: every line once, rejects too."""
+    path, root = shared_folder(m.spark, "growing-drop"), shared_folder(m.spark, "loads")
+    number = F.col("id").cast("bigint")
+    line = F.to_json(F.struct(*QUESTION_DROP.names))
+    spoilt = F.when(number % 10 == 0, F.concat(F.lit("{"), line)).otherwise(line)
+    for half in (number % 2 == 0, number % 2 == 1):
+        m.questions().where(half).select(spoilt.alias("value")).write.mode("append").text(path)
+        for _ in range(2):
+            load_drop(m.spark, root, path, QUESTION_DROP)
+    good = loaded_rows(m.spark, root, QUESTION_DROP).select(F.lit("stored").alias("reason"), "prompt")
+    bad = loaded_rejects(m.spark, root)
+    prompt = F.get_json_object(F.substring("line", 2, 1_000_000), "$.prompt")
+    rows = good.unionByName(bad.select("reason", prompt.alias("prompt")))
+    again = F.lit(loaded_files(m.spark, root).groupBy("file", "digest").count().where("count > 1").count())
+    return rows.withColumn("repeated_files", again)
+
+
 @query
 def typed_scan(m: Model) -> DataFrame:
     """The six tables written and scanned again with their declared schemas."""
@@ -671,6 +732,15 @@ def lookup_violations(m: Model) -> DataFrame:
     return by_id.unionByName(by_prompt)
 
 
+@query
+def lookup_repeated_keys(m: Model) -> DataFrame:
+    """Every press with its question, where every fifth question stands twice: it matches none."""
+    bank = m.questions().select("id", "topic")
+    twice = bank.unionByName(bank.where(F.col("id").cast("bigint") % 5 == 0))
+    asked = m.events().select("event_id", F.col("question_number").cast("string").alias("question_id"))
+    return lookups.lookup_join(asked, twice, "question_id", optional=True).select("event_id", "topic")
+
+
 @query
 def optional_lookup(m: Model) -> DataFrame:
     """Profiles of all event users, where one exists for the name they have now."""
@@ -733,6 +803,35 @@ def stream_profiles_after_reset(m: Model) -> DataFrame:
     return current_profiles(m.spark, _stream_answers(m, between=reset))
 
 
+@query
+def stream_after_crash(m: Model) -> DataFrame:
+    """The second part's batch dies before its record and a day is closed; then it comes again."""
+    at = F.col("answered_at")
+
+    def crash(root: str, part: int) -> None:
+        if part == 0:
+            lost = m.presses().where((at >= instant(RESETS[0])) & (at < instant(CUT)))
+            store = Store(m.spark, root)
+            number, state = store.latest()
+            stage_batch(store, number + 1, state, lost, 1, m.sessions(), m.questions(), ZONE)
+            apply_close_day(m.spark, root, m.sessions(), "2024-01-16")
+
+    return current_profiles(m.spark, _stream_answers(m, between=crash))
+
+
+@query
+def stream_profiles_any_order(m: Model) -> DataFrame:
+    """Presses dealt by id over three batches, and a reset whose earlier answers come after it."""
+    number = F.col("id").cast("bigint")
+
+    def reset(root: str, part: int) -> None:
+        if part == 0:
+            apply_reset(m.spark, root, RESETS[0])
+
+    parts = [number % 3 == part for part in range(3)]
+    return current_profiles(m.spark, _stream_answers(m, parts=parts, between=reset))
+
+
 @query
 def stream_quiz_progress(m: Model) -> DataFrame:
     return current_quiz_runs(m.spark, _stream_answers(m), m.quiz_runs())
