@@ -14,31 +14,37 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from bisect import bisect_left, insort
 from functools import cache
 
-import numpy as np
 import public_tokenizers
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .shared import Scratch, map_slices
 
-#: Words, and parts of words, whose ids a worker keeps.
-WORDS_KEPT, PARTS_KEPT = 200_000, 400_000
+#: Bytes of word parts and their ids that a worker keeps, about, what a part
+#: takes besides its ids, and the length from which a part is not kept.
+KEPT_BYTES, PART_BYTES, LONG_PART = 96_000_000, 200, 100
+#: Bytes of text that a worker takes at a time.
+TEXT_BYTES = 4_000_000
 #: Rows of one size that a ranking window may hold on average.
 RANKED_ROWS = 4_000
 #: (size, first rank, documents, gap, first gap rank, documents a gap)
 Segment = tuple[int, int, int, int, int, int]
 
 
-#: Fixed value: the vocabulary's splitter, for lower-case texts of Latin letters.
-LATIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: Fixed value: the vocabulary's splitter, for lower-case texts of Latin letters, which
+#: are spelled out as ranges and come first, as most parts are letters.
+LATIN_PARTS = re.compile(
+    "[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+"
+    r"|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\w\s]|_)+"
+)
 #: What that pattern or white space might treat otherwise than the splitter.
 NOT_LATIN = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]|<[|]")
+ASCII_SPACE = re.compile("[\x20\x09-\x0d]+")
+#: Mark of a word that is encoded whole; no Latin part begins with it.
+WHOLE = "\x1c"
 
 #: Fixed rule of byte-level vocabularies: printable bytes stand for themselves,
 #: the others, in order, for the characters from U+0100 on.
@@ -49,86 +55,74 @@ BYTE_LETTERS = {
 
 
 class WordIds:
-    """Ids of a text as bytes, each word and each part of a word encoded once.
+    """Ids of a text as bytes, each distinct part of the texts encoded once.
 
     The vocabulary never joins what its splitter parts, nor anything across
     white space, so the ids of a text are those of its parts in a row. Words
     beyond Latin letters are encoded whole.
+
+    What a worker remembers is bounded in bytes: parts not met again while the
+    younger half filled are forgotten, long ones at once.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.half = self.room = kept_bytes // 2
+
+    @staticmethod
+    def parts(text: str) -> list[str]:
+        """The splitter's parts; a word that needs the tokenizer as a whole is marked."""
+        lowered = text.lower()
+        if not NOT_LATIN.search(lowered):
+            return LATIN_PARTS.findall(lowered)
+        found = []
+        for word in filter(None, ASCII_SPACE.split(text)):
+            lowered = word.lower()
+            if NOT_LATIN.search(lowered):
+                found.append(WHOLE + word)
+            else:
+                found += LATIN_PARTS.findall(lowered)
+        return found
 
-    def _encode_parts(self, parts: set[str]) -> None:
+    def _encode(self, parts: list[str]) -> dict[str, bytes]:
         """A part is one unit of the model, so its bytes go there directly.
 
         Only bytes 0x21 to 0x7E stand for themselves in every part: the model
         has no unknown token and returns nothing for a letter it doesn't have.
         """
-        tokenize = self.tokenizer.model.tokenize
+        tokenize, made = self.tokenizer.model.tokenize, {}
         for part in parts:
-            plain = part.isascii() and part.isprintable()
-            unit = part if plain else part.encode().decode("latin-1").translate(BYTE_LETTERS)
-            self.parts[part] = array("I", [token.id for token in tokenize(unit)]).tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        split: dict[str, tuple[str, ...] | list[str]] = {}
-        for word in words:
-            if word.isascii():
-                stem, end = word[:-1], word[-1:]
-                if word.isalpha():
-                    split[word] = (word.lower(),)
-                    continue
-                if end in ",." and stem.isalpha():
-                    split[word] = (stem.lower(), end)
-                    continue
-            lowered = word.lower()
-            if NOT_LATIN.search(lowered):
-                one = self.tokenizer.encode(word, add_special_tokens=False)
-                self.words[word] = np.array(one.ids, dtype="<u4").tobytes()
-            else:
-                split[word] = LATIN_PARTS.findall(lowered)
-        needed = {part for parts in split.values() for part in parts}
-        fresh = needed.difference(self.parts)
-        if len(self.parts) + len(fresh) > PARTS_KEPT:
-            self.parts.clear()
-            fresh = needed
-        self._encode_parts(fresh)
-        known = self.parts
-        for word, parts in split.items():
-            if len(parts) == 1:
-                self.words[word] = known[parts[0]]
+            if part[0] == WHOLE:
+                ids = self.tokenizer.encode(part[1:], add_special_tokens=False).ids
+            elif part.isascii() and part.isprintable():
+                ids = [token.id for token in tokenize(part)]
             else:
-                self.words[word] = b"".join([known[part] for part in parts])
+                unit = part.encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = [token.id for token in tokenize(unit)]
+            made[part] = array("I", ids).tobytes()
+        return made
 
     def many(self, texts: list[str]) -> list[bytes]:
-        """Each distinct word of the texts is looked up once, the rest is array work."""
-        cut = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
-        ends = cut.offsets.to_numpy()
-        coded = cut.values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        known, order = self.words, coded.indices.to_numpy()
-        fresh = np.fromiter((word not in known for word in words), bool, len(words))
-        unknown = [words[i] for i in np.nonzero(fresh)[0]]
-        self._learn(unknown)
-        ids = [known[word] for word in words]
-        if len(known) > WORDS_KEPT:
-            if fresh[order].mean() > 0.3:
-                known.clear()  # texts of another kind
-            else:
-                for word in unknown:
-                    del known[word]
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
-        starts = (np.cumsum(sizes) - sizes).astype(np.int32)
-        lengths = sizes[order]
-        after = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        places = np.repeat(starts[order] - after[:-1], lengths)
-        places += np.arange(after[-1], dtype=np.int32)
-        row = np.frombuffer(b"".join(ids), "<u4")[places]
-        cuts = after[ends].tolist()
-        return [row[start:end].tobytes() for start, end in zip(cuts, cuts[1:])]
+        pieces = [self.parts(text) for text in texts]
+        young, old = self.young, self.old
+        unseen = set().union(*pieces).difference(young)
+        fresh = unseen.difference(old)
+        kept = {part: old[part] for part in unseen.difference(fresh)}
+        passing = []
+        for part, ids in self._encode(list(fresh)).items():
+            kept[part] = ids
+            if len(part) > LONG_PART:
+                passing.append(part)
+        young.update(kept)
+        found = [b"".join(map(young.__getitem__, some)) for some in pieces]
+        for part in passing:
+            del young[part]
+        self.room -= sum(map(len, kept.values())) + PART_BYTES * len(kept)
+        if self.room < 0:
+            self.old, self.young, self.room = young, {}, self.half
+        return found
 
 
 @cache
@@ -159,7 +153,7 @@ def token_pieces(documents: DataFrame, path: str | None = None, capacity: int =
         return made
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return map_slices(documents.select("doc_id", "text"), work, schema, slice_rows=2048)
+    return map_slices(documents.select("doc_id", "text"), work, schema, slice_rows=2048, slice_bytes=TEXT_BYTES)
 
 
 def size_ranks(rows: DataFrame, size: str, id_: str, n_rows: int) -> DataFrame:
@@ -234,27 +228,10 @@ def _in_segment(rank: str, first: str, n: Column) -> Column:
     return (F.col(rank) >= F.col(first)) & (F.col(rank) < F.col(first) + n)
 
 
-def _best_fit(left: list[tuple[int, int]], gaps: list[tuple[int, int]], capacity: int, bin_: int):
-    """(id, bin, offset) of the last few documents, one by one, the largest first."""
-    free = sorted(gaps)
-    for size, id_ in sorted(left, reverse=True):
-        at = bisect_left(free, (size, -1))
-        if at < len(free):
-            gap, into = free.pop(at)
-        else:
-            gap, into, bin_ = capacity, bin_, bin_ + 1
-        yield id_, into, capacity - gap
-        if gap > size:
-            insort(free, (gap - size, into))
-
-
-def best_fit_bins(
-    rows: DataFrame, scratch: Scratch, capacity: int, tail: int = 5_000
-) -> DataFrame:
+def best_fit_bins(rows: DataFrame, scratch: Scratch, capacity: int) -> DataFrame:
     """(id, bin, offset) for rows of (id, size), 0 < size < capacity.
 
-    Rounds go on until at most `tail` rows are left; these are placed one by
-    one by the same rule, among new bins and the `tail` largest gaps.
+    Rounds go on until every row has its place, whatever their number.
     """
     spark = rows.sparkSession
     schema = "id long, bin long, offset long"
@@ -267,7 +244,7 @@ def best_fit_bins(
     def left() -> int:
         return sum(n for _, n in sizes.values())
 
-    while left() > tail:
+    while left():
         smallest = min(size for size, (_, n) in sizes.items() if n)
         segments = sweep(sizes, {gap: n for gap, n in gaps.items() if gap >= smallest})
         opened = not segments
@@ -312,30 +289,13 @@ def best_fit_bins(
             if rounds:
                 scratch.drop(f"bins-{rounds - 1}")
         rounds += 1
-    if left():
-        pointers = F.broadcast(
-            spark.createDataFrame(
-                [(size, first) for size, (first, n) in sizes.items() if n], "size int, first long"
-            )
-        )
-        rest = documents.join(pointers, "size").where("rank >= first").select("size", "id")
-        some = bins.orderBy(F.desc("gap"), "bin").limit(tail).select("gap", "bin") if bins else None
-        done = _best_fit(
-            [tuple(r) for r in rest.collect()],
-            [tuple(r) for r in some.collect()] if some else [],
-            capacity,
-            n_bins,
-        )
-        placed.append(spark.createDataFrame(list(done), schema))
     result = spark.createDataFrame([], schema)
     for part in placed:
         result = result.unionByName(part)
     return result
 
 
-def pack(
-    documents: DataFrame, path: str | None = None, capacity: int = 2048, tail: int = 5_000
-) -> DataFrame:
+def pack(documents: DataFrame, path: str | None = None, capacity: int = 2048) -> DataFrame:
     """Pieces of all documents with the place of each.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id and offset.
@@ -350,7 +310,7 @@ def pack(
         "pieces",
     )
     rest = pieces.where(F.col("length") < capacity).select("id", F.col("length").cast("int").alias("size"))
-    bins = best_fit_bins(rest, scratch, capacity, tail)
+    bins = best_fit_bins(rest, scratch, capacity)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     whole = pieces.where(F.col("length") == capacity).select(
         *columns, (-1 - F.col("id")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")

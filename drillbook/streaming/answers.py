@@ -56,7 +56,7 @@ NO_DATE = "__HIVE_DEFAULT_PARTITION__"
 
 
 def prepare_store(
-    spark: SparkSession, root: str, profiles: DataFrame | None = None, buckets: int = 16
+    spark: SparkSession, root: str, profiles: DataFrame | None = None, buckets: int = 8
 ) -> None:
     """Create the store, optionally starting from existing profiles. Run once.
 
