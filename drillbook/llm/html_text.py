@@ -22,6 +22,10 @@ CONTAINERS = frozenset(
     "body main article section div td blockquote center dd figure details aside nav header footer "
     "form fieldset dialog menu ul ol table".split()
 )
+#: Blocks that hold others, and blocks and inline elements that end with the next block.
+PARTS = frozenset("li pre tr th dt dl address figcaption summary caption".split())
+LINES = frozenset("p h1 h2 h3 h4 h5 h6".split())
+INLINE = frozenset("span a b i em strong small ins font label mark".split())
 BLOCKS = CONTAINERS | frozenset(
     "p h1 h2 h3 h4 h5 h6 li pre tr th dt dl hr address figcaption summary caption head html".split()
 )
@@ -31,8 +35,8 @@ DROPPED_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs toolbar pagination pager sidebar "
     "aside rail widget header masthead footer cookie cookies consent gdpr notice notices alert "
     "popup modal overlay newsletter subscribe subscription signup login search share sharing "
-    "social related recommended comment comments respond replies disqus complementary "
-    "contentinfo".split()
+    "social related recommended comment comments respond replies disqus thread threads discussion "
+    "complementary contentinfo".split()
 )
 #: Parts that a class on the list may have before and after its words.
 BEFORE = frozenset("site main page global top bottom left right primary secondary".split())
@@ -41,7 +45,14 @@ AFTER = DROPPED_WORDS | frozenset(
     "right section slot text unit wrap wrapper".split()
 )
 #: Talk may well be longer than its article.
-TALK_WORDS = frozenset("comment comments respond replies disqus social related".split())
+TALK_WORDS = frozenset(
+    "comment comments respond replies disqus social related thread threads discussion".split()
+)
+#: Parts that a class may have before such words.
+TALK_BEFORE = frozenset("user users reader readers post entry article story blog".split())
+#: Share of a page's useful text up to which other pages of the host decide on a part, and from
+#: which the only article or main element of a page speaks against the columns beside it.
+LEFT_SHARE, ARTICLE_SHARE = 0.1, 0.1
 #: Least shares of a page's text outside links by which a form or a container with a word of the
 #: list, or one of talk, counts as the page itself.
 PAGE_SHARE, TALK_SHARE = 0.5, 0.9
@@ -52,13 +63,15 @@ ATTRIBUTE = re.compile(
 )
 #: Share of the useful text that an inner container must hold to stand for the best one.
 NEARLY_ALL = 0.97
+#: Attributes whose values say nothing about the element.
+PLAIN = re.compile(r"\b(?:title|alt|href|src|content|name|data-[\w-]+)\s*=\s*(?:\"[^\"]*\"|'[^']*')", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*\"?true", re.I)
 
 
 def _unwanted(name: str) -> set[str]:
     """Words of the list that a class, id or role consists of, but for parts that say where or what."""
     parts = [part for part in re.split(r"[^a-z]+", name) if part]
-    if len(parts) > 1 and parts[0] in BEFORE:
+    if len(parts) > 1 and (parts[0] in BEFORE or (parts[0] in TALK_BEFORE and parts[1] in TALK_WORDS)):
         del parts[0]
     if parts and parts[0] in DROPPED_WORDS and AFTER.issuperset(parts):
         return DROPPED_WORDS.intersection(parts)
@@ -80,7 +93,7 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool, float]:
                 unwanted |= _unwanted(one)
             if name.lower() == "class":
                 classes = ".".join(sorted(set(re.sub(r"\d+", "#", value).split())))
-        if HIDDEN.search(attributes):
+        if HIDDEN.search(PLAIN.sub("", attributes)):
             return tag, True, 0
     if "header" in unwanted and words & ARTICLE_WORDS:
         unwanted = unwanted - {"header"}
@@ -99,26 +112,45 @@ def parsed(html: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int,
     around it; an article or main element ends whatever dropped part is open.
     A header inside an article belongs to it. A form, or a container dropped
     for a word, is kept if it is around an article or main element or holds
-    most of the page's text outside links, or if nothing were left.
+    most of the page's text outside links, or if nothing were left. Paragraphs,
+    list items and the like are containers if they have a word of the list;
+    inline elements with one are left out of their block, unless nothing else
+    were left. Of a page with one article or main element, columns beside it
+    are dropped.
     """
+    found = _parsed(html, True)
+    if not any(not block[2] for block in found[1]):
+        found = _parsed(html, False)
+    return found
+
+
+def _parsed(html: str, skip_inline: bool) -> tuple[list, list]:
     containers: list[list] = [["", 0, 0]]
     blocks: list[list] = []
     stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
     doubtful: dict[int, float] = {}
     pieces: list[str] = []
     link_chars, in_link, at = 0, False, 0
+    articles: list[int] = []
+    around: set[int] = set()
+    line_marks, skipped, depth_skipped = (False, 0.0), "", 0
 
     def close_block() -> None:
-        nonlocal link_chars
+        nonlocal link_chars, line_marks, skipped
+        dropped, share = line_marks
+        line_marks, skipped = (False, 0.0), ""
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                blocks.append([text, min(link_chars, len(text)), stack[-1][3]])
+                if share:
+                    containers.append([containers[stack[-1][1]][0] + ">line", len(blocks), len(blocks) + 1])
+                    doubtful[len(containers) - 1] = share
+                blocks.append([text, min(link_chars, len(text)), dropped or stack[-1][3]])
             pieces.clear()
             link_chars = 0
 
     for match in TOKEN.finditer(html):
-        if match.start() > at:
+        if match.start() > at and not skipped:
             piece = html[at : match.start()]
             piece = entities.unescape(piece) if "&" in piece else piece
             pieces.append(piece)
@@ -131,12 +163,30 @@ def parsed(html: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int,
         tag, closing = tag.lower(), match[2]
         if tag == "a":
             in_link = not closing
+        if tag in INLINE:
+            if skipped == tag:
+                depth_skipped += -1 if closing else 1
+                if not depth_skipped:
+                    skipped = ""
+            elif skip_inline and not skipped and not closing and match[4]:
+                _, dropped, share = _marks(tag, match[4])
+                if dropped or share:
+                    skipped, depth_skipped = tag, 1
         elif tag == "br":
             pieces.append(" ")
         elif tag in BLOCKS or tag == "button":
             close_block()
             in_link = False
-            if tag not in CONTAINERS and tag not in DROPPED:
+            if tag in LINES:
+                if not closing and match[4]:
+                    line_marks = _marks(tag, match[4])[1:]
+                continue
+            if tag in PARTS:
+                while not closing and stack[-1][0] == tag:  # the one before was not closed
+                    containers[stack.pop()[1]][2] = len(blocks)
+                if not closing and not any(_marks(tag, match[4])[1:]):
+                    continue
+            elif tag not in CONTAINERS and tag not in DROPPED:
                 continue
             if closing:
                 for depth in range(len(stack) - 1, 0, -1):
@@ -153,10 +203,13 @@ def parsed(html: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int,
                     containers[number][2] = len(blocks)
                     if doubtful.get(number) == PAGE_SHARE:
                         del doubtful[number]  # it is around the article
+                        around.add(number)
             if tag == "header" and any(name in ("article", "main") for name, *_ in stack):
                 dropped, share = False, 0
             path = f"{containers[stack[-1][1]][0]}>{step}"
             containers.append([path, len(blocks), -1])
+            if tag in ("article", "main"):
+                articles.append(len(containers) - 1)
             if share:
                 doubtful[len(containers) - 1] = share
             _, _, open_part, sure = stack[-1]
@@ -169,9 +222,31 @@ def parsed(html: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int,
         containers[number][2] = len(blocks)
     if doubtful:
         _drop_doubtful(doubtful, containers, blocks)
+    _drop_columns(articles, around, containers, blocks)
     return [tuple(container) for container in containers], [tuple(block) for block in blocks]
 
 
+def _drop_columns(articles: list[int], around: set[int], containers: list, blocks: list) -> None:
+    """Marks blocks of containers beside the only article, or else the only main element.
+
+    An element inside another one is not counted. What stands right in a
+    container around it, such as a title, stays.
+    """
+    spans = [tuple(containers[number][1:]) for number in articles]
+    outer = {a for a in spans if not any(b != a and b[0] <= a[0] and a[1] <= b[1] for b in spans)}
+    if len(outer) != 1:
+        return
+    (start, end), useful = outer.pop(), [0]
+    for text, link, dropped in blocks:
+        useful.append(useful[-1] + (0 if dropped else len(text) - link))
+    if useful[end] - useful[start] < max(1, ARTICLE_SHARE * useful[-1]):
+        return
+    for number, (_, first, last) in enumerate(containers):
+        if (last <= start or first >= end) and number not in around:
+            for at in range(first, last):
+                blocks[at][2] = True
+
+
 def _drop_doubtful(doubtful: dict[int, float], containers: list, blocks: list) -> None:
     """Marks blocks of containers {number: share} that hold at most that share of the page."""
     sums = [0]
@@ -247,7 +322,8 @@ def main_text(html: str, host_paths: list[str], left_out: list[str] | tuple = ()
     """Text of the page's best container and of all containers with a path of the host.
 
     Containers with a path that the host leaves out are not part of it, unless
-    they hold one of the host's paths or nothing else were left.
+    they hold one of the host's paths or more than a small share of the page's
+    useful text, or nothing else were left.
     """
     containers, blocks = parsed(html)
     kept = [at for at, block in enumerate(blocks) if not block[2]]
@@ -256,8 +332,10 @@ def main_text(html: str, host_paths: list[str], left_out: list[str] | tuple = ()
     wanted = agreed.union(range(start, end))
     beside: set[int] = set()
     if left_out:
+        useful = [0 if dropped else len(text) - link for text, link, dropped in blocks]
+        most = LEFT_SHARE * sum(useful)
         for path, first, last in containers:
-            if path in left_out and agreed.isdisjoint(range(first, last)):
+            if path in left_out and agreed.isdisjoint(range(first, last)) and sum(useful[first:last]) <= most:
                 beside.update(range(first, last))
     if any(at in wanted and at not in beside for at in kept):
         wanted -= beside

@@ -1,3 +1,5 @@
+from html.parser import HTMLParser
+
 import pytest
 
 from drillbook.llm import html_text as ht
@@ -40,6 +42,41 @@ def test_pages_alone(html, want):
     assert text(html) == want
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f"<article>{ARTICLE}<p class='notice'>We use cookies.</p><p>After it.</p></article>", WANT + "\nAfter it."),
+        (f"<article>{ARTICLE}<p>Before <span class='ad'>buy <span>this</span> now</span> and after.</p></article>", WANT + "\nBefore and after."),
+        (f"<article>{ARTICLE}<ul><li class='advert'><p>buy</p><li>real item</ul></article>", WANT + "\nreal item"),
+        (f"<article>{ARTICLE}<p><span class='ad'>never closed</p><p>After it.</p></article>", WANT + "\nAfter it."),
+        (f"<article>{ARTICLE}<h3 class='newsletter-signup'>Sign up</h3></article>", WANT),
+        (f"<article>{ARTICLE}<p title='the hidden truth' class='lead'>Kept.</p></article>", WANT + "\nKept."),
+        (f"<article>{ARTICLE}<p hidden>no</p><p>so <i style='display:none'>no</i>yes</p></article>", WANT + "\nso yes"),
+        ("<p class='notice'>all there is</p>", "all there is"),
+        ("<p><span class='ad'>all there is</span></p>", "all there is"),
+        (f"<div>{ARTICLE}</div><div class='user-comments'><p>nice one!</p></div>", WANT),
+        (f"<div>{ARTICLE}</div><div id='post-comments'><p>nice one!</p></div>", WANT),
+        (f"<div>{ARTICLE}<p class='post-title'>Kept.</p></div>", WANT + "\nKept."),
+        (f"<div><p>{'column ' * 90}</p></div><article>{ARTICLE}</article>", WANT),
+        (f"<body><div><p>{'column ' * 90}</p></div><main><h1>T</h1><article>{ARTICLE}</article></main></body>", "T\n" + WANT),
+        (f"<article>a</article><div>{ARTICLE}</div>", "a\n" + WANT),
+        (f"<article>{ARTICLE}</article><div><p>between</p></div><article><p>third</p></article>", WANT + "\nbetween\nthird"),
+    ],
+)
+def test_words_on_any_element(html, want):
+    """Notices, adverts and talk go whatever element holds them; the only article stands for its page."""
+    assert text(html) == want
+
+
+def test_a_host_leaves_out_small_parts_only(spark):
+    """Where a page's article is mostly in a part that others of its host leave out, it stays."""
+    page = "<div class=wrap><nav>" + "menu " * 30 + "</nav><div class=text><p>{}</p></div><div class=more><p>{}</p></div></div>"
+    pages = [(i, f"http://a.example/{i}", page.format("words " * 60, "see also")) for i in range(5)]
+    pages.append((9, "http://a.example/9", page.format("words " * 10, "more " * 76)))
+    found = {r["page_id"]: r["text"] for r in ht.extract_text(spark.createDataFrame(pages, PAGES)).collect()}
+    assert found[9] == ("words " * 10).strip() + "\n" + ("more " * 76).strip()
+
+
 LONG = f"<p>{'article ' * 125}</p>"
 
 
@@ -151,3 +188,55 @@ def test_awkward_rows(spark):
 
 def test_empty_table(spark):
     assert ht.extract_text(spark.createDataFrame([], PAGES)).count() == 0
+
+
+class Reader(HTMLParser):
+    """The whole tree, no voting: blocks of the article but for parts that are not its text."""
+
+    VOID = {"br", "img", "hr", "meta", "link", "input"}
+    NOT_TEXT = {"script", "style", "nav", "aside", "footer", "form", "button", "noscript", "template", "svg", "title"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks, self.now = [], [], []
+
+    def close_block(self):
+        text = " ".join("".join(self.now).split())
+        self.now = []
+        if text:
+            self.blocks.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.handle_data(" ")
+        if tag in ht.BLOCKS:
+            self.close_block()
+        if tag not in self.VOID:
+            words = {word for name, value in attrs if name in ("class", "id") for word in (value or "").split()}
+            self.open.append((tag, tag in self.NOT_TEXT or bool(words & {"ad", "comments", "sidebar", "menu"})))
+
+    def handle_endtag(self, tag):
+        if tag in ht.BLOCKS:
+            self.close_block()
+        if any(name == tag for name, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        inside = [name for name, _ in self.open]
+        if "article" in inside and not any(dropped for _, dropped in self.open):
+            self.now.append(data)
+
+
+def test_all_pages_against_a_plain_reading(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = {r["page_id"]: r["text"] for r in ht.extract_text(pages).collect()}
+    other = []
+    for row in pages.select("page_id", "html").collect():
+        reader = Reader()
+        reader.feed(row["html"] or "")
+        reader.close()
+        reader.close_block()
+        if "\n".join(reader.blocks) != found[row["page_id"]]:
+            other.append(row["page_id"])
+    assert len(found) == pages.count() and not other
