@@ -1,14 +1,16 @@
 """Near duplicates among vectors by product quantisation over inverted lists.
 
 The quantiser is fitted on a bounded sample; every vector is indexed and every
-vector is a query. Lists and candidates are cut by bounds that no link can
-break, so all links are found, and cosines are computed exactly in the end.
+vector is a query. A vector probes the lists nearest to it, or, in the exact
+mode, all that a bound allows; a link is found if either of its vectors probes
+the other's list, and counts on both. Candidates are cut by a bound that no link
+can break, and cosines are computed exactly in the end.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +28,10 @@ FIT_SAMPLE = 16_384
 LEAST_LISTS, MOST_LISTS = 8, 1_024
 #: Components of a subspace, codes a subspace, rounds of k-means.
 SUBSPACE, CODES, ROUNDS = 4, 256, 8
+#: Lists that a vector probes: so many, or a share of all if that is more.
+LEAST_PROBES, PROBE_SHARE = 16, 1 / 16
 #: Index vectors of a shard, queries of a block, queries compared at a time.
-SHARD, BLOCK, AT_ONCE = 4_096, 16_384, 256
+SHARD, BLOCK, AT_ONCE = 4_096, 16_384, 1_024
 #: Slack for rounding in the bounds.
 SLACK = 1e-9
 
@@ -75,9 +79,8 @@ class Quantiser:
         books = [k_means(residuals[:, at : at + SUBSPACE], CODES, 2 + at) for at in cuts]
         return cls(coarse, books)
 
-    def encode(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """List, codes and quantisation error of unit vectors."""
-        lists, _ = nearest_centroid(units, self.coarse)
+    def encode(self, units: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and quantisation error of unit vectors in their lists."""
         residuals = units - self.coarse[lists]
         codes = np.empty((len(units), len(self.books)), np.uint8)
         square_error = np.zeros(len(units))
@@ -85,10 +88,10 @@ class Quantiser:
             part = residuals[:, i * SUBSPACE : (i + 1) * SUBSPACE]
             codes[:, i], _ = nearest_centroid(part, book)
             square_error += ((part - book[codes[:, i]]) ** 2).sum(1)
-        return lists, codes, np.sqrt(square_error)
+        return codes, np.sqrt(square_error)
 
-    def probes(self, units: np.ndarray, radius: float) -> np.ndarray:
-        """[vector, list]: may a vector within `radius` be in the list?
+    def probes(self, units: np.ndarray, radius: float, most: int | None) -> list[np.ndarray]:
+        """Per vector, the lists that vectors within `radius` may be in, at most the `most` nearest.
 
         Such a vector lies on the list's side of the plane between the list's
         centroid and the vector's own, so that plane is within the radius.
@@ -96,7 +99,11 @@ class Quantiser:
         own, distances = nearest_centroid(units, self.coarse)
         between = np.sqrt(square_distances(self.coarse, self.coarse))[own]
         least = distances[np.arange(len(units)), own][:, None]
-        return distances - least <= 2 * between * radius + SLACK
+        may = distances - least <= 2 * between * radius + SLACK
+        if most is not None and most < len(self.coarse):
+            far = np.argpartition(distances, most - 1, axis=1)[:, most:]
+            np.put_along_axis(may, far, False, axis=1)
+        return [np.nonzero(row)[0].astype(np.int32) for row in may]
 
     def offsets(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Per indexed vector, what its distance to a query has besides the query's tables."""
@@ -107,76 +114,129 @@ class Quantiser:
             out += (word**2).sum(1) + 2 * (word * centre).sum(1)
         return out
 
+    def tables(self, units: np.ndarray) -> list[np.ndarray]:
+        """Per subspace [query, code], what a code adds to the square distance."""
+        cuts = range(0, units.shape[1], SUBSPACE)
+        return [
+            -2 * (units[:, at : at + SUBSPACE] @ book.T) for at, book in zip(cuts, self.books)
+        ]
+
     def square_table_distances(
-        self, units: np.ndarray, lists: np.ndarray, codes: np.ndarray, offsets: np.ndarray
+        self,
+        units: np.ndarray,
+        tables: list[np.ndarray],
+        lists: np.ndarray,
+        codes: np.ndarray,
+        offsets: np.ndarray,
     ) -> np.ndarray:
         """[query, indexed vector]: asymmetric distances by table look-ups."""
-        out = square_distances(units, self.coarse)[:, lists] + offsets
-        for i, book in enumerate(self.books):
-            table = -2 * (units[:, i * SUBSPACE : (i + 1) * SUBSPACE] @ book.T)
+        met, number = np.unique(lists, return_inverse=True)
+        out = square_distances(units, self.coarse[met])[:, number] + offsets
+        for i, table in enumerate(tables):
             out += table[:, codes[:, i]]
         return out
 
 
+@dataclass
+class Vectors:
+    """Unit vectors of a task with their class, copies, own list and the lists they probe."""
+
+    ids: np.ndarray
+    copies: np.ndarray
+    lists: np.ndarray
+    units: np.ndarray
+    probed: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pd.DataFrame, n_lists: int) -> Vectors:
+        probed = np.zeros((len(rows), n_lists), bool)
+        lengths = [len(lists) for lists in rows["probes"]]
+        probed[np.repeat(np.arange(len(rows)), lengths), np.concatenate(list(rows["probes"]))] = True
+        return cls(
+            rows["class"].to_numpy(),
+            rows["copies"].to_numpy().astype(np.int64),
+            rows["list"].to_numpy(),
+            _matrix(rows["unit"]),
+            probed,
+        )
+
+
 class Tile:
     """Links between the queries of a block and the vectors of a shard."""
 
     def __init__(self, model: Quantiser, least_cosine: float, shard: pd.DataFrame):
         self.model, self.least = model, least_cosine
         self.radius = math.sqrt(2 - 2 * least_cosine)
-        self.ids = shard["class"].to_numpy()
-        self.copies = shard["copies"].to_numpy().astype(np.int64)
-        self.units = _matrix(shard["unit"])
-        self.lists, self.codes, self.errors = model.encode(self.units)
-        self.offsets = model.offsets(self.lists, self.codes)
-        self.label = np.arange(len(self.ids))
-
-    def links(self, ids: np.ndarray, units: np.ndarray) -> np.ndarray:
-        """[query, indexed vector], exact."""
-        wanted = self.model.probes(units, self.radius)[:, self.lists]
-        if wanted.any():
-            distances = self.model.square_table_distances(
-                units, self.lists, self.codes, self.offsets
-            )
-            wanted &= distances <= (self.radius + self.errors) ** 2 + SLACK
-        wanted &= ids[:, None] != self.ids
+        self.index = index = Vectors.of(shard.sort_values("list", kind="stable"), len(model.coarse))
+        self.codes, self.errors = model.encode(index.units, index.lists)
+        self.offsets = model.offsets(index.lists, self.codes)
+        self.label = np.arange(len(index.ids))
+
+    def links(self, ids, units, tables, own: slice) -> np.ndarray:
+        """[query, vector of one list], exact."""
+        index = self.index
+        wanted = self.model.square_table_distances(
+            units, tables, index.lists[own], self.codes[own], self.offsets[own]
+        ) <= (self.radius + self.errors[own]) ** 2 + SLACK
+        wanted &= ids[:, None] != index.ids[own]
         rows, columns = np.nonzero(wanted)
-        if len(rows) > wanted.size // 20:
-            return wanted & (units @ self.units.T >= self.least)
-        exact = np.einsum("ij,ij->i", units[rows], self.units[columns]) >= self.least
+        exact = np.empty(len(rows), bool)
+        for at in range(0, len(rows), SHARD * 16):
+            some = slice(at, at + SHARD * 16)
+            exact[some] = (
+                np.einsum("ij,ij->i", units[rows[some]], index.units[own][columns[some]]) >= self.least
+            )
         linked = np.zeros_like(wanted)
         linked[rows[exact], columns[exact]] = True
         return linked
 
-    def results(self, ids: np.ndarray, units: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def results(self, asked: Vectors) -> Iterator[tuple[int, int, int]]:
         """(class, linked vectors, tied to class): edges that keep what links connect.
 
-        Labels spread to the smallest linked vector of the shard; an edge is
+        Labels spread to the smallest linked vector of the list; an edge is
         given for every query and for every change of a label, not for every
-        link.
+        link. A link whose other vector does not probe the query's list counts
+        there too.
         """
-        for at in range(0, len(ids), AT_ONCE):
-            some = ids[at : at + AT_ONCE]
-            linked = self.links(some, units[at : at + AT_ONCE])
-            rows, columns = np.nonzero(linked.any(1))[0], np.nonzero(linked.any(0))[0]
-            if not len(rows):
-                continue
-            inside = linked[np.ix_(rows, columns)]
-            counts = inside @ self.copies[columns]
-            before, far = self.label[columns], len(self.ids)
-            label = before.copy()
-            while True:
-                own = np.where(inside, label, far).min(1)
-                new = np.minimum(label, np.where(inside, own[:, None], far).min(0))
-                if (new == label).all():
-                    break
-                label = new
-            self.label[columns] = label
-            for row, count, tie in zip(rows, counts, own):
-                yield int(some[row]), int(count), int(self.ids[tie])
-            for old, new in set(zip(before.tolist(), label.tolist())):
-                if old != new:
-                    yield int(self.ids[old]), 0, int(self.ids[new])
+        index = self.index
+        names, first = np.unique(index.lists, return_index=True)
+        ends = [*first[1:], len(index.ids)]
+        for at in range(0, len(asked.ids), AT_ONCE):
+            some = slice(at, at + AT_ONCE)
+            tables = self.model.tables(asked.units[some])
+            for name, start, end in zip(names, first, ends):
+                at_list = np.nonzero(asked.probed[some, name])[0]
+                own = slice(int(start), int(end))
+                if len(at_list):
+                    yield from self._of_list(asked, at + at_list, [t[at_list] for t in tables], own)
+
+    def _of_list(self, asked: Vectors, which: np.ndarray, tables, own: slice):
+        index = self.index
+        linked = self.links(asked.ids[which], asked.units[which], tables, own)
+        rows, columns = np.nonzero(linked.any(1))[0], np.nonzero(linked.any(0))[0]
+        if not len(rows):
+            return
+        inside, which, columns = linked[np.ix_(rows, columns)], which[rows], columns + own.start
+        counts = inside @ index.copies[columns]
+        one_sided = inside & ~index.probed[np.ix_(columns, asked.lists[which])].T
+        back = asked.copies[which] @ one_sided
+        before, far = self.label[columns], len(index.ids)
+        label = before.copy()
+        while True:
+            least = np.where(inside, label, far).min(1)
+            new = np.minimum(label, np.where(inside, least[:, None], far).min(0))
+            if (new == label).all():
+                break
+            label = new
+        self.label[columns] = label
+        for row, count, tie in zip(which, counts, least):
+            yield int(asked.ids[row]), int(count), int(index.ids[tie])
+        for column in np.nonzero(back)[0]:
+            own_id = int(index.ids[columns[column]])
+            yield own_id, int(back[column]), own_id
+        for old, new in set(zip(before.tolist(), label.tolist())):
+            if old != new:
+                yield int(index.ids[old]), 0, int(index.ids[new])
 
 
 def _matrix(column) -> np.ndarray:
@@ -217,8 +277,11 @@ def _fitted(classes: DataFrame) -> dict[int, Quantiser]:
     return models
 
 
-def _indexed(classes: DataFrame, models: dict[int, Quantiser]) -> DataFrame:
-    """Adds dims, list and the unit vector as bytes."""
+def _indexed(
+    classes: DataFrame, models: dict[int, Quantiser], radius: float, most: Callable[[int], int | None]
+) -> DataFrame:
+    """Adds dims, list, the lists to probe (`most` of so many) and the unit vector as bytes."""
+    n_probes = {dims: most(len(model.coarse)) for dims, model in models.items()}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,9 +290,13 @@ def _indexed(classes: DataFrame, models: dict[int, Quantiser]) -> DataFrame:
             units = [unit / np.linalg.norm(unit) for unit in units]
             lists = np.zeros(len(units), np.int32)
             dims = np.array([len(unit) for unit in units], np.int32)
+            probes: list = [None] * len(units)
             for size in set(dims.tolist()):
-                at = np.nonzero(dims == size)[0]
-                lists[at] = models[size].encode(np.stack([units[i] for i in at]))[0]
+                at, model = np.nonzero(dims == size)[0], models[size]
+                some = np.stack([units[i] for i in at])
+                lists[at] = nearest_centroid(some, model.coarse)[0]
+                for i, found in zip(at, model.probes(some, radius, n_probes[size])):
+                    probes[i] = found
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("class"),
@@ -237,12 +304,13 @@ def _indexed(classes: DataFrame, models: dict[int, Quantiser]) -> DataFrame:
                     batch.column("copies"),
                     pa.array(dims),
                     pa.array(lists),
+                    pa.array(probes, pa.list_(pa.int32())),
                     pa.array([unit.tobytes() for unit in units], pa.binary()),
                 ],
-                names=["class", "label", "copies", "dims", "list", "unit"],
+                names=["class", "label", "copies", "dims", "list", "probes", "unit"],
             )
 
-    schema = "class long, label long, copies long, dims int, list int, unit binary"
+    schema = "class long, label long, copies long, dims int, list int, probes array<int>, unit binary"
     return classes.select("class", "label", "copies", "embedding").mapInArrow(work, schema)
 
 
@@ -275,7 +343,7 @@ def _sharded(index: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     return shards, ranges
 
 
-def _queries(index: DataFrame, ranges: DataFrame, models: dict, radius: float) -> DataFrame:
+def _queries(index: DataFrame, ranges: DataFrame) -> DataFrame:
     """A row per query and shard that holds a list it must probe."""
     group = ["label", "dims"]
     blocks = ranges.groupBy(*group).agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
@@ -287,29 +355,40 @@ def _queries(index: DataFrame, ranges: DataFrame, models: dict, radius: float) -
     )
 
     def work(key, asked: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
-        probes = models[int(key[1])].probes(_matrix(asked["unit"]), radius)
-        held = np.zeros((len(lists), int(lists["last"].max()) + 1), bool)
-        for row, (first, last) in enumerate(zip(lists["first"], lists["last"])):
-            held[row, first : last + 1] = True
-        wanted = probes[:, lists["list"].to_numpy()].astype(np.float32) @ held.astype(np.float32)
-        at, shard = np.nonzero(wanted)
-        return asked[["class", "label", "dims", "unit"]].iloc[at].assign(shard=shard)
-
-    keys = [*group, "block"]
+        n_lists = 1 + max(int(lists["list"].max()), max(int(max(p)) for p in asked["probes"]))
+        held = np.zeros((n_lists, int(lists["last"].max()) + 1), np.float32)
+        for name, first, last in zip(lists["list"], lists["first"], lists["last"]):
+            held[name, first : last + 1] = 1
+        probed = Vectors.of(asked, n_lists).probed
+        at, shard = np.nonzero(probed.astype(np.float32) @ held)
+        return asked[["label", "dims", *columns]].iloc[at].assign(shard=shard)
+
+    keys, columns = [*group, "block"], ["class", "copies", "list", "probes", "unit"]
     return (
-        dealt.select(*keys, "class", "unit")
+        dealt.select(*keys, *columns)
         .groupBy(*keys)
         .cogroup(copied.select(*keys, "list", "first", "last").groupBy(*keys))
-        .applyInPandas(work, "class long, label long, dims int, unit binary, shard long")
+        .applyInPandas(
+            work,
+            "label long, dims int, class long, copies long, list int, probes array<int>, unit binary, shard long",
+        )
     )
 
 
-def near_vectors(embeddings: DataFrame, least_cosine: float = 0.93) -> DataFrame:
+def near_vectors(
+    embeddings: DataFrame,
+    least_cosine: float = 0.93,
+    least_probes: int = LEAST_PROBES,
+    probe_share: float = PROBE_SHARE,
+    exact: bool = False,
+) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of `embeddings`.
 
     Two vectors are linked if their labels are equal and not null, they have as
     many components and their cosine in double precision is at least
-    `least_cosine`. Vectors that are null, zero or hold null or non-finite
+    `least_cosine`. A pair is looked at if one of the two probes the other's
+    list: the `least_probes` nearest lists, or `probe_share` of all lists if that is
+    more; with `exact` every list that a link may reach. Vectors that are null, zero or hold null or non-finite
     components have no links. n_links counts other rows linked directly;
     component_id is the smallest vec_id reachable by links; kept says whether
     it is the row's own. Every row is a vector, also one that repeats a vec_id;
@@ -329,10 +408,14 @@ def near_vectors(embeddings: DataFrame, least_cosine: float = 0.93) -> DataFrame
     )
     models = _fitted(classes)
     radius = math.sqrt(2 - 2 * least_cosine)
-    index = scratch.write(_indexed(classes, models), "index")
+
+    def most(n_lists: int) -> int | None:
+        return None if exact else max(least_probes, math.ceil(probe_share * n_lists))
+
+    index = scratch.write(_indexed(classes, models, radius, most), "index")
     shards, ranges = _sharded(index, index.count())
     ranges = scratch.write(ranges, "ranges")
-    queries = scratch.write(_queries(index, ranges, models, radius), "queries")
+    queries = scratch.write(_queries(index, ranges), "queries")
     tile = ["label", "dims", "shard"]
     blocks = queries.groupBy(*tile).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     dealt = queries.join(blocks, tile).withColumn(
@@ -345,15 +428,15 @@ def near_vectors(embeddings: DataFrame, least_cosine: float = 0.93) -> DataFrame
     def search(key, asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(shard):
             return pd.DataFrame({"class": [], "links": [], "tie": []}, dtype="int64")
-        found = Tile(models[int(key[1])], least_cosine, shard)
-        made = list(found.results(asked["class"].to_numpy(), _matrix(asked["unit"])))
+        model = models[int(key[1])]
+        made = list(Tile(model, least_cosine, shard).results(Vectors.of(asked, len(model.coarse))))
         return pd.DataFrame(made, columns=["class", "links", "tie"], dtype="int64")
 
-    keys = [*tile, "block"]
+    keys, columns = [*tile, "block"], ["class", "copies", "list", "probes", "unit"]
     found = scratch.write(
-        dealt.select(*keys, "class", "unit")
+        dealt.select(*keys, *columns)
         .groupBy(*keys)
-        .cogroup(copied.select(*keys, "class", "copies", "unit").groupBy(*keys))
+        .cogroup(copied.select(*keys, *columns).groupBy(*keys))
         .applyInPandas(search, "class long, links long, tie long"),
         "found",
     )
