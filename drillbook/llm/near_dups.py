@@ -32,6 +32,8 @@ COORDINATES = BANDS * BAND_ROWS
 FINEST = 11
 #: Texts of a block; a task compares two blocks. Units counted at a time.
 BLOCK, UNITS_AT_ONCE = 128, 8_192
+#: Rows of a cell that a numbering window holds, about; runs of components in a cell.
+RANKED_ROWS, COMPONENT_RUNS = 4_000, 16
 
 _U = np.uint64
 
@@ -263,14 +265,37 @@ def _cells(mixed: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
     )
 
 
-def _pairwise(cells: DataFrame) -> DataFrame:
+def _in_blocks(cells: DataFrame, n_rows: int) -> DataFrame:
+    """Adds `block`: the rows of a cell numbered by component, BLOCK at a time.
+
+    Numbers count within runs of a cell, which are dealt by hashes of component
+    and key, and go on from the sizes of the runs before; so no window holds a
+    large cell, or a large component of one.
+    """
+    pieces = min(256, max(8, n_rows // RANKED_ROWS))
+    run = F.struct(
+        F.pmod(F.xxhash64("component"), F.lit(COMPONENT_RUNS)).alias("of_component"),
+        F.pmod(F.xxhash64("key"), F.lit(pieces)).alias("of_key"),
+    )
+    dealt = cells.withColumn("run", run)
+    counts = dealt.groupBy("cell", "run").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("cell").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("cell", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("cell", "run").orderBy("component", "key")) - 1
+    return (
+        dealt.withColumn("inside", inside)
+        .join(starts, ["cell", "run"])
+        .select(*cells.columns, F.floor((F.col("start") + F.col("inside")) / BLOCK).alias("block"))
+    )
+
+
+def _pairwise(cells: DataFrame, n_rows: int) -> DataFrame:
     """Tiles of every two blocks of a cell, but for those within one component.
 
-    Rows are ordered by component, so that most blocks of a large component
-    hold nothing else and need not meet.
+    Rows are mostly ordered by component, so that most blocks of a large
+    component hold nothing else and need not meet.
     """
-    place = Window.partitionBy("cell").orderBy("component", "key")
-    placed = cells.withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK))
+    placed = _in_blocks(cells, n_rows)
     blocks = (
         placed.groupBy("cell", "block")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -336,9 +361,8 @@ def near_classes(documents: DataFrame, least: float = 0.8) -> DataFrame:
         F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    texts = scratch.write(
-        texts.join(keys, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")), "texts"
-    )
+    once = texts.groupBy("key").agg(F.min("text").alias("text"))
+    texts = scratch.write(once.join(keys, "key", "left_semi"), "texts")
     links = scratch.write(_compared(_stars(members), texts, least), "links")
     tied = scratch.write(components(links, scratch, "stars"), "star_classes")
     classed = members.join(tied.withColumnRenamed("node", "key"), "key", "left").withColumn(
@@ -357,7 +381,7 @@ def near_classes(documents: DataFrame, least: float = 0.8) -> DataFrame:
         stars = mixed.select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
         groups = components(stars, scratch, "groups").withColumnRenamed("component", "group")
         cells = scratch.write(_cells(mixed.drop("hub"), groups, scratch), "cells")
-        more = scratch.write(_compared(_pairwise(cells), texts, least), "more_links")
+        more = scratch.write(_compared(_pairwise(cells, cells.count()), texts, least), "more_links")
         edges = tied.select(F.col("node").alias("a"), F.col("component").alias("b"))
         tied = scratch.write(components(edges.unionByName(more), scratch, "all"), "all_classes")
     classes = signed.select("doc_id", "key").join(
