@@ -16,8 +16,9 @@ from .shared import importable
 
 #: Words of a shingle, and shingle hashes that a sketch keeps.
 SHINGLE_WORDS, SKETCH_SIZE = 5, 128
-#: Words whose hashes a worker keeps; it starts anew when they are so many.
-MEMORY = 300_000
+#: Words whose hashes a worker keeps, and the length up to which it does; it starts anew when
+#: they are so many, so it keeps some 80 MB at most.
+MEMORY, KEPT_LENGTH = 300_000, 100
 _word_hashes: dict[str, int] = {}
 
 
@@ -42,9 +43,14 @@ def shingle_hashes(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
     except KeyError:
         if len(_word_hashes) > MEMORY:
             _word_hashes.clear()
+        long_words = []
         for word in set(words).difference(_word_hashes):
             _word_hashes[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+            if len(word) > KEPT_LENGTH:
+                long_words.append(word)
         hashes = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+        for word in long_words:
+            del _word_hashes[word]
     size = min(size, len(words))
     n = len(words) - size + 1
     combined = np.full(n, size, np.uint64)

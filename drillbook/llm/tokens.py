@@ -15,8 +15,9 @@ from .shared import map_slices
 #: unknown character below the lowest score, and the mark of a word start.
 UNKNOWN_PENALTY = 10.0
 MARK = "▁"
-#: Counts of words kept by a worker; it starts anew when they are so many.
-MEMORY = 500_000
+#: Counts of words kept by a worker, and the length up to which it does; it starts anew when
+#: they are so many, so it keeps some 120 MB at most.
+MEMORY, KEPT_LENGTH = 500_000, 100
 
 
 def unigram_vocabulary(path: str) -> list[tuple[str, float]]:
@@ -103,9 +104,11 @@ def count_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
             for piece in pieces if text else ():
                 n = known.get(piece)
                 if n is None:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    n = known[piece] = counter.count(MARK + piece)
+                    n = counter.count(MARK + piece)
+                    if len(piece) <= KEPT_LENGTH:
+                        if len(known) >= MEMORY:
+                            known.clear()
+                        known[piece] = n
                 total += n
             counts.append(total)
         return {"doc_id": columns["doc_id"], "n_tokens": counts}

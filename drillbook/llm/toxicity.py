@@ -21,12 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fingerprints import sketch
-from .shared import SLICE_ROWS, importable, map_slices
+from .shared import SLICE_BYTES, SLICE_ROWS, importable, map_slices
 
 WORD = re.compile(r"[^\W_]+")
 SENTENCE_END = re.compile(r"[.!?\n]")
 #: A chain is a sentence, or as many words of a longer one.
 CHAIN_WORDS = 64
+#: Words whose evidence a worker keeps, and the length up to which it does.
+MEMORY, KEPT_LENGTH = 200_000, 100
 #: Labelled documents that the model is fitted on, at most, of either label.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 1_200, 3_000
 #: A feature is weighed if its rate in toxic documents is e ** LEANING times that
@@ -136,11 +138,14 @@ def _scored(model: Field, texts: list[str], known: dict) -> list[tuple[list, lis
     """Per text the spans of its weighed chains' tokens and their marginals."""
 
     def emission(word: str) -> float | None:
-        if word not in known:
-            if len(known) > 200_000:
+        if word in known:
+            return known[word]
+        value = model.emission(word)
+        if len(word) <= KEPT_LENGTH:
+            if len(known) >= MEMORY:
                 known.clear()
-            known[word] = model.emission(word)
-        return known[word]
+            known[word] = value
+        return value
 
     owners, spans, rows = [], [], []
     for at, text in enumerate(texts):
@@ -335,8 +340,10 @@ def drop_toxic(documents: DataFrame, model: Field, threshold: float = THRESHOLD)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for start in range(0, part.num_rows, SLICE_ROWS):
-                piece = part.slice(start, SLICE_ROWS)
+            share = SLICE_BYTES / max(1, part.nbytes)
+            step = max(1, min(SLICE_ROWS, int(part.num_rows * share)))
+            for start in range(0, part.num_rows, step):
+                piece = part.slice(start, step)
                 texts = [text or "" for text in piece.column(at).to_pylist()]
                 evidence = np.array([_evidence(p) for _, p in _scored(model, texts, known)])
                 scores = 1 / (1 + np.exp(-np.clip(evidence @ model.scoring, -30, 30)))

@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from drillbook.llm import tokens
+from drillbook.llm import fingerprints, tokens, toxicity
 from tests.llm.frames import awkward, documents, with_clashing
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -55,3 +55,18 @@ def test_whole_texts(spark, reference):
 
 def test_empty_table(spark):
     assert tokens.count_tokens(documents(spark, [])).count() == 0
+
+
+def test_workers_keep_no_long_words():
+    """Texts without blanks: a word may be a whole text, so caches bounded by words alone would not be."""
+    rng = random.Random(8)
+    before = len(fingerprints._word_hashes)
+    known = {}
+    counter = tokens._counter(public_tokenizers.path("piece_bpe_32k.model"))[1]
+    field = toxicity.Field(weights={"bad": 1.0})
+    for _ in range(50):
+        text = "".join(rng.choice("abcdef") for _ in range(20_000)) + " short"
+        fingerprints.shingle_hashes(text)
+        toxicity._scored(field, [text], known)
+    assert len(fingerprints._word_hashes) <= before + 1
+    assert set(known) == {"short"} and not any(len(word) > 100 for word in counter)
