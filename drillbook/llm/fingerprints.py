@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -19,6 +21,8 @@ SHINGLE_WORDS, SKETCH_SIZE = 5, 128
 #: Words whose hashes a worker keeps, and the length up to which it does; it starts anew when
 #: they are so many, so it keeps some 80 MB at most.
 MEMORY, KEPT_LENGTH = 300_000, 100
+#: Bytes of text in a part, about.
+PART_BYTES = 32_000_000
 _word_hashes: dict[str, int] = {}
 
 
@@ -134,44 +138,51 @@ def edited_text(text: str, following: str) -> str:
 
 _SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
-    "edited_fingerprint string, near_edited double, near_next double"
+    "edited_fingerprint string, near_edited double, near_next double, "
+    "n_shingles double, containment_next double"
 )
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
     """(part, guest, doc_id, text) in ascending order of doc_id within each part.
 
-    Parts are ranges of doc_id between quantiles, so each is of bounded size
-    and known without a shuffle. The first document of the next part comes
-    along as a guest, that of the first part to the last one; so every row's
-    successor is in its partition and texts are shuffled once.
+    Parts are ranges of doc_id between quantiles, as many as texts of PART_BYTES
+    make, so each is of bounded size and known without a shuffle; a part is a
+    partition. The first document of the next part comes along as a guest, that
+    of the first part to the last one; so every row's successor is in its
+    partition and texts are shuffled once.
     """
-    spark = rows.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = max(n_parts, math.ceil(n_bytes / PART_BYTES))
     shares = [i / n_parts for i in range(1, n_parts)]
-    bounds = sorted(set(rows.approxQuantile("doc_id", shares, 0.001))) if shares else []
-    part = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(
-        F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("doc_id")))
-        if bounds
-        else F.lit(0)
-    )
+    found = rows.approxQuantile("doc_id", shares, min(0.001, 0.2 / n_parts)) if shares else []
+    bounds = np.array(sorted(set(found)), np.float64)
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.float64), side="right"))
+
+    part = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(place("doc_id"))
     parted = rows.select(part.alias("part"), F.lit(False).alias("guest"), "doc_id", "text")
-    heads = parted.groupBy("part").agg(F.min("doc_id").alias("doc_id")).orderBy("part").collect()
-    if not heads:
-        return parted
-    first_ids = [head["doc_id"] for head in heads if head["doc_id"] is not None]
-    parts = [head["part"] for head in heads]
-    goes_to = dict(zip(parts, parts[-1:] + parts[:-1]))
-    target = F.create_map(*[F.lit(value) for pair in goes_to.items() for value in pair])
+    order = Window.orderBy("part")  # over one row per part
+    last = F.max("part").over(Window.partitionBy())
+    heads = (
+        parted.groupBy(F.col("part").alias("of"))
+        .agg(F.min("doc_id").alias("head"))
+        .withColumn("part", F.col("of"))
+        .select("of", "head", F.coalesce(F.lag("part").over(order), last).alias("target"))
+    )
+    is_head = (F.col("part") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head"))
     guests = (
-        parted.where(F.col("doc_id").isin(first_ids) | F.col("doc_id").isNull())
-        .groupBy("part", "doc_id")
+        parted.join(F.broadcast(heads), is_head)
+        .groupBy(F.col("target").alias("part"), "doc_id")
         .agg(F.min("text").alias("text"))
-        .select(target[F.col("part")].alias("part"), F.lit(True).alias("guest"), "doc_id", "text")
+        .select("part", F.lit(True).alias("guest"), "doc_id", "text")
     )
     return (
         parted.unionByName(guests)
-        .repartition(n_parts, "part")
+        .repartitionById(len(bounds) + 2, F.col("part"))
         .sortWithinPartitions("part", "guest", F.asc_nulls_last("doc_id"), "text")
     )
 
@@ -185,12 +196,14 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     next document is the one with the next doc_id; after the last comes the
     first, so a lone document follows itself. Null texts count as empty; rows
     that repeat a doc_id follow each other by text; rows without one come last,
-    by text. No rows give no rows; other columns are not read.
+    by text, in one part. No rows give no rows; other columns are not read.
+    Besides, n_shingles and containment_next estimate the number of distinct
+    shingles and the share of them that the next document has.
     """
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     importable(rows.sparkSession)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"]
-    names += ["near_edited", "near_next"]
+    names += ["near_edited", "near_next", "n_shingles", "containment_next"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
@@ -206,6 +219,7 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
                     digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
                     values = (id_, len(old), digest, encoded(old_sketch), encoded(new_sketch))
                     values += (resemblance(old_sketch, new_sketch), resemblance(old_sketch, own))
+                    values += (distinct_shingles(old_sketch), containment(old_sketch, own))
                     for name, value in zip(names, values):
                         made[name].append(value)
                 before = None if guest.as_py() else (doc_id.as_py(), text, own)

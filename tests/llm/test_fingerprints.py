@@ -72,12 +72,26 @@ def test_successors_and_edits(spark, conf, partitions):
                 fp.encoded(new),
                 fp.resemblance(own, new),
                 fp.resemblance(own, following),
+                fp.distinct_shingles(own),
+                fp.containment(own, following),
             )
         )
     assert sorted(tuple(r)[1:] for r in found) == sorted(want)
     assert sorted((r["doc_id"] or -1) for r in found) == sorted((i or -1) for i, _, _ in rows)
 
 
+def test_parts_are_partitions_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(fp, "PART_BYTES", 50_000)
+    rng = random.Random(9)
+    rows = [(i * 7 % 1000, sentence(rng, 100), "s") for i in range(1000)]
+    parted = fp._in_order(documents(spark, rows).select("doc_id", "text"))
+    sizes = [
+        sum(len(text) for guest, text in found if not guest)
+        for found in parted.rdd.map(lambda r: (r["guest"], r["text"])).glom().collect()
+    ]
+    assert len([size for size in sizes if size]) >= 9 and max(sizes) < 100_000
+
+
 def test_one_document_follows_itself(spark):
     row = fp.fingerprint_documents(documents(spark, [(5, "abcdefgh", "s")])).first()
     assert row["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
