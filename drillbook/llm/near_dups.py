@@ -388,7 +388,7 @@ def near_classes(documents: DataFrame, least: float = 0.8) -> DataFrame:
         tied.withColumnRenamed("node", "key"), "key", "left"
     ).withColumn("component", F.coalesce("component", "key"))
     named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
-    heads = classes.groupBy("component").agg(F.min(named).alias("head"))
+    heads = scratch.write(classes.groupBy("component").agg(F.min(named).alias("head")), "heads")
     return classes.join(heads, "component").select(
         "doc_id",
         "key",
