@@ -25,7 +25,7 @@ from .shared import Scratch, map_slices
 
 #: Bytes of word parts and their ids that a worker keeps, about, what a part
 #: takes besides its ids, and the length from which a part is not kept.
-KEPT_BYTES, PART_BYTES, LONG_PART = 160_000_000, 200, 100
+KEPT_BYTES, PART_BYTES, LONG_PART = 128_000_000, 200, 100
 #: Bytes of text that a worker takes at a time.
 TEXT_BYTES = 4_000_000
 #: Rows of one size that a ranking window may hold on average.
