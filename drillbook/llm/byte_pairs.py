@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .shared import map_slices
+from .shared import hold, map_slices
 
 #: Bytes up to which pieces share an array of trees, and pieces in one array.
 SHORT, TREES = 64, 4096
@@ -240,6 +240,7 @@ def encode_documents(documents: DataFrame, path: str | None = None, pattern: str
     path, pattern = _vocabulary(path, pattern)
 
     def work(columns: dict[str, list]) -> dict[str, list]:
+        hold(_coder.cache_clear)
         made = _coder(path, pattern).encode([text or "" for text in columns["text"]])
         ends = np.cumsum([0, *[len(ids) // 4 for ids in made]]).astype(np.int32)
         ids = pa.array(np.frombuffer(b"".join(made), "<i4"))
@@ -258,6 +259,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
         ids = columns["ids"]
         lengths = ids.value_lengths().fill_null(0).to_numpy()
         flat = ids.flatten().fill_null(-1).to_numpy()
+        hold(_coder.cache_clear)
         spelled, ends = _coder(path, pattern).decode(flat)
         ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int32)
         buffers = [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(spelled.tobytes())]

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import importable
+from .shared import hold, importable
 
 #: Words of a shingle, and shingle hashes that a sketch keeps.
 SHINGLE_WORDS, SKETCH_SIZE = 5, 128
@@ -45,6 +45,7 @@ def shingle_hashes(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
     try:
         hashes = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
     except KeyError:
+        hold(_word_hashes.clear)
         if len(_word_hashes) > MEMORY:
             _word_hashes.clear()
         long_words = []

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .shared import Scratch, map_slices
+from .shared import Scratch, hold, map_slices
 
 #: Bytes of word parts and their ids that a worker keeps, about, what a part
 #: takes besides its ids, and the length from which a part is not kept.
@@ -140,6 +140,7 @@ def token_pieces(documents: DataFrame, path: str | None = None, capacity: int =
 
     def work(columns: dict[str, list]) -> dict[str, list]:
         made = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32")}
+        hold(_word_ids.cache_clear)
         ids = _word_ids(path).many([text or "" for text in columns["text"]])
         for doc_id, some in zip(columns["doc_id"], ids):
             some += b"\0\0\0\0"

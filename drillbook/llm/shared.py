@@ -80,6 +80,23 @@ def unpacked(rows: DataFrame, like: DataFrame, **changed: Column) -> DataFrame:
     return rows.select(*kept, *(column.alias(name) for name, column in changed.items()))
 
 
+_held: list[Callable[[], object]] = []
+
+
+def hold(free: Callable[[], object] | None = None) -> None:
+    """A worker remembers for one operator at a time.
+
+    Workers outlive stages, so what one operator keeps between tasks would
+    stand beside the next one's. `free` lets go of what the caller keeps, and
+    is called as soon as another one holds something, or None, nothing.
+    """
+    if _held and _held[0] != free:
+        _held.pop()()
+        pa.default_memory_pool().release_unused()
+    if free and not _held:
+        _held.append(free)
+
+
 def words(text: Column) -> Column:
     """Number of runs of characters that are not ASCII white space; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -9,7 +9,7 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .shared import map_slices
+from .shared import hold, map_slices
 
 #: Fixed values of the tokenizers library's unigram model: the penalty of an
 #: unknown character below the lowest score, and the mark of a word start.
@@ -93,6 +93,7 @@ def count_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     def work(columns: dict[str, list]) -> dict[str, list]:
+        hold(_counter.cache_clear)
         counter, known = _counter(path)
         counts = []
         for text in columns["text"]:

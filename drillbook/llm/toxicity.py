@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fingerprints import sketch
-from .shared import SLICE_BYTES, SLICE_ROWS, importable, map_slices
+from .shared import SLICE_BYTES, SLICE_ROWS, hold, importable, map_slices
 
 WORD = re.compile(r"[^\W_]+")
 SENTENCE_END = re.compile(r"[.!?\n]")
@@ -315,6 +315,7 @@ def score_toxicity(documents: DataFrame, model: Field, threshold: float = THRESH
     )
 
     def work(columns: dict[str, list]) -> dict[str, list]:
+        hold()
         found = _scored(model, columns["text"], known)
         evidence = np.array([_evidence(p) for _, p in found])
         scores = 1 / (1 + np.exp(-np.clip(evidence @ model.scoring, -30, 30)))
@@ -339,6 +340,7 @@ def drop_toxic(documents: DataFrame, model: Field, threshold: float = THRESHOLD)
     known: dict[str, float | None] = {}
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         for part in parts:
             share = SLICE_BYTES / max(1, part.nbytes)
             step = max(1, min(SLICE_ROWS, int(part.num_rows * share)))
