@@ -7,8 +7,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from drillbook.llm import packing
-from drillbook.llm.shared import Scratch
+from drillbook.llm import fingerprints, packing
+from drillbook.llm.shared import Scratch, hold
 from tests.llm.frames import awkward, documents, with_clashing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -107,7 +107,7 @@ def best_fit_decreasing(sizes, capacity):
 )
 def test_as_few_as_best_fit_decreasing(spark, sizes):
     rows = spark.createDataFrame(list(enumerate(sizes)), "id long, size int")
-    found = packing.best_fit_bins(rows, Scratch(spark, "test"), 100, 20).collect()
+    found = packing.best_fit_bins(rows, Scratch(spark, "test"), 100).collect()
     assert sorted(r["id"] for r in found) == list(range(len(sizes)))
     bins = defaultdict(list)
     for r in found:
@@ -127,3 +127,17 @@ def test_size_ranks_are_dense(spark):
     for size in (1, 2):
         own = sorted(r["rank"] for r in ranked if r["size"] == size)
         assert own == list(range(len(own)))
+
+
+def test_a_worker_remembers_for_one_operator():
+    """Workers outlive stages: what packing keeps must not stand beside the next operator's."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    hold(packing._word_ids.cache_clear)
+    packing._word_ids(path).many(["some words"])
+    hold(packing._word_ids.cache_clear)
+    assert packing._word_ids(path).young
+    fingerprints._word_hashes.clear()
+    fingerprints.shingle_hashes("other words here")
+    assert packing._word_ids.cache_info().currsize == 0
+    hold()
+    assert not fingerprints._word_hashes
