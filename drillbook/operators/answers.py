@@ -18,8 +18,12 @@ from drillbook.sources.versions import write_once
 
 # Fixed value: points for a correct answer.
 POINTS = 10
-#: Column of a row's place while duplicates are marked.
-PLACE = "_place"
+#: Columns of a row's number and of its hash while duplicates are marked.
+PLACE, ROW = "_place", "_row"
+#: What one submission may differ in from another of the same user to the same session.
+PRESS = ["id", "answered_at", "selected_option", "global_name", "username"]
+#: What the answers of one user to one session meet by; its hash stands first, as hashes sort faster.
+ANSWERER = ["_answerer_hash", "_answerer"]
 
 
 def enrich_submissions(
@@ -76,24 +80,43 @@ def screen_submissions(enriched: DataFrame, zone: str) -> DataFrame:
     return enriched.withColumn("verdict", F.coalesce(_refusal(zone), F.lit("ok")))
 
 
+def _row_hash(screened: DataFrame) -> Column:
+    """Orders submissions of one user, session, time and id; equal for equal ones only, but for chance."""
+    return F.xxhash64(*[name for name in PRESS if name in screened.columns])
+
+
+def as_placed(screened: DataFrame) -> DataFrame:
+    """Rows with their hash and a number, which tells equal rows apart.
+
+    The numbers hold once the rows are written: another run may deal the rows
+    otherwise.
+    """
+    return screened.withColumns(
+        {ROW: _row_hash(screened), PLACE: F.monotonically_increasing_id()}
+    )
+
+
 def with_places(screened: DataFrame) -> DataFrame:
-    """The rows as written, each with the place in its file, which tells equal rows apart."""
-    return as_placed(write_once(screened, "screened"))
+    """The rows as written, each with its number."""
+    return write_once(as_placed(screened), "screened")
 
 
-def as_placed(written: DataFrame) -> DataFrame:
-    """Rows read straight from Parquet with their places."""
-    return written.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(PLACE))
+def _by_answerer(answers: DataFrame) -> DataFrame:
+    pair = ["session_id", "discord_user_id"]
+    return answers.withColumns(dict(zip(ANSWERER, (F.xxhash64(*pair), F.struct(*pair)))))
 
 
 def first_answers(screened: DataFrame) -> DataFrame:
-    """The first passing submission of each user to each session; equal times go by id, row, place."""
-    answerer = F.struct("session_id", "discord_user_id")
-    columns = [name for name in screened.columns if name != PLACE]
-    last = [PLACE] if PLACE in screened.columns else []
-    order = Window.partitionBy(answerer).orderBy("answered_at", "id", F.xxhash64(*columns), *last)
+    """The first passing submission of each user to each session; equal times go by id, row, number."""
+    return _first_answers(screened).drop(*ANSWERER)
+
+
+def _first_answers(screened: DataFrame) -> DataFrame:
+    placed = PLACE in screened.columns
+    last = [ROW, PLACE] if placed else [_row_hash(screened)]
+    order = Window.partitionBy(*ANSWERER).orderBy("answered_at", "id", *last)
     return (
-        screened.where("verdict = 'ok'")
+        _by_answerer(screened.where("verdict = 'ok'"))
         .withColumn("_rank", F.row_number().over(order))
         .where("_rank = 1")
         .drop("_rank")
@@ -101,12 +124,19 @@ def first_answers(screened: DataFrame) -> DataFrame:
 
 
 def new_answers(screened: DataFrame, stored_answers: DataFrame | None = None) -> DataFrame:
-    """First passing submissions, without those of users whose answer is stored already."""
-    firsts = first_answers(screened)
-    if stored_answers is None:
-        return firsts
-    taken = stored_answers.select("session_id", "discord_user_id")
-    return firsts.join(taken, ["session_id", "discord_user_id"], "left_anti")
+    """First passing submissions, without those of users whose answer is stored already.
+
+    The first answers are in place and in order for the join with the stored
+    ones. It is a merge join, as the size of compressed files says too little
+    about the memory that their answers would take.
+    """
+    firsts = _first_answers(screened)
+    if stored_answers is not None:
+        # As nulls in structs are equal, and an unknown user is no one's equal.
+        known = stored_answers.dropna(subset=["session_id", "discord_user_id"])
+        taken = _by_answerer(known).select(*ANSWERER)
+        firsts = firsts.join(taken.hint("merge"), ANSWERER, "left_anti")
+    return firsts.drop(*ANSWERER)
 
 
 def mark_duplicates(placed: DataFrame, stored_answers: DataFrame | None = None) -> DataFrame:
@@ -114,16 +144,17 @@ def mark_duplicates(placed: DataFrame, stored_answers: DataFrame | None = None)
 
     A press that was delivered several times is several equal rows, of which one
     counts. Each task sends the first one it has, the first of these is
-    accepted, and the rows learn by their places whether they are accepted. A
-    place is a key of one row, so neither endless copies of a press nor endless
-    presses of one user meet in a task.
+    accepted, and the rows learn by their numbers whether they are accepted. A
+    number is a key of one row, so neither endless copies of a press nor endless
+    presses of one user meet in a task. Accepted rows may be most of all rows,
+    so they are never broadcast.
     """
     accepted = new_answers(placed, stored_answers).select(PLACE, F.lit(True).alias("_first"))
     repeated = (F.col("verdict") == "ok") & F.col("_first").isNull()
     return (
-        placed.join(accepted, PLACE, "left")
+        placed.join(accepted.hint("merge"), PLACE, "left")
         .withColumn("verdict", F.when(repeated, "duplicate").otherwise(F.col("verdict")))
-        .drop(PLACE, "_first")
+        .drop(PLACE, ROW, "_first")
     )
 
 

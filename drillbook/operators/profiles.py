@@ -56,14 +56,17 @@ def _reduce_days(answers: DataFrame) -> DataFrame:
     return with_epoch(answers).groupBy(USER, "epoch", "daily_date").agg(*day_totals())
 
 
-def _fold(days: DataFrame, base: DataFrame | None, epoch: int, keep_all: bool) -> DataFrame:
+def _fold(
+    days: DataFrame, base: DataFrame | None, epoch: int, keep_all: bool, by_user: bool = False
+) -> DataFrame:
     """Fold reduced rows onto the stored profiles; points and dates of `epoch` only.
 
     With `keep_all`, stored users who are not in the rows stay as they are. One
     shuffle of the reduced rows by user serves the join with the stored state,
-    the chain of days and the sums.
+    the chain of days and the sums; rows that lie `by_user` have had it.
     """
-    days = days.repartition(USER)
+    if not by_user:
+        days = days.repartition(USER)
     if base is None:
         days = days.withColumn("old", F.lit(None).cast(_STATE))
     else:
@@ -130,18 +133,23 @@ def rebuild_profiles(
 
 
 def fold_days(
-    days: DataFrame, resets: list, base: DataFrame | None = None, keep_all: bool = True
+    days: DataFrame,
+    resets: list,
+    base: DataFrame | None = None,
+    keep_all: bool = True,
+    by_user: bool = False,
 ) -> DataFrame:
     """Profiles from one row of totals per user, epoch and daily date.
 
     `resets` is in order; with `keep_all`, users of `base` without days stay.
+    With `by_user`, the rows of a user lie together already.
     """
     seen = F.col("latest.answered_at")
     if resets:
         last_reset = F.lit(resets[-1]).cast("timestamp")
         seen = F.when(seen.isNotNull(), F.greatest(seen, last_reset))
         base = reset_scores(base, resets[-1]) if base is not None else None
-    return _as_profiles(_fold(days, base, len(resets), keep_all), seen)
+    return _as_profiles(_fold(days, base, len(resets), keep_all, by_user), seen)
 
 
 def reset_scores(profiles: DataFrame, now) -> DataFrame:

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from drillbook.operators.answers import (
+    PLACE,
+    ROW,
     as_placed,
     enrich_submissions,
     mark_duplicates,
@@ -51,6 +53,11 @@ from drillbook.streaming.store import (
 )
 
 _DAY = 86_400_000_000
+#: Columns of a screened submission that the log or its making needs.
+_LATER = ("is_correct", "points_awarded", "batch_id")
+STAGED = [
+    *[name for name in LOG.names if name not in _LATER], "session_created_at", "correct_option", ROW, PLACE
+]
 #: Fixed value: how Spark names the folder of a null.
 NO_DATE = "__HIVE_DEFAULT_PARTITION__"
 
@@ -151,9 +158,10 @@ def _after_closings(profiles: DataFrame, closings: list) -> DataFrame:
 
 
 def _fold(state: dict, days: DataFrame, base: DataFrame, keep_all: bool) -> DataFrame:
-    folded = fold_days(
-        merge_days(days, state["resets"]), instants(state["resets"]), base.select(*PROFILE_COLUMNS), keep_all
-    )
+    """Profiles from stored totals, which move once, by user: a user has few rows of them."""
+    resets = instants(state["resets"])
+    dealt = merge_days(days.repartition(USER), state["resets"])
+    folded = fold_days(dealt, resets, base.select(*PROFILE_COLUMNS), keep_all, by_user=True)
     return _after_closings(folded, state["closings"])
 
 
@@ -179,8 +187,9 @@ def stage_batch(
 
     enriched = enrich_submissions(parse_choice_id(presses), sessions, questions)
     staged = store.path("staged", name)
-    screen_submissions(enriched, zone).write.parquet(staged)
-    screened = as_placed(spark.read.parquet(staged))
+    placed = as_placed(screen_submissions(enriched, zone)).select(*STAGED)
+    placed.write.parquet(staged)
+    screened = spark.read.schema(placed.schema).parquet(staged)
 
     created = F.to_date("session_created_at")
     passing = screened.where("verdict = 'ok'").select(created.alias("date")).distinct()

@@ -179,7 +179,9 @@ class Store:
                 if part in wanted
             ]
         if not paths:
-            return self.spark.createDataFrame([], schema)
+            # Known to be empty while the query is planned, so joins with it fall away.
+            nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+            return self.spark.range(0).select(*nothing).where(F.lit(False))
         return self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*paths)
 
     def profiles(self, state: dict, buckets: list[str] | None = None) -> DataFrame:
