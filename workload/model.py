@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from drillbook.functions import local_date
 from drillbook.operators.answers import accept_answers, enrich_submissions
+from drillbook.sources import read_table, shared_folder
 
 ZONE = "America/Chicago"
 RESETS = ["2024-01-15 06:00:00Z"]
@@ -35,6 +36,7 @@ class Model:
         self.folder = folder
         self._tables: dict[str, DataFrame] = {}
         self._events: DataFrame | None = None
+        self._sessions: str | None = None
 
     def table(self, name: str) -> DataFrame:
         """A driver table; its footer is read once per model."""
@@ -148,10 +150,19 @@ class Model:
 
     def sessions(self) -> DataFrame:
         events = self.events()
-        daily = events.where("kind = 'daily'").dropDuplicates(["guild_id", "daily_date"])
+        # All of these follow from guild and date, so the rows are distinct map-side, unsorted.
+        follows = ["guild_id", "daily_date", "session_id", "question_number", "event_type"]
+        daily = events.where("kind = 'daily'").select(*follows).distinct()
+        none = F.lit(None).cast("string")
         # A daily session opens at local midnight, in January 06:00 UTC.
-        opened = daily.withColumn(
-            "created_at", F.col("daily_date").cast("timestamp") + F.expr("INTERVAL 6 HOURS")
+        opened = daily.withColumns(
+            {
+                "created_at": F.col("daily_date").cast("timestamp") + F.expr("INTERVAL 6 HOURS"),
+                "kind": F.lit("daily"),
+                "owner_discord_user_id": none,
+                "local_date": F.col("daily_date"),
+                "quiz_run_id": none,
+            }
         )
         owned = events.where("kind <> 'daily'").withColumn(
             "created_at", F.col("answered_at") - F.expr("INTERVAL 1 MINUTE")
@@ -160,7 +171,7 @@ class Model:
             F.dayofmonth(F.coalesce("daily_date", "local_date")) % 5 != 0,
             F.concat(F.lit("M-"), "session_id"),
         )
-        return opened.unionByName(owned).select(
+        return opened.unionByName(owned.select(*opened.columns)).select(
             F.col("session_id").alias("id"),
             F.col("question_number").cast("string").alias("question_id"),
             "kind",
@@ -174,6 +185,14 @@ class Model:
             "quiz_run_id",
         )
 
+    def saved_sessions(self) -> DataFrame:
+        """The sessions as a stored table, written once per model, for queries that read it often."""
+        if self._sessions is None:
+            path = shared_folder(self.spark, "sessions")
+            self.sessions().write.parquet(path)
+            self._sessions = path
+        return read_table(self.spark, "question_sessions", self._sessions)
+
     def quiz_runs(self) -> DataFrame:
         runs = (
             self.events()
