@@ -54,9 +54,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         number += 1
         now = scratch.write(small, f"{name}-{number}")
         scratch.drop(f"{name}-{number - 1}")
-        roots = now.select(F.col("b").alias("a")).distinct()
-        repeated = now.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
-        open_nodes = now.select("a").join(roots, "a", "left_semi").unionByName(repeated)
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(
+            now.select(F.col("b").alias("node"), F.lit(0).alias("up"))
+        )
+        tied = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+        open_nodes = tied.where("ups > 1 OR ups = 1 AND least = 0")
         if open_nodes.isEmpty():
             return nodes.join(now, "a", "left").select(
                 F.col("a").alias("node"), F.coalesce("b", "a").alias("component")

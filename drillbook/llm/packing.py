@@ -5,6 +5,7 @@ sequence. The others are packed in bulk-synchronous rounds: documents and gaps
 are sorted by size and ranked within a size, a sweep over the sizes gives each
 gap the largest documents not yet taken that fit, ranks decide which rows these
 are, all matches of the round are made at once by a join, and the gaps shrink.
+Ranks of shrunk gaps follow from the counts that the sweep has.
 Sizes are whole numbers up to the capacity, so the sweep sees one row per size,
 whatever the number of documents.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections import Counter
 from functools import cache
 
 import public_tokenizers
@@ -32,6 +34,8 @@ TEXT_BYTES = 4_000_000
 RANKED_ROWS = 4_000
 #: (size, first rank, documents, gap, first gap rank, documents a gap)
 Segment = tuple[int, int, int, int, int, int]
+#: (gap, first rank, bins, their new gap, what is added to their ranks)
+Move = tuple[int, int, int, int, int]
 
 
 #: Fixed value: the vocabulary's splitter, for lower-case texts of Latin letters, which
@@ -231,6 +235,39 @@ def _in_segment(rank: str, first: str, n: Column) -> Column:
     return (F.col(rank) >= F.col(first)) & (F.col(rank) < F.col(first) + n)
 
 
+def moved(segments: list[Segment], gaps: dict[int, int], smallest: int) -> tuple[list[Move], dict[int, int]]:
+    """What a round does to the bins, and {gap: bins} after it.
+
+    The bins of a gap are ranked from 0 and a round fills them in order, so the
+    ranks after it follow from counts alone. Bins that not even the smallest
+    size left fits are given up.
+    """
+    runs, used = [], Counter()
+    for size, _, taken, gap, first, per_bin in segments:
+        full, more = divmod(taken, per_bin)
+        runs.append((gap, first, full, gap - size * per_bin))
+        runs.append((gap, first + full, min(more, 1), gap - size * more))
+        used[gap] = first + full + min(more, 1)
+    runs += [(gap, used[gap], n - used[gap], gap) for gap, n in gaps.items()]
+    moves, after = [], Counter()
+    for gap, first, n, new_gap in runs:
+        if n and new_gap >= smallest:
+            moves.append((gap, first, n, new_gap, after[new_gap] - first))
+            after[new_gap] += n
+    return moves, dict(after)
+
+
+def _after_moves(bins: DataFrame, moves: list[Move]) -> DataFrame:
+    """(bin, gap, rank) of the bins that stay; there are a few moves per gap, which go to every task."""
+    schema = "gap int, first_rank long, n long, new_gap int, shift long"
+    table = F.broadcast(bins.sparkSession.createDataFrame(moves, schema))
+    return (
+        bins.join(table, "gap")
+        .where(_in_segment("rank", "first_rank", F.col("n")))
+        .select("bin", F.col("new_gap").alias("gap"), (F.col("rank") + F.col("shift")).alias("rank"))
+    )
+
+
 def best_fit_bins(rows: DataFrame, scratch: Scratch, capacity: int) -> DataFrame:
     """(id, bin, offset) for rows of (id, size), 0 < size < capacity.
 
@@ -239,17 +276,14 @@ def best_fit_bins(rows: DataFrame, scratch: Scratch, capacity: int) -> DataFrame
     spark = rows.sparkSession
     schema = "id long, bin long, offset long"
     counted = {r["size"]: r["n"] for r in rows.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    if not counted:
+        return spark.createDataFrame([], schema)
     sizes = {size: [0, n] for size, n in counted.items()}
-    total = sum(counted.values())
-    documents = scratch.write(size_ranks(rows, "size", "id", total), "ranked")
-    placed, gaps, bins, n_bins, rounds = [], {}, None, 0, 0
+    documents = scratch.write(size_ranks(rows, "size", "id", sum(counted.values())), "ranked")
+    gaps, bins, n_bins, rounds = {}, None, 0, 0
 
-    def left() -> int:
-        return sum(n for _, n in sizes.values())
-
-    while left():
-        smallest = min(size for size, (_, n) in sizes.items() if n)
-        segments = sweep(sizes, {gap: n for gap, n in gaps.items() if gap >= smallest})
+    while any(n for _, n in sizes.values()):
+        segments = sweep(sizes, gaps)
         opened = not segments
         if opened:
             segments = openings(sizes, capacity, n_bins)
@@ -261,41 +295,21 @@ def best_fit_bins(rows: DataFrame, scratch: Scratch, capacity: int) -> DataFrame
         offset = (
             F.lit(capacity) - F.col("of_gap") + F.pmod(turn, F.col("per_bin")) * F.col("size")
         ).cast("long")
+        slots = matched.select("id", F.col("of_gap").alias("gap"), slot.alias("rank"), offset.alias("offset"))
         if opened:
-            made = matched.select("id", slot.alias("bin"), offset.alias("offset"), "size")
-            made = scratch.write(made, f"placed-{rounds}")
-            fresh = made.select("bin", (F.lit(capacity) - F.col("size")).alias("gap"))
-            updated = fresh if bins is None else bins.select("bin", "gap").unionByName(fresh)
+            made = slots.select("id", F.col("rank").alias("bin"), "offset")
         else:
-            slots = matched.select("id", F.col("of_gap").alias("gap"), slot.alias("rank"), offset.alias("offset"))
-            made = scratch.write(
-                slots.join(bins, ["gap", "rank"]).select("id", "bin", "offset"), f"placed-{rounds}"
-            )
-            here = F.col("rank") - F.col("first_bin")
-            n_used = F.ceil(F.col("taken") / F.col("per_bin"))
-            filled = F.least(F.col("per_bin"), F.col("taken") - here * F.col("per_bin"))
-            changes = table.withColumnRenamed("of_gap", "gap")
-            updated = bins.join(
-                changes,
-                (bins["gap"] == changes["gap"]) & _in_segment("rank", "first_bin", n_used),
-                "left",
-            ).select(
-                "bin",
-                (bins["gap"] - F.coalesce(F.col("size") * filled, F.lit(0))).cast("int").alias("gap"),
-            )
-        placed.append(made.select("id", "bin", "offset"))
-        if left() > 0:
-            smallest = min(size for size, (_, n) in sizes.items() if n)
-            usable = updated.where(F.col("gap") >= smallest)
-            bins = scratch.write(size_ranks(usable, "gap", "bin", n_bins), f"bins-{rounds}")
-            gaps = {r["gap"]: r["n"] for r in bins.groupBy("gap").agg(F.count("*").alias("n")).collect()}
-            if rounds:
-                scratch.drop(f"bins-{rounds - 1}")
+            made = slots.join(bins, ["gap", "rank"]).select("id", "bin", "offset")
+        made = scratch.write(made, f"placed/round={rounds}")
+        if opened:
+            fresh = made.select("bin", F.lit(capacity).alias("gap"), F.col("bin").alias("rank"))
+            bins = fresh if bins is None else bins.unionByName(fresh)
+        smallest = min((size for size, (_, n) in sizes.items() if n), default=capacity)
+        moves, gaps = moved(segments, gaps, smallest)
+        bins = scratch.write(_after_moves(bins, moves), f"bins-{rounds}") if gaps else None
+        scratch.drop(f"bins-{rounds - 1}")
         rounds += 1
-    result = spark.createDataFrame([], schema)
-    for part in placed:
-        result = result.unionByName(part)
-    return result
+    return scratch.read("placed", schema).select("id", "bin", "offset")
 
 
 def pack(documents: DataFrame, path: str | None = None, capacity: int = 2048) -> DataFrame:

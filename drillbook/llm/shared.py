@@ -55,9 +55,12 @@ class Scratch:
         self.root = f"{base.rstrip('/')}/{job}-{uuid.uuid4().hex}"
 
     def write(self, rows: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        rows.write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
+        rows.write.parquet(f"{self.root}/{name}")
+        return self.read(name, rows.schema)
+
+    def read(self, name: str, schema: str | StructType) -> DataFrame:
+        """A written table, or all that were written as name/key=value, with the key after their columns."""
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:
         """Free a table of this job that no later step reads."""

@@ -237,8 +237,10 @@ def train(rows: list[tuple[str, int]]) -> Field:
             toxic.append(label)
         seen.update(marks)
     counts = (Counter(), Counter())
-    for text, label in zip(texts, toxic):
-        counts[label].update({name for word in set(WORD.findall(text)) for name in features(word)})
+    for label in (1, 0):  # what only clean documents have is never weighed, nor counted
+        for text in (text for text, own in zip(texts, toxic) if own == label):
+            found = {name for word in set(WORD.findall(text)) for name in features(word)}
+            counts[label].update(found if label else found & counts[1].keys())
     n_clean, n_toxic = toxic.count(0), toxic.count(1)
     model = Field()
     lean = {}
@@ -266,7 +268,9 @@ def train(rows: list[tuple[str, int]]) -> Field:
                 [int(label and any(lean[name] >= STRONG for name in names)) for names in found]
             )
     _train_field(model, sorted(lean), chains, labels)
-    evidence = np.array([_evidence(p) for _, p in _scored(model, texts, {})])
+    known: dict[str, float | None] = {}
+    slices = (texts[at : at + SLICE_ROWS] for at in range(0, len(texts), SLICE_ROWS))
+    evidence = np.array([_evidence(p) for some in slices for _, p in _scored(model, some, known)])
     model.scoring = _train_scoring(evidence, np.array(toxic, float))
     return model
 

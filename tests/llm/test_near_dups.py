@@ -130,3 +130,24 @@ def test_one_document_of_a_class_stays(spark):
 def test_empty_table(spark):
     assert nd.near_classes(documents(spark, [])).count() == 0
     assert nd.drop_near_dups(documents(spark, [])).count() == 0
+
+
+def test_rounds_of_components_take_few_jobs(spark):
+    """Every job leaves threads and plans on the driver; a round's end is seen by one aggregate."""
+    edges = [(i, i + 1) for i in range(40)] + [(100 + i, 200) for i in range(30)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    rounds = []
+
+    class Counting(Scratch):
+        def write(self, rows, name):
+            rounds.append(name)
+            return super().write(rows, name)
+
+    context = spark.sparkContext
+    context.setJobGroup("components", "")
+    try:
+        components(frame, Counting(spark, "test"), "c")
+        jobs = len(context.statusTracker().getJobIdsForGroup("components"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 10 * (len(rounds) - 1)

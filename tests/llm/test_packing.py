@@ -129,6 +129,38 @@ def test_size_ranks_are_dense(spark):
         assert own == list(range(len(own)))
 
 
+def test_ranks_of_shrunk_gaps_stay_dense():
+    draw = random.Random(5)
+    sizes = {size: [0, draw.randint(1, 30)] for size in range(1, 60)}
+    bins = {(gap, rank): draw.randint(0, 9) for gap in (7, 20, 45, 90) for rank in range(12)}
+    gaps = {gap: 12 for gap in (7, 20, 45, 90)}
+    for _ in range(4):
+        segments = packing.sweep(sizes, gaps)
+        filled = defaultdict(int)
+        for size, _first, taken, gap, first, per_bin in segments:
+            for turn in range(taken):
+                filled[gap, first + turn // per_bin] += size
+        smallest = min(size for size, (_, n) in sizes.items() if n)
+        moves, gaps = packing.moved(segments, gaps, smallest)
+        after = {}
+        for gap, first, n, new_gap, shift in moves:
+            for rank in range(first, first + n):
+                assert new_gap == gap - filled[gap, rank] >= smallest
+                assert (new_gap, rank + shift) not in after
+                after[new_gap, rank + shift] = bins[gap, rank]
+        assert len(after) == sum(gap - filled[gap, rank] >= smallest for gap, rank in bins)
+        assert set(after) == {(gap, rank) for gap, n in gaps.items() for rank in range(n)}
+        bins = after
+
+
+def test_all_rounds_are_read_in_one_scan(spark):
+    """A scan per round made plans, and the driver's memory, grow with the rounds."""
+    sizes = [random.Random(1).randint(1, 99) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(sizes)), "id long, size int")
+    found = packing.best_fit_bins(rows, Scratch(spark, "test"), 100)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
 def test_a_worker_remembers_for_one_operator():
     """Workers outlive stages: what packing keeps must not stand beside the next operator's."""
     path = public_tokenizers.path("word_bpe_49k.json")

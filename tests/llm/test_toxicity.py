@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -133,3 +134,15 @@ def test_empty_tables(spark, fitted):
     assert tx.score_toxicity(empty, fitted).count() == 0
     assert tx.drop_toxic(empty, fitted).count() == 0
     assert tx.fit(empty, spark.createDataFrame([], LABELS)).weights == {}
+
+
+def test_training_keeps_no_words_of_clean_documents_alone():
+    """They were counted on the driver, though no such word is ever weighed."""
+    clean = [(" ".join(f"clean{i}x{j}ending" for j in range(200)), 0) for i in range(300)]
+    dirty = [(f"vilest{i} gruesome words {i}", 1) for i in range(20)]
+    tracemalloc.start()
+    try:
+        tx.train(clean + dirty)
+        assert tracemalloc.get_traced_memory()[1] < 16_000_000
+    finally:
+        tracemalloc.stop()
