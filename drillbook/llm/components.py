@@ -8,25 +8,25 @@ from pyspark.sql import functions as F
 from .shared import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, component) for every node of `edges` (a, b); a component is its smallest node.
+def tied(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, component) for every node of `edges` (a, b) but the smallest of each component, which names it.
 
     Large-star and small-star steps in turn: each node's larger neighbours,
     then its smaller ones, are tied to its smallest neighbour, until every edge
     ends in the smallest node of its component. Edges never become more than
-    the input; minima are taken in every task first, and a node with very many
-    edges is a hot join key that adaptive execution splits. Each round is a
-    written table, of which only the last is kept. Self-loops keep their node.
+    the input and minima are taken in every task first. All edges of a node
+    meet its minimum in one task, or more where Spark can split it. Each round is a
+    written table, of which only the last is kept; it is the result. The first
+    reads `edges` twice, which may repeat and hold self-loops.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    nodes = both.select("a").distinct()
-    now = scratch.write(
-        edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-        f"{name}-0",
-    )
-    number = 0
+
+    def ways(of: DataFrame) -> DataFrame:
+        both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        return of.select(F.explode(both).alias("way")).select("way.a", "way.b")
+
+    now, number = edges.where("a != b"), 0
     while True:
-        pairs = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        pairs = ways(now)
         least = pairs.groupBy("a").agg(F.min("b").alias("m")).select(
             F.col("a").alias("of"), F.least("a", "m").alias("m")
         )
@@ -34,7 +34,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             pairs.join(least, F.col("a") == F.col("of"))
             .where("b > a")
             .select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .distinct()
         )
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "of")
         joined = large.join(least, F.col("a") == F.col("of"))
@@ -53,13 +52,25 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         )
         number += 1
         now = scratch.write(small, f"{name}-{number}")
-        scratch.drop(f"{name}-{number - 1}")
-        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(
-            now.select(F.col("b").alias("node"), F.lit(0).alias("up"))
+        if number > 1:
+            scratch.drop(f"{name}-{number - 1}")
+        ends = now.select(
+            F.explode(
+                F.array(
+                    F.struct(F.col("a").alias("node"), F.lit(1).alias("up")),
+                    F.struct(F.col("b").alias("node"), F.lit(0).alias("up")),
+                )
+            ).alias("end")
         )
-        tied = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
-        open_nodes = tied.where("ups > 1 OR ups = 1 AND least = 0")
+        seen = ends.groupBy("end.node").agg(F.sum("end.up").alias("ups"), F.min("end.up").alias("least"))
+        open_nodes = seen.where("ups > 1 OR ups = 1 AND least = 0")
         if open_nodes.isEmpty():
-            return nodes.join(now, "a", "left").select(
-                F.col("a").alias("node"), F.coalesce("b", "a").alias("component")
-            )
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, component) for every node of `edges` (a, b), also of self-loops; a component is its smallest node."""
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return nodes.join(tied(edges.distinct(), scratch, name), "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component")
+    )

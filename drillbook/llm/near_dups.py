@@ -15,12 +15,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import tied
 from .fingerprints import shingle_hashes
 from .shared import SLICE_BYTES, SLICE_ROWS, Scratch, importable
 
@@ -157,45 +156,67 @@ def linked_pairs(units: list[np.ndarray], sides: np.ndarray, least: float) -> np
     """Index pairs of a tile, one of either side, whose region sets are alike enough.
 
     Common units are counted by products of 0/1 matrices over the units that
-    several texts have, some thousand at a time. If only one side is there, its
+    both sides have, some thousand at a time. If only one side is there, its
     texts are compared with each other.
     """
-    n = len(units)
-    owner = np.repeat(np.arange(n), [len(one) for one in units])
-    names, column, held = np.unique(np.concatenate(units), return_inverse=True, return_counts=True)
+    across = sides.min() < sides.max()
+    left = np.nonzero(sides == sides.min())[0]
+    right = np.nonzero(sides > sides.min())[0] if across else left
+
+    def owners(side: np.ndarray) -> np.ndarray:
+        return np.repeat(np.arange(len(side)), [len(units[i]) for i in side])
+
+    names, column, held = np.unique(
+        np.concatenate([units[i] for i in left]), return_inverse=True, return_counts=True
+    )
+    ends = [(owners(left), column)]
     shared = held > 1
+    if across:
+        others = np.concatenate([units[i] for i in right])
+        at = np.searchsorted(names, others)
+        known = at < len(names)
+        known[known] = names[at[known]] == others[known]
+        ends.append((owners(right)[known], at[known]))
+        shared = np.bincount(at[known], minlength=len(names)) > 0
     number = np.cumsum(shared) - 1
-    inside = shared[column]
-    owner, column = owner[inside], number[column[inside]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    common = np.zeros((n, n), np.float32)
-    for start in range(0, int(shared.sum()), UNITS_AT_ONCE):
-        low, high = np.searchsorted(column, [start, start + UNITS_AT_ONCE])
-        part = np.zeros((n, UNITS_AT_ONCE), np.float32)
-        part[owner[low:high], column[low:high] - start] = 1
-        common += part @ part.T
+    for i, (owner, column) in enumerate(ends):
+        owner, column = owner[shared[column]], number[column[shared[column]]]
+        order = np.argsort(column, kind="stable")
+        ends[i] = owner[order], column[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    total = int(shared.sum())
+    for start in range(0, total, UNITS_AT_ONCE):
+        width = min(UNITS_AT_ONCE, total - start)
+        parts = []
+        for (owner, column), side in zip(ends, (left, right)):
+            low, high = np.searchsorted(column, [start, start + width])
+            part = np.zeros((len(side), width), np.float32)
+            part[owner[low:high], column[low:high] - start] = 1
+            parts.append(part)
+        common += parts[0] @ parts[-1].T
     sizes = np.array([len(one) for one in units], np.float64)
-    total = sizes[:, None] + sizes - common
-    alike = common >= least * total - 1e-9
-    across = sides[:, None] < sides if sides.min() < sides.max() else np.triu(np.ones((n, n), bool), 1)
-    return np.argwhere(alike & across)
+    alike = common >= least * (sizes[left][:, None] + sizes[right] - common) - 1e-9
+    if not across:
+        alike = np.triu(alike, 1)
+    found = np.argwhere(alike)
+    return np.stack([left[found[:, 0]], right[found[:, 1]]], axis=1)
 
 
 def _compared(tiles: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) that keep what the links of each tile connect, compared exactly.
+    """Edges (a, b) that connect what the links of each tile connect, compared exactly.
 
     `tiles` has rows of (tile, side, key, component), at most 2 * BLOCK a tile.
-    Only links between different components matter, and of these a spanning
-    forest leaves the task.
+    Only links between different components matter, and of these a tile hands
+    on which smallest component each other one is tied to.
     """
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        units = [regions(shingle_hashes(text)) for text in rows["text"]]
-        names = sorted(set(rows["component"]))
+    def work(rows: pa.Table) -> pa.Table:
+        units = [regions(shingle_hashes(text)) for text in rows["text"].to_pylist()]
+        of_rows = rows["component"].to_pylist()
+        names = sorted(set(of_rows))
         root = list(range(len(names)))
         place = {name: i for i, name in enumerate(names)}
-        member = [place[name] for name in rows["component"]]
+        member = [place[name] for name in of_rows]
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -203,30 +224,29 @@ def _compared(tiles: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 x = root[x]
             return x
 
-        keys, edges = rows["key"].tolist(), []
         for i, j in linked_pairs(units, rows["side"].to_numpy(), least).tolist():
             one, other = find(member[i]), find(member[j])
-            if one != other:
-                root[one] = other
-                edges.append((keys[i], keys[j]))
-        return pd.DataFrame(edges, columns=["a", "b"])
+            root[max(one, other)] = min(one, other)
+        edges = [(name, names[find(i)]) for i, name in enumerate(names) if root[i] != i]
+        return pa.table(
+            {"a": pa.array([a for a, _ in edges], pa.binary()), "b": pa.array([b for _, b in edges], pa.binary())}
+        )
 
-    shipped = tiles.join(texts, "key").select("tile", "side", "key", "component", "text")
-    return shipped.groupBy("tile").applyInPandas(work, "a binary, b binary")
+    shipped = tiles.join(texts, "key").select("tile", "side", "component", "text")
+    return shipped.groupBy("tile").applyInArrow(work, "a binary, b binary")
 
 
 def _stars(members: DataFrame) -> DataFrame:
     """Tiles of each bucket's first text with the others, BLOCK of them at a time."""
-    hubs = members.groupBy("bucket").agg(F.min("key").alias("hub"))
-    pairs = members.join(hubs, "bucket").where("hub != key").select("hub", "key").distinct()
+    pairs = members.where("hub != key").select("hub", "key").distinct()
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     dealt = pairs.join(sizes, "hub").select(
         F.struct("hub", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block")).alias("tile"),
         F.lit(1).alias("side"),
         "key",
     )
-    heads = dealt.select("tile").distinct().select(
-        "tile", F.lit(0).alias("side"), F.col("tile.hub").alias("key")
+    heads = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).select(
+        F.struct("hub", "block").alias("tile"), F.lit(0).alias("side"), F.col("hub").alias("key")
     )
     return dealt.unionByName(heads).withColumn("component", F.col("key"))
 
@@ -234,22 +254,19 @@ def _stars(members: DataFrame) -> DataFrame:
 def _cells(mixed: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
     """(cell, key, component): the groups of texts that must still meet each other.
 
+    `groups` has (key, group_key) for all texts but the one that names the group.
     A cell is all of a candidate group, or each of its buckets alone where that
     takes fewer rows. The choices are a row per group; they are written, so
     that Spark knows their size before it deals out the rows of a large group.
     """
-    grouped = mixed.join(groups.withColumnRenamed("node", "key"), "key").withColumnRenamed(
-        "group", "group_key"
-    )
     rows = F.col("n") * (F.col("n") / BLOCK + 1)
-    whole = (
-        grouped.select("group_key", "key").distinct()
-        .groupBy("group_key").agg(F.count(F.lit(1)).alias("n"))
-        .select("group_key", rows.alias("together"))
+    whole = groups.groupBy("group_key").agg((F.count(F.lit(1)) + 1).alias("n")).select(
+        "group_key", rows.alias("together")
     )
     apart = (
-        grouped.groupBy("group_key", "bucket").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("group_key").agg(F.sum(rows).alias("apart"))
+        mixed.groupBy("bucket", "hub").agg(F.count(F.lit(1)).alias("n"))
+        .join(groups.withColumnRenamed("key", "hub"), "hub", "left")
+        .groupBy(F.coalesce("group_key", "hub").alias("group_key")).agg(F.sum(rows).alias("apart"))
     )
     chosen = scratch.write(
         whole.join(apart, "group_key").select(
@@ -259,7 +276,9 @@ def _cells(mixed: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
     )
     cell = F.struct("group_key", F.when(~F.col("whole"), F.col("bucket")).alias("bucket"))
     return (
-        grouped.join(chosen, "group_key")
+        mixed.join(groups, "key", "left")
+        .withColumn("group_key", F.coalesce("group_key", "key"))
+        .join(chosen, "group_key")
         .select(cell.alias("cell"), "key", "component")
         .distinct()
     )
@@ -292,6 +311,7 @@ def _in_blocks(cells: DataFrame, n_rows: int) -> DataFrame:
 def _pairwise(cells: DataFrame, n_rows: int) -> DataFrame:
     """Tiles of every two blocks of a cell, but for those within one component.
 
+    `n_rows` bounds the rows of all cells; more of them than needed cost nothing.
     Rows are mostly ordered by component, so that most blocks of a large
     component hold nothing else and need not meet.
     """
@@ -324,13 +344,18 @@ def _pairwise(cells: DataFrame, n_rows: int) -> DataFrame:
 
 
 def _members(signed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(bucket, key) of buckets that hold several texts; a text is there once however often it occurs."""
+    """(bucket, key, hub) of buckets that hold several texts; a text is there once however often it occurs.
+
+    `hub` is the bucket's first text.
+    """
     rows = signed.groupBy("key").agg(F.max("bands").alias("bands")).select(
         "key", F.explode("bands").alias("bucket")
     )
     rows = scratch.write(rows, "bucket_rows")
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = scratch.write(rows.join(shared, "bucket", "left_semi"), "members")
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("hub")).where("n > 1")
+    members = scratch.write(
+        rows.join(shared.drop("n"), "bucket").select("bucket", "key", "hub"), "members"
+    )
     scratch.drop("bucket_rows")
     return members
 
@@ -364,29 +389,31 @@ def near_classes(documents: DataFrame, least: float = 0.8) -> DataFrame:
     once = texts.groupBy("key").agg(F.min("text").alias("text"))
     texts = scratch.write(once.join(keys, "key", "left_semi"), "texts")
     links = scratch.write(_compared(_stars(members), texts, least), "links")
-    tied = scratch.write(components(links, scratch, "stars"), "star_classes")
-    classed = members.join(tied.withColumnRenamed("node", "key"), "key", "left").withColumn(
+    star_classes = tied(links, scratch, "stars").withColumnRenamed("node", "key")
+    classed = members.join(star_classes, "key", "left").withColumn(
         "component", F.coalesce("component", "key")
     )
     several = (
         classed.groupBy("bucket")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("key").alias("hub"))
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low != high")
     )
     mixed = scratch.write(
-        classed.join(several.select("bucket", "hub"), "bucket").select("bucket", "hub", "key", "component"),
+        classed.join(several.select("bucket"), "bucket").select("bucket", "hub", "key", "component"),
         "mixed",
     )
-    if not mixed.isEmpty():
-        stars = mixed.select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-        groups = components(stars, scratch, "groups").withColumnRenamed("component", "group")
-        cells = scratch.write(_cells(mixed.drop("hub"), groups, scratch), "cells")
-        more = scratch.write(_compared(_pairwise(cells, cells.count()), texts, least), "more_links")
-        edges = tied.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        tied = scratch.write(components(edges.unionByName(more), scratch, "all"), "all_classes")
-    classes = signed.select("doc_id", "key").join(
-        tied.withColumnRenamed("node", "key"), "key", "left"
-    ).withColumn("component", F.coalesce("component", "key"))
+    all_classes = star_classes
+    n_mixed = mixed.count()
+    if n_mixed:
+        stars = mixed.where("hub != key").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+        groups = tied(stars, scratch, "groups").toDF("key", "group_key")
+        tiles = _pairwise(_cells(mixed, groups, scratch), n_mixed)
+        more = scratch.write(_compared(tiles, texts, least), "more_links")
+        edges = star_classes.toDF("a", "b").unionByName(more)
+        all_classes = tied(edges, scratch, "all").withColumnRenamed("node", "key")
+    classes = signed.select("doc_id", "key").join(all_classes, "key", "left").withColumn(
+        "component", F.coalesce("component", "key")
+    )
     named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
     heads = scratch.write(classes.groupBy("component").agg(F.min(named).alias("head")), "heads")
     return classes.join(heads, "component").select(

@@ -151,3 +151,37 @@ def test_rounds_of_components_take_few_jobs(spark):
     finally:
         context.setLocalProperty("spark.jobGroup.id", None)
     assert jobs <= 10 * (len(rounds) - 1)
+
+
+def test_few_tables(spark, monkeypatch):
+    """Writing a table costs a task per partition, however small it is.
+
+    Tables beside one per round of components: signed, bucket_rows, members,
+    texts, links, mixed, choices, more_links and heads.
+    """
+    written = []
+    write = Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, rows, name: written.append(name) or write(self, rows, name))
+    assert nd.near_classes(documents(spark, [(i, t, "s") for i, t in enumerate(corpus(13))])).collect()
+    rounds = [name for name in written if name.split("-")[0] in ("stars", "groups", "all")]
+    assert {"stars-1", "groups-1", "all-1"} <= set(rounds)
+    assert not {"stars-0", "groups-0", "all-0"} & set(rounds)
+    assert len(written) - len(rounds) <= 9
+
+
+@pytest.mark.parametrize("across", [True, False])
+def test_linked_pairs_equal_likeness(monkeypatch, across):
+    monkeypatch.setattr(nd, "UNITS_AT_ONCE", 7)
+    rng = random.Random(5)
+    base = sentence(rng, 80).split()
+    texts = [varied(rng, base, rng.randint(0, 6)) for _ in range(30)] + [sentence(rng, 20) for _ in range(5)]
+    units = [nd.regions(shingle_hashes(text)) for text in texts]
+    sides = np.array([i % 3 > 0 for i in range(len(units))], np.int32) * across
+    expected = [
+        (i, j)
+        for i in range(len(units))
+        for j in range(len(units))
+        if (sides[i] < sides[j] if across else i < j) and nd.likeness(units[i], units[j]) >= 0.6
+    ]
+    assert expected
+    assert sorted(map(tuple, nd.linked_pairs(units, sides, 0.6).tolist())) == sorted(expected)
